@@ -120,3 +120,16 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
+
+
+def unique_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ordered, disjoint spans the number of its distinct content, and the first span of each content."""
+    import pandas as pd
+
+    codes, values = pd.factorize(span_hash(data, starts, ends))
+    first = np.empty(len(values), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    length = ends - starts
+    like = first[codes]
+    same = (length == length[like]).all() and bool((gather(data, starts, length) == gather(data, starts[like], length)).all())
+    return (codes, first) if same else (np.arange(len(starts)), np.arange(len(starts)))
