@@ -4,22 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import minhash
+from corpusloom.llm import decontaminate, minhash, quality, secrets, sentencepiece_bpe
 from corpusloom.llm._storage import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity of 0.8 or more)."""
     return minhash.drop_near_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that copy an item of ``benchmark`` go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; what looks like a secret is replaced by a marker in their texts."""
+    return secrets.redact(docs)
+
+
+def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document, and digests of its ids and of the text that they decode to."""
+    return sentencepiece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("sentencepiece", sentencepiece_round_trip),
+]
 
-#: Near-duplicate groups, secret ownership and byte-pair encoding have no SQL form; tests use brute force.
+#: Near-duplicate groups, spaced seeds and byte-pair encoding have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 

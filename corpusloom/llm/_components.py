@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm._storage import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (greater id first) are stars around their components' smallest ids."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").limit(1).count()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,9 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the shuffle; the number of steps grows with the logarithm of the size of a component.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, last = materialise(edges, "edges"), None
-    while (now := _state(edges)) != last and now[0]:
-        last = now
+    edges = materialise(edges, "edges")
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -1,7 +1,8 @@
 """MinHash near-duplicates by min-max hashing.
 
-Each permutation gives two signature values, the least and the greatest image of the shingle set, so 40 permutations
-give 80 values for 40 hash evaluations of a shingle. Bands of four values propose pairs, full shingle sets confirm them.
+Each permutation gives two signature values, the least and the greatest image of the shingle set, so 160 permutations
+give 320 values for 160 hash evaluations of a shingle. Bands of eight values propose pairs (so wide that documents with
+a common line or two do not meet), full shingle sets confirm them.
 
 The plan grows with the documents, not with the pairs of a group:
 
@@ -27,7 +28,9 @@ from corpusloom.llm import _text
 from corpusloom.llm._components import connected_components
 from corpusloom.llm._storage import materialise
 
-PERMUTATIONS, ROWS = 40, 4
+PERMUTATIONS, ROWS = 160, 8
+#: Signature values of which one byte each is kept, to judge pairs before their texts are read.
+SKETCH = 80
 U = np.uint64
 
 
@@ -75,7 +78,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         bands = _text.mix((sig.reshape(len(full), nb, ROWS) * c).sum(axis=2, dtype=np.uint64) + np.arange(nb, dtype=np.uint64))
         sums = np.zeros((2, batch.num_rows), np.uint64)
         sums[0, full], sums[1, full] = one, two
-        sketch = (sig & U(255)).astype(np.uint8)
+        sketch = (sig[:, :SKETCH] & U(255)).astype(np.uint8)
         raw = [b""] * batch.num_rows
         for j, i in enumerate(full):
             raw[i] = sketch[j].tobytes()
@@ -117,44 +120,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null component and is kept. Rows that repeat an id are one document to the components (each is judged alike).
     Equal texts are always one class. Other columns of ``docs`` are not read; an empty table gives an empty table.
 
-    A pair at the threshold shares one of the 20 bands with a probability above 0.9999.
+    A pair at a similarity of 0.8 shares one of the 40 bands with a probability of 0.9993, one at 0.82 with 0.9999.
     """
     sig = materialise(signatures(docs, id_col, text_col, k), "signatures")
-    classes = sig.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    classes = materialise(sig.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", "rep"), "classes")
-    reps = sig.join(classes.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "bands", "sketch")
-    reps = materialise(reps, "reps")
+    sets = ["n", "s1", "s2"]
+    reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
+    reps = materialise(reps.select("rep", *sets, "x.bands", "x.sketch"), "reps")
+    classes = materialise(sig.select("id", *sets).join(reps.select("rep", *sets), sets, "left").select("id", "n", "rep"), "classes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     info = reps.select("rep", "n", "sketch")
-    open_ = reps.select("rep", F.explode("bands").alias("h"))
-    shared = open_.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    open_ = materialise(open_.join(shared, "h").select("h", "rep", F.col("rep").alias("comp")), "buckets")
+    open_ = reps.select(F.explode("bands").alias("h"), "rep", F.col("rep").alias("comp"))
     links, labels = None, None
     for step in range(rounds + 1):
-        if not open_.limit(1).count():
-            break
         if step < rounds:
-            pivots = open_.groupBy("h").agg(F.min("rep").alias("pivot"))
-            met = open_.join(pivots, "h")
-            pairs = met.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-            open_ = met.where("rep <> pivot").select("h", "rep")
+            pivots = open_.groupBy("h").agg(F.min(F.struct("rep", "comp")).alias("p"), F.count("*").alias("c")) if step else open_.groupBy("h").agg(F.min("rep").alias("p"), F.count("*").alias("c"))
+            pivots = pivots.where("c > 1").select("h", *((F.col("p.rep").alias("pivot"), F.col("p.comp").alias("of")) if step else (F.col("p").alias("pivot"), F.col("p").alias("of"))))
+            open_ = materialise(open_.join(pivots, "h").where("rep <> pivot"), "buckets")
+            pairs = open_.where("comp <> of").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         else:
             other = open_.select("h", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
             pairs = open_.join(other, "h").where("rep > b AND comp <> comp_b").select(F.col("rep").alias("a"), "b")
-        pairs = pairs.distinct()
-        if labels is not None:
-            one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-            two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        pairs = pairs.join(info.toDF("a", "na", "ka"), "a").join(info.toDF("b", "nb", "kb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ka", "kb")
+        pairs = pairs.distinct().join(info.toDF("a", "na", "ka"), "a").join(info.toDF("b", "nb", "kb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ka", "kb")
         pairs = materialise(pairs.mapInArrow(partial(_agreement, least=max(0.0, percent / 100 - 0.25)), "a long, b long"), "pairs")
         new = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long")
-        links = materialise(new if links is None else links.unionByName(new), "links")
+        new = materialise(new, "links")
+        links = new if links is None else links.unionByName(new)
         labels = materialise(connected_components(links), "labels")
         if step < rounds:
-            open_ = open_.join(labels.toDF("rep", "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
+            open_ = open_.select("h", "rep").join(labels.toDF("rep", "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
             several = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
             open_ = materialise(open_.join(several, "h"), "buckets")
+            if not open_.limit(1).count():
+                break
     out = classes.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     if labels is not None:
         out = out.join(labels.toDF("rep", "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("rep"))
