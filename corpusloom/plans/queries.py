@@ -1,10 +1,12 @@
-"""Registered queries of the engine's own operators: ``QUERIES`` by name, ``SQL`` with their DuckDB equivalents."""
+"""All registered queries of the engine's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusloom.plans.registry import QUERIES, SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+for _name in ("text_queries",):
+    importlib.import_module(f"corpusloom.plans.{_name}")
+
+__all__ = ["QUERIES", "SQL"]
