@@ -84,18 +84,25 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each of the ordered, disjoint spans."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    base = starts[0]
-    size = np.diff(np.append(starts, ends[-1]))
-    at = np.arange(base, ends[-1]) - np.repeat(starts, size)
+    out = np.empty(len(starts), np.uint64)
     length = ends - starts
-    value = coefficients(int(length.max()) + 1, seed)[np.minimum(at, np.repeat(length, size))]
-    value *= data[base : ends[-1]].astype(np.uint64) + U(1)
-    if (size != length).any():
-        value[at >= np.repeat(length, size)] = 0
-    total = np.add.reduceat(value, starts - base)
-    return mix(total ^ (length.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
+    factor = coefficients(int(length.max(initial=0)) + 1, seed)
+    # Blocks of about a million bytes bound the memory of what is computed for each byte.
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+        base, stop = starts[i], ends[j - 1]
+        n = length[i:j]
+        size = np.diff(np.append(starts[i:j], stop))
+        at = np.arange(stop - base) - np.repeat(starts[i:j] - base, size)
+        reach = np.repeat(n, size)
+        value = factor[np.minimum(at, reach)]
+        value *= data[base:stop].astype(np.uint64) + U(1)
+        if (size != n).any():
+            value[at >= reach] = 0
+        out[i:j] = np.add.reduceat(value, starts[i:j] - base)
+        i = j
+    return mix(out ^ (length.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
 
 
 def rolling(h: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
@@ -110,12 +117,15 @@ def rolling(h: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return mix(out)
 
 
-def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes (or values) of the given spans, one after the other."""
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fill: int | None = None) -> np.ndarray:
+    """The bytes (or values) of the given spans, one after the other; with ``fill``, also beyond the end of the data."""
     ends = np.cumsum(lengths)
     if not len(ends) or not ends[-1]:
         return data[:0]
-    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
+    at = np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
+    if fill is not None:
+        return np.where(at < len(data), data[np.minimum(at, len(data) - 1)], data.dtype.type(fill))
+    return data[at]
 
 
 def long_array(values: np.ndarray) -> pa.Array:
@@ -131,5 +141,9 @@ def unique_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     length = ends - starts
     like = first[codes]
-    same = (length == length[like]).all() and bool((gather(data, starts, length) == gather(data, starts[like], length)).all())
+    same = bool((length == length[like]).all())
+    step = max(1, (1 << 20) * len(starts) // max(1, int(length.sum())))
+    for i in range(0, len(starts) if same else 0, step):
+        n, a, b = length[i : i + step], starts[i : i + step], starts[like[i : i + step]]
+        same = same and bool((gather(data, a, n) == gather(data, b, n)).all())
     return (codes, first) if same else (np.arange(len(starts)), np.arange(len(starts)))

@@ -24,9 +24,10 @@ from corpusloom.llm import _text
 from corpusloom.llm._storage import width
 
 U = np.uint64
-MINIMISER = 4
-#: A reducing task sorts at most about so many windows at once; a larger bucket takes several passes over its strings.
-PASS = 3_000_000
+MINIMISER = 3
+#: A reducing task holds at most about so many windows, and sorts so many at once; a larger bucket takes several
+#: passes over its strings.
+HELD, SORTED = 6_000_000, 1_000_000
 MAPPED = "bucket int, doc long, runs binary, packed binary"
 
 
@@ -67,8 +68,8 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    zip_ = zstandard.ZstdCompressor(level=1)
-    for batch in _text.slices(batches, 1, 8 << 20):
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in _text.slices(batches, 1, 4 << 20):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, offs = _text.flat(batch.column(1))
         starts, ends, at = _text.words(data, offs)
@@ -102,9 +103,11 @@ def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator
             lo, hi = starts[w0], ends[w0 + count + k - 2]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             for i, j in zip(edge, np.append(edge[1:], len(first))):
-                text = _text.gather(data, lo[i:j], hi[i:j] - lo[i:j])
-                head = np.array([j - i, len(text)], np.int64).tobytes() + doc[first[i:j]].tobytes() + pos[first[i:j]].astype(np.int32).tobytes() + count[i:j].astype(np.int32).tobytes() + (hi[i:j] - lo[i:j]).astype(np.int32).tobytes()
-                rows.append((int(bucket[i]), None, None, zip_.compress(head + text.tobytes())))
+                # Each string with the white space (or the cut) behind it as one line break, and its numbers by byte planes.
+                text = _text.gather(data, lo[i:j], hi[i:j] - lo[i:j] + 1, fill=10)
+                text[np.cumsum(hi[i:j] - lo[i:j] + 1) - 1] = 10
+                numbers = np.stack([np.diff(doc[first[i:j]], prepend=0), pos[first[i:j]], count[i:j]]).astype(np.int64)
+                rows.append((int(bucket[i]), None, None, zip_.compress(np.int64(j - i).tobytes() + numbers.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes() + text.tobytes())))
         for i in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096]), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "doc", "runs", "packed"])
 
@@ -112,11 +115,12 @@ def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator
 def _unpacked(blob: bytes, k: int) -> tuple[np.ndarray, ...]:
     """Two hashes, document and position of every window in a packed group of super-k-mers."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, size = np.frombuffer(raw, np.int64, 2)
-    doc = np.frombuffer(raw, np.int64, n, 16)
-    pos, count, length = np.frombuffer(raw, np.int32, 3 * n, 16 + 8 * n).reshape(3, n).astype(np.int64)
-    data = np.frombuffer(raw, np.uint8, size, 16 + 20 * n)
-    starts, ends, at = _text.words(data, np.append(0, np.cumsum(length)))
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    doc, pos, count = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 24 * n, 8).reshape(3, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(3, n)
+    doc = np.cumsum(doc)
+    data = np.frombuffer(raw, np.uint8, -1, 8 + 24 * n)
+    starts, ends, _ = _text.words(data, np.array([0, len(data)]))
+    at = np.concatenate([[0], np.cumsum(count + k - 1)])
     _, a, b = _both(data, starts, ends, k)
     w = np.arange(count.sum()) + np.repeat(at[:-1] - (np.cumsum(count) - count), count)
     return a[w], b[w], np.repeat(doc, count), w - np.repeat(at[:-1], count) + np.repeat(pos, count)
@@ -129,8 +133,8 @@ def _reduced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         if done.num_rows:
             yield done.select(["doc", "runs"])
         blobs += [x for x in batch.column("packed").to_pylist() if x is not None]
-    total = sum(zstandard.frame_content_size(x) for x in blobs) // 20
-    passes = max(1, -(-total // PASS))
+    total = sum(zstandard.frame_content_size(x) for x in blobs) // 24
+    passes = max(1, -(-total // HELD))
     for p in range(passes):
         kept: list[list[np.ndarray]] = [[], [], [], []]
         for blob in blobs:
@@ -143,7 +147,13 @@ def _reduced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         if not kept[0]:
             return
         a, b, doc, pos = map(np.concatenate, kept)
-        late = _earlier(a, b, doc)
+        del kept
+        late = np.zeros(len(a), bool)
+        sorts = max(1, len(a) // SORTED)
+        which = (a % U(sorts)).astype(np.int32)
+        for i in range(sorts):
+            own = np.flatnonzero(which == i)
+            late[own] = _earlier(a[own], b[own], doc[own])
         rows = list(_runs(doc[late], pos[late]))
         for i in range(0, len(rows), 8192):
             docs, runs = zip(*rows[i : i + 8192])
@@ -154,12 +164,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``(doc, runs)``: runs of window positions (int32 pairs, both inclusive) whose words also start a window of a
     document with a smaller id. A document may have several rows. Rows without an id take no part."""
     n = width(docs)
-    mapped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL").mapInArrow(partial(_mapped, k=k, buckets=16 * n), MAPPED)
+    mapped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL").mapInArrow(partial(_mapped, k=k, buckets=4 * n), MAPPED)
     return mapped.repartition(n, "bucket").mapInArrow(partial(_reduced, k=k), "doc long, runs binary")
 
 
 def _cover(batches: Iterator[pa.RecordBatch], k: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    for batch in _text.slices(batches, 1):
+    for batch in _text.slices(batches, 1, 4 << 20):
         data, offs = _text.flat(batch.column(1))
         starts, ends, at = _text.words(data, offs)
         gone = np.zeros(len(starts) + 1, np.int32)
