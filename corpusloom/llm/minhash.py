@@ -7,11 +7,12 @@ a common line or two do not meet), full shingle sets confirm them.
 The plan grows with the documents, not with the pairs of a group:
 
 * equal shingle sets are one class, found by an aggregate; only its representative (smallest id) goes on;
-* the members of a band bucket are compared with the bucket's pivot (its smallest id). A pivot that has met all
-  members leaves the bucket, and a bucket whose members are in one component is done, so a round costs one pair for
-  each member and a group of near copies is settled by its first round or two;
-* what is left after ``rounds`` rounds (buckets that still hold several components) is joined on the bucket, and
-  only pairs of different components whose signatures agree well enough come out. So no candidate is given up.
+* the members of a band bucket are compared with the bucket's pivot (its smallest id), one pair for each member; most
+  groups of near copies are one component then, and their buckets are done;
+* in a bucket that still holds several components, the members outside its largest component are compared with all
+  members by their signatures, in tiles of bounded size that no task holds more than one of. Only pairs of different
+  components whose signatures come near the threshold leave a tile. So no candidate is given up, and no pairs of
+  a component's own members are made.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
 from corpusloom.llm._components import connected_components
-from corpusloom.llm._storage import materialise
+from corpusloom.llm._storage import materialise, width
 
 PERMUTATIONS, ROWS = 160, 8
-#: Signature values of which one byte each is kept, to judge pairs before their texts are read.
-SKETCH = 80
+#: How far a pair's share of equal signature values may lie below the threshold before its texts are not read (4.5
+#: standard deviations of 320 values), and about how many members of a bucket a tile has on either side.
+SLACK, TILE = 0.1, 1000
 U = np.uint64
 
 
@@ -78,7 +80,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         bands = _text.mix((sig.reshape(len(full), nb, ROWS) * c).sum(axis=2, dtype=np.uint64) + np.arange(nb, dtype=np.uint64))
         sums = np.zeros((2, batch.num_rows), np.uint64)
         sums[0, full], sums[1, full] = one, two
-        sketch = (sig[:, :SKETCH] & U(255)).astype(np.uint8)
+        sketch = (sig & U(255)).astype(np.uint8)
         raw = [b""] * batch.num_rows
         for j, i in enumerate(full):
             raw[i] = sketch[j].tobytes()
@@ -100,6 +102,33 @@ def _agreement(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
             yield batch.filter(pa.array((same - 1 / 256) / (1 - 1 / 256) >= least)).select(["a", "b"])
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile ``(h, k, s)``: pairs of an asking and another member that differ in component and may be alike."""
+
+    def pairs(t: pa.RecordBatch) -> list[tuple[int, int]]:
+        rep, comp, n, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "n", "asks"))
+        sketch = _text.flat(t.column("sketch"))[0].reshape(len(rep), -1)
+        other, out = np.flatnonzero(~asks), []
+        for i in np.flatnonzero(asks):
+            near = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+            same = (sketch[near] == sketch[i]).mean(axis=1)
+            out += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in near[(same - 1 / 256) / (1 - 1 / 256) >= least]]
+        return out
+
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        key = np.stack([t.column(c).to_numpy() for c in ("h", "k", "s")])
+        edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]) if len(t) else [0]
+        found = [x for i, j in zip(edge, edge[1:]) for x in pairs(t.slice(i, j - i).combine_chunks().to_batches()[0])]
+        held = t.slice(edge[-1])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+    if held is not None and len(held) and (found := pairs(held.combine_chunks().to_batches()[0])):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in _text.slices(batches, 2, 2 << 20):
         (x, xa), (y, ya) = (shingle_sets(*_text.flat(batch.column(c)), k) for c in (2, 3))
@@ -111,7 +140,20 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield batch.filter(pa.array(ok)).select(["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def _rest(open_: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in the buckets ``(h, rep, comp)`` whose signatures come near the threshold."""
+    parts = open_.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    parts = parts.select("h", F.col("top.comp").alias("major"), tiles(F.col("all") - F.col("top.c")).alias("nk"), tiles(F.col("all")).alias("ns"))
+    rows = materialise(open_.join(parts, "h"), "members").join(info, "rep")
+    cols = ["rep", "comp", "n", "sketch"]
+    asks = rows.where("comp <> major").select("h", F.expr("pmod(hash(rep), nk)").alias("k"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), *cols, F.lit(True).alias("asks"))
+    others = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), F.expr("pmod(hash(rep, 1), ns)").alias("s"), *cols, F.lit(False).alias("asks"))
+    both = asks.unionByName(others).repartition(width(info), "h", "k", "s").sortWithinPartitions("h", "k", "s")
+    return both.mapInArrow(partial(_tiles, least=percent / 100 - SLACK, percent=percent), "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: ``(id_col, n_shingles, component_id, kept)``.
 
     Documents are linked whose sets of ``k``-word shingles (ASCII letters in lower case, words split at ASCII white
@@ -129,32 +171,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(sig.select("id", *sets).join(reps.select("rep", *sets), sets, "left").select("id", "n", "rep"), "classes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     info = reps.select("rep", "n", "sketch")
-    open_ = reps.select(F.explode("bands").alias("h"), "rep", F.col("rep").alias("comp"))
-    links, labels = None, None
-    for step in range(rounds + 1):
-        if step < rounds:
-            pivots = open_.groupBy("h").agg(F.min(F.struct("rep", "comp")).alias("p"), F.count("*").alias("c")) if step else open_.groupBy("h").agg(F.min("rep").alias("p"), F.count("*").alias("c"))
-            pivots = pivots.where("c > 1").select("h", *((F.col("p.rep").alias("pivot"), F.col("p.comp").alias("of")) if step else (F.col("p").alias("pivot"), F.col("p").alias("of"))))
-            open_ = materialise(open_.join(pivots, "h").where("rep <> pivot"), "buckets")
-            pairs = open_.where("comp <> of").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        else:
-            other = open_.select("h", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = open_.join(other, "h").where("rep > b AND comp <> comp_b").select(F.col("rep").alias("a"), "b")
-        pairs = pairs.distinct().join(info.toDF("a", "na", "ka"), "a").join(info.toDF("b", "nb", "kb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ka", "kb")
-        pairs = materialise(pairs.mapInArrow(partial(_agreement, least=max(0.0, percent / 100 - 0.25)), "a long, b long"), "pairs")
-        new = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long")
-        new = materialise(new, "links")
-        links = new if links is None else links.unionByName(new)
-        labels = materialise(connected_components(links), "labels")
-        if step < rounds:
-            open_ = open_.select("h", "rep").join(labels.toDF("rep", "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
-            several = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
-            open_ = materialise(open_.join(several, "h"), "buckets")
-            if not open_.limit(1).count():
-                break
+    open_ = reps.select(F.explode("bands").alias("h"), "rep")
+    pivots = open_.groupBy("h").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("h", "pivot")
+    open_ = materialise(open_.join(pivots, "h").where("rep <> pivot"), "buckets")
+    pairs = open_.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = pairs.join(info.toDF("a", "na", "ka"), "a").join(info.toDF("b", "nb", "kb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ka", "kb")
+    pairs = materialise(pairs.mapInArrow(partial(_agreement, least=percent / 100 - SLACK), "a long, b long"), "pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return materialise(full.mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long"), "links")
+
+    links = linked(pairs)
+    labels = materialise(connected_components(links), "labels")
+    open_ = open_.select("h", "rep").join(labels.toDF("rep", "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
+    pairs = materialise(_rest(open_, info, percent), "pairs")
+    if pairs.limit(1).count():
+        # Of the first links only the components matter now.
+        stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = materialise(connected_components(stars.unionByName(linked(pairs))), "labels")
     out = classes.select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    if labels is not None:
-        out = out.join(labels.toDF("rep", "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("rep"))
+    out = out.join(labels.toDF("rep", "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.lit(True)).alias("kept"))
 
 
