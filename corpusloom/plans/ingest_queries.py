@@ -227,7 +227,7 @@ def i26(spark, d):
     return I.cleanup_candidates(f, r, 75.0, NOW).select("path", "size", "priority")
 
 
-@query("i27_scan_frontier", "SELECT event_type AS run_id, user_id AS dir, CAST(row_number() OVER (PARTITION BY event_type ORDER BY min(event_id)) AS INT) AS place FROM events WHERE user_id % 3 <> 0 GROUP BY ALL")
+@query("i27_scan_frontier", "WITH p AS (SELECT event_type AS run_id, user_id AS dir, min(event_id) AS seq FROM events WHERE user_id % 3 <> 0 GROUP BY ALL) SELECT run_id, dir, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS INT) AS place FROM p")
 def i27(spark, d):
     p = events(spark, d).groupBy(F.col("event_type").alias("run_id"), F.col("user_id").alias("dir")).agg(F.min("event_id").alias("seq"))
     return I.scan_frontier(p, p.where("dir % 3 = 0").select("run_id", "dir")).select("run_id", "dir", "place")
