@@ -89,9 +89,9 @@ def i08(spark, d):
     return I.missing_files(o, o.where("path % 2 = 0"), o.where("dir IN ('src1', 'src2', 'src3')").select("dir").distinct(), o.where("path % 5 = 0")).select("path")
 
 
-@query("i09_deleted_between_runs", "SELECT DISTINCT user_id AS path FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
+@query("i09_deleted_between_runs", "SELECT DISTINCT user_id * 100 + day(ts) AS path FROM events WHERE event_type = 'click' EXCEPT SELECT user_id * 100 + day(ts) FROM events WHERE event_type = 'purchase'")
 def i09(spark, d):
-    e = events(spark, d).select(F.col("user_id").alias("path"), "event_type")
+    e = events(spark, d).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("path"), "event_type")
     return I.deleted_between_runs(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"))
 
 
