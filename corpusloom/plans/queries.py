@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.plans.registry import QUERIES, SQL
 
-for _name in ("text_queries", "retrieval_queries", "corpus_queries", "ingest_queries", "graph_queries", "memory_queries"):
+for _name in ("text_queries", "retrieval_queries", "corpus_queries", "ingest_queries", "graph_queries", "memory_queries", "analytics_queries", "streaming_queries"):
     importlib.import_module(f"corpusloom.plans.{_name}")
 
 __all__ = ["QUERIES", "SQL"]
