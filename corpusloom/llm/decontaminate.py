@@ -116,12 +116,17 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> It
             if b <= a:
                 continue
             same = doc[a + shift : b + shift] == item[a:b]
-            # The best stretch: a match counts for 100 - percent, a substitution against it with percent.
-            score = np.cumsum(np.where(same, 100 - percent, -percent))
-            low = np.minimum.accumulate(np.append(0, score[:-1]))
-            end = int(np.argmax(score - low))
-            begin = int(np.argmin(np.append(0, score[:end]))) if end else 0
-            n = int(same[begin : end + 1].sum())
+            # Of the stretches in which enough words agree, the one with the most: its end's score is at least that of its
+            # beginning, a match counting for 100 - percent and a substitution against it with percent.
+            score = np.append(0, np.cumsum(np.where(same, 100 - percent, -percent)))
+            count = np.append(0, np.cumsum(same))
+            first = np.searchsorted(-np.minimum.accumulate(score), -score)
+            end = int(np.argmax(count - count[first]))
+            begin, n = int(first[end]), int(count[end] - count[first[end]])
+            if not n:
+                continue
+            hit = np.flatnonzero(same[begin:end])
+            begin, end = begin + int(hit[0]), begin + int(hit[-1])
             if n >= min(words, -(-percent * len(item) // 100)):
                 out.append((r["doc"], r["item"], a + begin + r["diagonal"], end + 1 - begin, n))
         if out:
@@ -132,8 +137,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """``(doc, item, start_word, n_words, n_same)``: stretches of documents that copy a benchmark item.
 
     Words are compared in ASCII lower case with ASCII punctuation as white space. A stretch is verified if its words
-    agree with the item's, position by position, in ``words`` places (or in ``percent`` of an item that is shorter), where
-    each substitution is made good by ``percent`` / (100 - ``percent``) equal words. Items under 5 words are no evidence
+    agree with the item's, position by position, in ``words`` places (or in ``percent`` of an item that is shorter) and in
+    ``percent`` of the stretch. Items under 5 words are no evidence
     and never match. Null texts match nothing; documents or items without an id are left out; repeated rows give the
     same result once. Both tables may be empty.
     """

@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = ["n", "s1", "s2"]
     reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
     reps = materialise(reps.select("rep", *sets, "x.bands", "x.sketch"), "reps")
-    classes = materialise(sig.select("id", *sets).join(reps.select("rep", *sets), sets, "left").select("id", "n", "rep"), "classes")
+    classes = materialise(sig.select("id", *sets).join(reps.select("rep", *sets), sets, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     info = reps.select("rep", "n", "sketch")
     open_ = reps.select(F.explode("bands").alias("h"), "rep")
