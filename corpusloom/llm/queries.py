@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_wrapper, licenses, minhash, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc
+from corpusloom.llm import decontaminate, html_wrapper, licenses, minhash, oracles, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_minhash_neardup, op2_sentencepiece, op3_decontamination, op4_warc, op5_html_extraction, op6_license_scan, op7_token_output, op8_substring_dedup, op9_secret_scan, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
