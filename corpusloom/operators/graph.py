@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contribution, provenance, regex_entities
+from corpusloom.operators.joins import predicate_join
 from corpusloom.operators.retrieval import top
 
 
@@ -57,7 +58,7 @@ def chunk_source(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def related_context(keywords: DataFrame, entities: DataFrame, edges: DataFrame, limit: int = 40) -> DataFrame:
     """``(query_id, keyword)``: edges from entities whose name holds a keyword, any case, with the entity's topic."""
-    hit = entities.join(F.broadcast(keywords), F.contains(F.lower("name"), F.lower("keyword"))).select("query_id", F.col("key").alias("src")).distinct()
+    hit = predicate_join(entities, keywords, F.contains(F.lower("name"), F.lower("keyword"))).select("query_id", F.col("key").alias("src")).distinct()
     topics = edges.where("rel = 'PART_OF'").select(F.col("src"), F.col("dst").alias("topic"))
     out = hit.join(edges.where("rel IN ('RELATED_TO', 'PART_OF')"), "src").join(topics, "src", "left").select("query_id", "src", "rel", "dst", "topic").distinct()
     return top(out, limit, F.col("src"), F.col("rel"), F.col("dst"), F.col("topic"))

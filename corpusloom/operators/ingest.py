@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import predicate_join
 from corpusloom.operators.retrieval import top
 
 
@@ -167,9 +168,9 @@ def purge_expired(rows: DataFrame, now: str) -> DataFrame:
 def cleanup_candidates(files: DataFrame, rules: DataFrame, usage: float, now: str) -> DataFrame:
     """Files that a rule ``(pattern, max_age_days, min_size, priority)`` gives up, oldest then largest first."""
     if usage < 70:
-        return files.join(F.broadcast(rules)).where("false")
+        return files.where("false").withColumn("priority", F.lit(0))
     hard = usage >= 85
-    df = files.join(F.broadcast(rules), F.expr("path RLIKE pattern") & (F.col("size") >= F.col("min_size")))
+    df = predicate_join(files, rules, F.expr("path RLIKE pattern") & (F.col("size") >= F.col("min_size")))
     df = df.where(F.col("priority") <= 3) if hard else df.where(F.col("mtime") <= F.lit(now).cast("timestamp") - F.make_dt_interval(F.col("max_age_days")))
     best = df.groupBy("path", "size", "mtime").agg(F.min("priority").alias("priority"))
     return best.orderBy("mtime", F.desc("size"), "path")

@@ -132,12 +132,12 @@ def filter_meta(df: DataFrame, filters: dict) -> DataFrame:
 
 
 def acl_filter(chunks: DataFrame, users: DataFrame) -> DataFrame:
-    """``(user_id, chunk columns)`` that each user may see: not archived, and public, own, or shared with them. Public
-    chunks meet every user; the others are joined by user id."""
+    """``(user_id, chunk columns)`` that users may see: not archived, and own or shared with them. Public chunks are
+    there once, without a user: everyone sees them."""
     live = chunks.where("NOT coalesce(archived, false)")
     private = live.where("visibility IS NULL OR visibility <> 'public'")
     may = private.select("*", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("owner_id"), F.coalesce("allowed_user_ids", F.array().cast("array<string>")))))).alias("user_id"))
-    return may.join(users.select("user_id"), "user_id").unionByName(live.where("visibility = 'public'").join(F.broadcast(users.select("user_id"))))
+    return may.join(users.select("user_id"), "user_id", "left_semi").unionByName(live.where("visibility = 'public'").withColumn("user_id", F.lit(None).cast("string")))
 
 
 def with_archive_fallback(hits: DataFrame, archived: str = "archived", k: int = 10) -> DataFrame:

@@ -105,7 +105,7 @@ def chunks(spark, d):
     return table(spark, d, "documents").select(i.alias("id"), (i % 7 == 0).alias("archived"), F.when(i % 3 == 0, "public").otherwise("private").alias("visibility"), F.col("source").alias("owner_id"), F.array(F.concat(F.lit("src"), i % 5), F.concat(F.lit("src"), i % 11)).alias("allowed_user_ids"))
 
 
-@query("r09_acl_filter", f"WITH {ACL} SELECT DISTINCT u.user_id, id FROM c, (SELECT DISTINCT source AS user_id FROM documents) u WHERE NOT archived AND (visibility = 'public' OR owner_id = user_id OR list_contains(allowed, user_id))")
+@query("r09_acl_filter", f"WITH {ACL} SELECT NULL AS user_id, id FROM c WHERE NOT archived AND visibility = 'public' UNION ALL SELECT DISTINCT u, id FROM (SELECT id, unnest(list_append(allowed, owner_id)) AS u FROM c WHERE NOT archived AND visibility <> 'public') WHERE u IN (SELECT source FROM documents)")
 def r09(spark, d):
     users = table(spark, d, "documents").select(F.col("source").alias("user_id")).distinct()
     return R.acl_filter(chunks(spark, d), users).select("user_id", "id")

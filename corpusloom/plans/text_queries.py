@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions import text as X
+from corpusloom.operators.joins import predicate_join
 from corpusloom.plans.registry import query, table
 
 
@@ -241,8 +242,8 @@ def p39(spark, d):
 
 
 def pipeline_tags(paths, rules_df):
-    """``(path, tags)`` by a rule table of (tag, pattern), which is small and goes to every task."""
-    return paths.join(F.broadcast(rules_df), F.expr("path RLIKE pattern")).groupBy("path").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    """``(path, tags)`` by a rule table of (tag, pattern)."""
+    return predicate_join(paths, rules_df, F.expr("path RLIKE pattern")).groupBy("path").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 @query("p40_pipeline_tags", "WITH r AS (SELECT * FROM (VALUES ('example', 'example'), ('secure', '^https:'), ('blog', '//blog\\.')) r(tag, pattern)), m AS (SELECT DISTINCT url AS path, tag FROM pages JOIN r ON regexp_matches(url, pattern)) SELECT path, string_agg(tag, ',' ORDER BY tag) AS tags FROM m GROUP BY path")
