@@ -28,7 +28,8 @@ MINIMISER = 3
 #: A reducing task holds at most about so many windows, and sorts so many at once; a larger bucket takes several
 #: passes over its strings.
 HELD, SORTED = 6_000_000, 1_000_000
-MAPPED = "bucket int, doc long, runs binary, packed binary"
+MAPPED = "bucket int, slot int, runs binary, packed binary"
+SLOTTED = "slot int, runs binary"
 
 
 def _both(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,23 +52,39 @@ def _earlier(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Window positions of each document as (first, last) pairs of int32."""
+def _runs(doc: np.ndarray, pos: np.ndarray, slots: int) -> Iterator[tuple[int, bytes]]:
+    """Window positions as runs (document, first, last), packed by the documents' slots."""
     if not len(doc):
         return
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
+    slot = doc % slots
+    order = np.lexsort((pos, doc, slot))
+    doc, pos, slot = doc[order], pos[order], slot[order]
     cut = np.ones(len(doc), bool)
     cut[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)
     first = np.flatnonzero(cut)
-    pairs = np.stack([pos[first], pos[np.append(first[1:], len(doc)) - 1]], axis=1).astype(np.int32)
-    of = doc[first]
-    at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    for i, j in zip(at, np.append(at[1:], len(of))):
-        yield int(of[i]), pairs[i:j].tobytes()
+    runs = np.stack([doc[first], pos[first], pos[np.append(first[1:], len(doc)) - 1]]).astype(np.int64)
+    at = np.flatnonzero(np.append(True, slot[first][1:] != slot[first][:-1]))
+    zip_ = zstandard.ZstdCompressor(level=1)
+    for i, j in zip(at, np.append(at[1:], len(first))):
+        yield int(slot[first[i]]), zip_.compress(runs[:, i:j].tobytes())
 
 
-def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed runs of whole slots as one row for each document."""
+    blobs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(3, -1) for b in batches for x in b.column("runs").to_pylist()]
+    if not blobs:
+        return
+    doc, first, last = np.concatenate(blobs, axis=1)
+    order = np.argsort(doc, kind="stable")
+    doc, pairs = doc[order], np.stack([first[order], last[order]], axis=1).astype(np.int32)
+    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    ends = np.append(edge[1:], len(doc))
+    for k in range(0, len(edge), 8192):
+        i, j = edge[k : k + 8192], ends[k : k + 8192]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array([pairs[a:b].tobytes() for a, b in zip(i, j)], pa.binary())], names=["doc", "runs"])
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int, slots: int) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=3)
     for batch in _text.slices(batches, 1, 4 << 20):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -83,7 +100,7 @@ def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator
         row_of, doc = row[real], ids[row[real]]
         pos = real - at[row_of]
         settled = _earlier(a[real], b[real], doc)
-        rows = [(int(d) % buckets, d, r, None) for d, r in _runs(doc[settled], pos[settled])]
+        rows = [(slot % buckets, slot, r, None) for slot, r in _runs(doc[settled], pos[settled], slots)]
         least = _text.rolling(h, MINIMISER, 15)
         key = least[: len(a)].copy()
         for i in range(1, k - MINIMISER + 1):
@@ -109,7 +126,7 @@ def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator
                 numbers = np.stack([np.diff(doc[first[i:j]], prepend=0), pos[first[i:j]], count[i:j]]).astype(np.int64)
                 rows.append((int(bucket[i]), None, None, zip_.compress(np.int64(j - i).tobytes() + numbers.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes() + text.tobytes())))
         for i in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096]), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "doc", "runs", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "slot", "runs", "packed"])
 
 
 def _unpacked(blob: bytes, k: int) -> tuple[np.ndarray, ...]:
@@ -126,12 +143,12 @@ def _unpacked(blob: bytes, k: int) -> tuple[np.ndarray, ...]:
     return a[w], b[w], np.repeat(doc, count), w - np.repeat(at[:-1], count) + np.repeat(pos, count)
 
 
-def _reduced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _reduced(batches: Iterator[pa.RecordBatch], k: int, slots: int) -> Iterator[pa.RecordBatch]:
     blobs, total = [], 0
     for batch in batches:
         done = batch.filter(batch.column("runs").is_valid())
         if done.num_rows:
-            yield done.select(["doc", "runs"])
+            yield done.select(["slot", "runs"])
         blobs += [x for x in batch.column("packed").to_pylist() if x is not None]
     total = sum(zstandard.frame_content_size(x) for x in blobs) // 24
     passes = max(1, -(-total // HELD))
@@ -154,18 +171,20 @@ def _reduced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         for i in range(sorts):
             own = np.flatnonzero(which == i)
             late[own] = _earlier(a[own], b[own], doc[own])
-        rows = list(_runs(doc[late], pos[late]))
-        for i in range(0, len(rows), 8192):
-            docs, runs = zip(*rows[i : i + 8192])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(runs, pa.binary())], names=["doc", "runs"])
+        rows = list(_runs(doc[late], pos[late], slots))
+        for i in range(0, len(rows), 1024):
+            slot, runs = zip(*rows[i : i + 1024])
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(runs, pa.binary())], names=["slot", "runs"])
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
-    """``(doc, runs)``: runs of window positions (int32 pairs, both inclusive) whose words also start a window of a
-    document with a smaller id. A document may have several rows. Rows without an id take no part."""
+    """``(doc, runs)``, one row for each document with any: runs of window positions (int32 pairs, both inclusive) whose
+    words also start a window of a document with a smaller id. Rows without an id take no part."""
     n = width(docs)
-    mapped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL").mapInArrow(partial(_mapped, k=k, buckets=4 * n), MAPPED)
-    return mapped.repartition(n, "bucket").mapInArrow(partial(_reduced, k=k), "doc long, runs binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+    mapped = rows.mapInArrow(partial(_mapped, k=k, buckets=4 * n, slots=4 * n), MAPPED)
+    found = mapped.repartition(n, "bucket").mapInArrow(partial(_reduced, k=k, slots=4 * n), SLOTTED)
+    return found.repartition(n, "slot").mapInArrow(_merged, "doc long, runs binary")
 
 
 def _cover(batches: Iterator[pa.RecordBatch], k: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -175,8 +194,8 @@ def _cover(batches: Iterator[pa.RecordBatch], k: int, texts: bool) -> Iterator[p
         gone = np.zeros(len(starts) + 1, np.int32)
         n = np.diff(at)
         for i, runs in enumerate(batch.column(2).to_pylist()):
-            for one in runs or ():
-                first, last = np.frombuffer(one, np.int32).reshape(-1, 2).T
+            if runs:
+                first, last = np.frombuffer(runs, np.int32).reshape(-1, 2).T
                 np.add.at(gone, at[i] + np.minimum(first, n[i]), 1)
                 np.add.at(gone, at[i] + np.minimum(last + k, n[i]), -1)
         removed = np.cumsum(gone[:-1]) > 0
@@ -203,7 +222,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and takes none from others. Rows that repeat an id count as one document and never take words from each other.
     Windows are compared by two independent 64-bit hashes, in buckets of any size.
     """
-    found = repeated_windows(docs, id_col, text_col, k).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    found = repeated_windows(docs, id_col, text_col, k)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.join(found, F.col("id").cast("long") == F.col("doc"), "left").select("id", "t", "runs")
     kind = dict(docs.dtypes)[id_col]
