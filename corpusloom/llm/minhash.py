@@ -10,8 +10,8 @@ The plan grows with the documents, not with the pairs of a group:
 * the members of a band bucket are compared with the bucket's pivot (its smallest id), one pair for each member; most
   groups of near copies are one component then, and their buckets are done;
 * in a bucket that still holds several components, the members outside its largest component are compared with all
-  members by their signatures, in tiles of bounded size that no task holds more than one of. Only pairs of different
-  components whose signatures come near the threshold leave a tile. So no candidate is given up, and no pairs of
+  members in tiles of bounded size, of which a task holds one at a time: signatures choose whom to compare, full shingle
+  sets decide, and one link to each other component leaves a tile. So no candidate is given up, and no pairs of
   a component's own members are made.
 """
 
@@ -102,17 +102,32 @@ def _agreement(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
             yield batch.filter(pa.array((same - 1 / 256) / (1 - 1 / 256) >= least)).select(["a", "b"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in _text.slices(batches, 1, 4 << 20):
+        sets, at = shingle_sets(*_text.flat(batch.column(1)), k)
+        yield pa.record_batch([batch.column(0), pa.array([sets[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], names=["rep", "grams"])
+
+
 def _tiles(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile ``(h, k, s)``: pairs of an asking and another member that differ in component and may be alike."""
+    """Rows sorted by tile ``(h, k, s)``: for each asking member one link to each other component that it has one with in
+    the tile. Signatures choose whom to compare, full sets decide."""
 
     def pairs(t: pa.RecordBatch) -> list[tuple[int, int]]:
         rep, comp, n, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "n", "asks"))
         sketch = _text.flat(t.column("sketch"))[0].reshape(len(rep), -1)
+        data, offs = _text.flat(t.column("grams"))
+        grams, at = np.frombuffer(data.tobytes(), np.uint64), offs // 8
         other, out = np.flatnonzero(~asks), []
         for i in np.flatnonzero(asks):
             near = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
             same = (sketch[near] == sketch[i]).mean(axis=1)
-            out += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in near[(same - 1 / 256) / (1 - 1 / 256) >= least]]
+            near = near[(same - 1 / 256) / (1 - 1 / 256) >= least]
+            if len(near):
+                mine = grams[at[i] : at[i + 1]]
+                theirs = _text.gather(grams, at[near], n[near])
+                both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs, np.cumsum(n[near]) - n[near], dtype=np.int64)
+                near = near[100 * both >= percent * (n[near] + n[i] - both)]
+                out += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in near[np.unique(comp[near], return_index=True)[1]]]
         return out
 
     held: pa.Table | None = None
@@ -140,13 +155,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield batch.filter(pa.array(ok)).select(["a", "b"])
 
 
-def _rest(open_: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components in the buckets ``(h, rep, comp)`` whose signatures come near the threshold."""
+def _rest(open_: DataFrame, info: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between different components in the buckets ``(h, rep, comp)``. Only members of buckets with several
+    components are read, and their shingle sets go with them to the tiles."""
     parts = open_.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     parts = parts.select("h", F.col("top.comp").alias("major"), tiles(F.col("all") - F.col("top.c")).alias("nk"), tiles(F.col("all")).alias("ns"))
-    rows = materialise(open_.join(parts, "h"), "members").join(info, "rep")
-    cols = ["rep", "comp", "n", "sketch"]
+    rows = materialise(open_.join(parts, "h"), "members")
+    own = rows.select("rep").distinct().join(texts.toDF("rep", "t"), "rep").mapInArrow(partial(_sets, k=k), "rep long, grams binary").dropDuplicates(["rep"])
+    rows = rows.join(materialise(info.join(own, "rep"), "sets"), "rep")
+    cols = ["rep", "comp", "n", "sketch", "grams"]
     asks = rows.where("comp <> major").select("h", F.expr("pmod(hash(rep), nk)").alias("k"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), *cols, F.lit(True).alias("asks"))
     others = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), F.expr("pmod(hash(rep, 1), ns)").alias("s"), *cols, F.lit(False).alias("asks"))
     both = asks.unionByName(others).repartition(width(info), "h", "k", "s").sortWithinPartitions("h", "k", "s")
@@ -178,18 +196,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(info.toDF("a", "na", "ka"), "a").join(info.toDF("b", "nb", "kb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ka", "kb")
     pairs = materialise(pairs.mapInArrow(partial(_agreement, least=percent / 100 - SLACK), "a long, b long"), "pairs")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return materialise(full.mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long"), "links")
-
-    links = linked(pairs)
+    full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    links = materialise(full.mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long"), "links")
     labels = materialise(connected_components(links), "labels")
     open_ = open_.select("h", "rep").join(labels.toDF("rep", "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
-    pairs = materialise(_rest(open_, info, percent), "pairs")
-    if pairs.limit(1).count():
+    more = materialise(_rest(open_, info, texts, k, percent), "links")
+    if more.limit(1).count():
         # Of the first links only the components matter now.
         stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = materialise(connected_components(stars.unionByName(linked(pairs))), "labels")
+        labels = materialise(connected_components(stars.unionByName(more)), "labels")
     out = classes.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels.toDF("rep", "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.lit(True)).alias("kept"))
