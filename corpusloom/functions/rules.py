@@ -185,7 +185,10 @@ METADATA_INTS = "file_size_bytes chunk_index chunk_total directory_file_index di
 STRUCTURE = {
     "py": r"^\s*(def |class |async def )",
     "js": r"^\s*(function |class |export |async function )",
-    "ts": r"^\s*(function |class |export |interface |type |enum )",
+    "ts": r"^\s*(function |class |export |interface |type |enum |const \w+ = (async )?\()",
+    "java": r"^\s*((public|private|protected|static|final|abstract) )*(class|interface|enum|record) \w+|^\s*((public|private|protected|static|final|abstract|synchronized) )+[\w<>\[\], ]+\([^;]*$",
+    "cs": r"^\s*((public|private|protected|internal|static|sealed|abstract|partial) )*(class|interface|enum|struct|record) \w+|^\s*((public|private|protected|internal|static|virtual|override|async) )+[\w<>\[\], ]+\([^;]*$",
+    "c": r"^(struct|enum|union|typedef) |^[A-Za-z_][\w\s*]*\w\s*\([^;]*\)\s*\{?\s*$",
     "go": r"^\s*(func |type |const |var )",
     "rb": r"^\s*(def |class |module |attr_)",
     "php": r"^\s*(function |class |interface |trait )",
