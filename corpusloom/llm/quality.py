@@ -7,6 +7,8 @@ Everything is computed within a document's row: no shuffle, no Python.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ CLASSES = (0.16, 0.005, 0.001, 0.03, 0.03, 0.774)
 SHARES = tuple(0.06 * r**-0.8 for r in range(1, 21))
 
 
+def _js(p: list[float], q: list[float]) -> float:
+    """The Jensen-Shannon distance of two lists of shares."""
+    return math.sqrt(sum(x * math.log2(2 * x / (x + y)) for a in (zip(p, q), zip(q, p)) for x, y in a if x > 0) / 2)
+
+
+#: Limits by the sign of the departure, from the references alone. Too few common words: three quarters of the distance of
+#: a text that has none of them. Too many symbols: the distance of prose with one more symbol and space for every second word.
+LACK_LIMIT = 0.75 * _js([0.0] * len(SHARES) + [1.0], [*SHARES, 1 - sum(SHARES)])
+SYMBOL_LIMIT = _js([(x + CLASSES[0] / 2 * (i in (0, 2))) / (1 + CLASSES[0]) for i, x in enumerate(CLASSES)], list(CLASSES))
+
+
 def _let(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` names it."""
     return F.transform(F.array(value), f)[0]
@@ -75,7 +88,8 @@ def repeated_words(words: Column, k: int = 5) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with one more column ``q``: a struct of counts and of the two distances (``class_js``, ``word_js``)."""
+    """``docs`` with one more column ``q``: a struct of counts, of the two distances (``class_js``, ``word_js``) and of the
+    language's common words' share of all words (``word_share``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
@@ -101,32 +115,40 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rest = c["chars"] - space - c["digits"] - c["n_symbols"] - c["punctuation"] - c["upper"]
     classes = F.array(*(x / n for x in (space, c["digits"], c["n_symbols"], c["punctuation"], c["upper"], F.greatest(rest, F.lit(0)))))
     total = F.greatest(c["n_words"], F.lit(1))
-    word_js = F.lit(None).cast("double")
+    word_js = word_share = F.lit(None).cast("double")
     for lang, common in COMMON.items():
         shares = F.transform(F.array(*map(F.lit, common.split())), lambda r: F.size(F.filter("__h", lambda x: x == r)) / total)
         filled = _let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
         word_js = F.when(F.col(lang_col) == lang, _distance(filled, [*SHARES, 1 - sum(SHARES)])).otherwise(word_js)
+        word_share = F.when(F.col(lang_col) == lang, F.size(F.filter("__h", lambda x: x.isin(common.split()))) / total).otherwise(word_share)
     class_js = F.when(F.col(lang_col).isin(list(COMMON)), _distance(classes, list(CLASSES)))
-    q = F.struct(*(c[k].alias(k) for k in counts), class_js.alias("class_js"), word_js.alias("word_js"))
+    q = F.struct(*(c[k].alias(k) for k in counts), class_js.alias("class_js"), word_js.alias("word_js"), word_share.alias("word_share"))
     return df.withColumn("q", q).drop("__w", "__l", "__c", "__h")
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.3, class_words: int = 30, word_limit: float = 0.4, word_words: int = 100) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.3, class_words: int = 30, word_limit: float = 0.4, word_words: int = 100, lack_limit: float | None = None, symbol_limit: float | None = None) -> DataFrame:
     """``docs`` with ``q`` (see ``features``), ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 10 words, or over 20 % of the words in 5-word windows found twice or more. Others are
     kept unless, in a language with references, the character classes of a document of at least ``class_words`` words
     are farther than ``class_limit`` from prose, or the common words of one of at least ``word_words`` words farther than
-    ``word_limit`` from the language's. A null or empty text has no words and fails; a null or unknown language is
+    ``word_limit`` from the language's. ``lack_limit`` is a second limit of the words' distance where common words are fewer
+    than the language's, ``symbol_limit`` one of the classes' where symbols are more than in prose; the distance of a text
+    without common words is 0.398, so a ``word_limit`` of 0.4 alone never finds one. A null or empty text has no words and fails; a null or unknown language is
     judged by the base rules alone. Repeated rows are judged alike; an empty table gives an empty table.
     """
     df = features(docs, text_col, lang_col)
     q = F.col("q")
     failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
     far = ((q["n_words"] >= class_words) & (q["class_js"] > class_limit)) | ((q["n_words"] >= word_words) & (q["word_js"] > word_limit))
+    if lack_limit is not None:
+        far |= (q["n_words"] >= word_words) & (q["word_share"] < sum(SHARES)) & (q["word_js"] > lack_limit)
+    if symbol_limit is not None:
+        far |= (q["n_words"] >= class_words) & (q["n_symbols"] > CLASSES[2] * q["chars"]) & (q["class_js"] > symbol_limit)
     return df.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(far, F.lit(False))})
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``; the limits by sign hold."""
+    options = {"lack_limit": LACK_LIMIT, "symbol_limit": SYMBOL_LIMIT} | options
     return judge(docs.withColumn("__row", F.struct("*")), text_col, lang_col, **options).where("kept").select("__row.*")

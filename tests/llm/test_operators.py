@@ -341,3 +341,19 @@ def test_clean_prose_is_kept_and_junk_is_not(spark, sf):
     labelled = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     judged = labelled.where("NOT base_failed AND q.n_words >= 50").select("quality", "kept").collect()
     assert all(r.kept for r in judged if r.quality == 1)
+
+
+def test_junk_without_common_words_and_menus_are_rejected(spark, sf):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdefghiklmnoprstu") for _ in range(6))
+    junk = [" ".join(word().title() + "." if k % 10 == 9 else word() for k in range(n)) for n in (100, 150, 400)]
+    menus = [" | ".join(f"{word()} {word()}" if k % 2 else word() for k in range(n)) for n in (30, 45, 100, 300)]
+    common = quality.COMMON["en"].split()
+    prose = [". ".join(" ".join([word().title(), *(rng.choices(common, range(20, 0, -1))[0] if rng.random() < 0.28 else word() for _ in range(9))]) for _ in range(n)) for n in (10, 15, 40)]
+    rows = [(i, t, "en") for i, t in enumerate(junk + menus + prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert not quality.judge(df).where("base_failed").count()
+    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == list(range(len(junk + menus), len(rows)))
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    good = quality.judge(good).where("NOT base_failed AND q.n_words >= 50").select("doc_id", "text", "lang")
+    assert quality.keep_good(good).count() == good.count()
