@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm import _text
 from corpusloom.llm._storage import materialise
 
-#: Masks for items of at least 11 words, and for shorter ones of at least 5.
-MASKS = ("11011011011", "10111001111", "11110100111")
-SHORT_MASKS = ("11011", "10111", "11101")
+#: Masks for items of at least LONG words, and for shorter ones of at least 5. With 13 words and 80 percent, at least one
+#: of them fits between the substitutions of every copy that is accepted. A stretch with 26 agreeing words or more has a
+#: shorter one that is accepted, so 31 words show all patterns; a test goes through them.
+MASKS = ("1111011", "1010001111", "1111000101", "111010101")
+SHORT_MASKS = ("1111", "11101", "11011", "10111")
+LONG = 12
 MAX_FILTER_BITS = 1 << 30
 U = np.uint64
 
@@ -63,12 +66,12 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, at = _words(batch.column(1))
         size = np.diff(at)
         ids = batch.column(0)
-        for masks, low, high in ((MASKS, len(MASKS[0]), 1 << 60), (SHORT_MASKS, len(SHORT_MASKS[0]), len(MASKS[0]))):
+        for masks, low, high in ((MASKS, LONG, 1 << 60), (SHORT_MASKS, 5, LONG)):
             for mask in masks:
                 seed = _masked(h, mask)
                 row, ok = _inside(at, len(seed), len(mask))
                 ok &= (size[row] >= low) & (size[row] < high)
-                yield pa.record_batch([ids.take(pa.array(row[ok])), pa.array(np.flatnonzero(ok) - at[row[ok]]), _text.long_array(seed[ok]), pa.array(size[row[ok]]), pa.array(np.full(ok.sum(), len(mask)))], names=["item", "item_pos", "h", "item_words", "span"])
+                yield pa.record_batch([ids.take(pa.array(row[ok])), pa.array(np.flatnonzero(ok) - at[row[ok]]), _text.long_array(seed[ok]), pa.array(size[row[ok]])], names=["item", "item_pos", "h", "item_words"])
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,21 +141,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Words are compared in ASCII lower case with ASCII punctuation as white space. A stretch is verified if its words
     agree with the item's, position by position, in ``words`` places (or in ``percent`` of an item that is shorter) and in
-    ``percent`` of the stretch. Items under 5 words are no evidence
-    and never match. Null texts match nothing; documents or items without an id are left out; repeated rows give the
+    ``percent`` of the stretch. With lower values than these defaults the masks may miss copies. Items under
+    5 words are no evidence and never match. Null texts match nothing; documents or items without an id are left out; repeated rows give the
     same result once. Both tables may be empty.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
-    seeds = materialise(items.mapInArrow(_item_seeds, "item long, item_pos long, h long, item_words long, span long"), "seeds")
-    n, reach, short = seeds.agg(F.count("*"), F.max("item_words"), F.min("span")).first()
+    seeds = materialise(items.mapInArrow(_item_seeds, "item long, item_pos long, h long, item_words long"), "seeds")
+    n, reach, least = seeds.agg(F.count("*"), F.max("item_words"), F.min("item_words")).first()
     size = min(MAX_FILTER_BITS, max(1 << 16, 1 << (32 * (n or 1)).bit_length()))
     # At most size / 64 words of the filter come to the driver.
     slots = seeds.select(F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))).alias("s"))
     parts = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
     bloom = np.zeros(size // 64, np.int64)
     bloom[parts.column("word").to_numpy()] = parts.column("bits").to_numpy()
-    masks = MASKS + (SHORT_MASKS if short == len(SHORT_MASKS[0]) else ())
+    masks = MASKS + (SHORT_MASKS if least and least < LONG else ())
     found = rows.mapInArrow(partial(_regions, bloom=bloom.tobytes(), masks=masks, reach=int(reach or 1)), "doc long, region long, hashes binary, pos array<long>, h array<long>")
     found = materialise(found, "regions")
     hits = found.select("doc", "region", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("doc", "region", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))

@@ -4,11 +4,13 @@ columns whose names clash with those that the operators use."""
 import base64
 import hashlib
 import html as html_lib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -218,6 +220,31 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count()
 
 
+def test_masks_find_every_accepted_pattern():
+    def missed(n, m, masks):
+        left = np.array([sum(1 << p for p in c) for c in itertools.combinations(range(n), m)], np.int64)
+        for mask in masks:
+            bits = sum(1 << i for i, on in enumerate(mask) if on == "1")
+            for at in range(n - len(mask) + 1):
+                left = left[left & (bits << at) != 0]
+        return len(left)
+
+    short = {n: missed(n, n - -(-80 * n // 100), decontaminate.SHORT_MASKS) for n in range(5, decontaminate.LONG)}
+    whole = {n: missed(n, n - min(13, -(-80 * n // 100)), decontaminate.MASKS) for n in range(decontaminate.LONG, 17)}
+    # Substitutions, and the longest stretch that is accepted with them: beyond these, a part of the stretch is accepted.
+    longer = {m: missed(5 * m, m, decontaminate.MASKS) for m in (4, 5, 6)}
+    assert not any([*short.values(), *whole.values(), *longer.values()]), (short, whole, longer)
+
+
+def test_copies_with_any_replaced_words_are_found(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (5, 7, 11, 12, 15, 16)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    cases = [(n, c) for n in items for c in itertools.combinations(range(n), n - min(13, -(-80 * n // 100)))]
+    docs = [(i, "a b c " + " ".join("x" if k in c else w for k, w in enumerate(items[n])) + " d e f") for i, (n, c) in enumerate(cases)]
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {i: [n] for i, (n, _) in enumerate(cases)}
+
+
 def test_warc_round_trip(spark):
     nasty = [None, "", "\r\n\r\n", "a\r\n\r\n", "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "x" * 2500, "é\r\n" * 900 + "\r\n\r\n", "\r\n", "\r\r\n\r\n\r\n", "\r\n\r\n" * 700, "x" * 1000, "y" * 2000, "once"]
     rows = [(i, f"http://h/{i}" if i % 3 else None, x) for i, x in enumerate(nasty + nasty[:-1])]
