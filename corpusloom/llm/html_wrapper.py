@@ -32,31 +32,41 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended widget pagination pager toolbar skip".split()
 )
+#: A name with one of these says what an element holds or lacks, not what it is ("has-sidebar").
+HOLDS = frozenset("has have with without no not hide show".split())
 MAIN = frozenset("article main".split())
+#: What a dropped element must hold to be taken for the article's container.
+TEXT_TAGS = frozenset("article main p h1 h2 h3".split())
 #: Beyond so many kinds of children an element's rest is one wildcard in the wrapper.
 KINDS = 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMES = frozenset("class id role hidden aria-hidden".split())
 
 
 class Node:
-    """An element: ``tag``, ``label`` (tag and words of class, id and role), ``drop`` and ``kids`` (elements and texts)."""
+    """An element: ``tag``, ``label`` (tag and words of class, id and role), ``drop``, ``named`` (dropped for its class or
+    id, which its host may veto) and ``kids`` (elements and texts)."""
 
-    __slots__ = ("tag", "label", "drop", "kids")
+    __slots__ = ("tag", "label", "drop", "named", "kids")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.label, self.drop, self.kids = tag, tag, tag in DROP_TAGS, []
+        self.tag, self.label, self.drop, self.named, self.kids = tag, tag, tag in DROP_TAGS, False, []
         if attributes.strip():
             words = []
             for name, *values in ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), next((v for v in values if v), "").lower()
+                name = name.lower()
+                if name not in NAMES:
+                    continue
+                value = next((v for v in values if v), "").lower()
                 if name == "role":
                     self.drop |= value in DROP_ROLES
                     words.append(value)
                 elif name in ("class", "id"):
                     parts = re.findall(r"[a-z]+", value)
-                    self.drop |= tag not in ("body", "html", "article", "main") and not DROP_WORDS.isdisjoint(parts)
+                    if not DROP_WORDS.isdisjoint(parts) and tag not in ("body", "html", "article", "main"):
+                        self.named |= any(HOLDS.isdisjoint(x) and not DROP_WORDS.isdisjoint(x) for x in (re.findall(r"[a-z]+", v) for v in value.split()))
                     words += parts
                 elif name == "hidden" or value == "true":
                     self.drop = True
@@ -118,7 +128,8 @@ def _tokens(text: str) -> Iterator[re.Match]:
                 at = text.find(">", at) + 1 or n
 
 
-# --- wrappers: [label, optional, repeated, pages, chars, link chars, children], a text slot being ["#", ..., constant]
+# --- wrappers: [label, optional, repeated, pages, chars, link chars, children, children dropped by name, by label], a text
+# --- slot being ["#", ..., constant]; what is dropped by name counts in its parent's chars only after a veto
 
 
 def _fold(kids: list[list]) -> list[list]:
@@ -142,16 +153,22 @@ def wrap(node: Node, linked: bool = False) -> list:
     """The expression of one page below ``node``."""
     linked |= node.tag == "a"
     kids, chars, links = [], 0, 0
+    named: dict[str, list] = {}
     for k in node.kids:
         if isinstance(k, str):
             if n := len(k.strip()):
                 kids.append(["#", False, False, 1, n, n * linked, k.strip()[:80]])
-        elif not k.drop and k.tag not in RAW:
+        elif k.drop or k.tag in RAW:
+            continue
+        elif k.named:
+            one = wrap(k, linked)
+            named[k.label] = _align(named[k.label], one, same_page=True) if k.label in named else one
+        else:
             kids.append(wrap(k, linked))
     kids = _fold(kids)
     for k in kids:
         chars, links = chars + k[4], links + k[5]
-    return [node.label, False, False, 1, chars, links, kids]
+    return [node.label, False, False, 1, chars, links, kids, named]
 
 
 def _align(a: list, b: list, same_page: bool = False) -> list:
@@ -161,8 +178,13 @@ def _align(a: list, b: list, same_page: bool = False) -> list:
     if a[0] == "#":
         return [*head, a[6] if a[6] == b[6] else None]
     x, y = a[6], b[6]
+    named = dict(a[7])
+    for label, k in b[7].items():
+        named[label] = _align(named[label], k, same_page) if label in named else k
+    if len(named) > KINDS:
+        named = dict(sorted(named.items(), key=lambda k: (-k[1][4], k[0]))[:KINDS])
     if [k[0] for k in x] == [k[0] for k in y]:
-        return [*head, [_align(p, q, same_page) for p, q in zip(x, y)]]
+        return [*head, [_align(p, q, same_page) for p, q in zip(x, y)], named]
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -183,7 +205,7 @@ def _align(a: list, b: list, same_page: bool = False) -> list:
     if len(kids) > KINDS:
         rest = kids[KINDS:]
         kids = [*kids[:KINDS], ["*", True, True, pages, sum(k[4] for k in rest), sum(k[5] for k in rest), []]]
-    return [*head, kids]
+    return [*head, kids, named]
 
 
 def expression(w: list) -> str:
@@ -195,6 +217,51 @@ def expression(w: list) -> str:
     return f"({body}){'+' if w[2] else ''}{'?' if w[1] else ''}" if w[1] or w[2] else body
 
 
+def _inner(w: list) -> bool:
+    return w[0] not in ("#", "*")
+
+
+def _lifted(w: list, keep: set[str]) -> list:
+    """The wrapper with the elements of ``keep`` among the children."""
+    if not _inner(w):
+        return w
+    more = [k for label, k in w[7].items() if label in keep]
+    kids = [_lifted(k, keep) for k in [*w[6], *more]]
+    return [*w[:4], sum(k[4] for k in kids), sum(k[5] for k in kids), kids, {label: k for label, k in w[7].items() if label not in keep}]
+
+
+def _varying(w: list, named: bool) -> int:
+    """Characters outside links of the slots that differ between pages, with or without what is dropped by name."""
+    if w[0] == "#" and w[6] is not None and w[3] > 1:
+        return 0
+    if not _inner(w):
+        return w[4] - w[5]
+    return sum(_varying(k, named) for k in [*w[6], *(w[7].values() if named else ())])
+
+
+def _holds_text(w: list) -> bool:
+    return _inner(w) and (w[0].split(".")[0] in TEXT_TAGS or any(map(_holds_text, [*w[6], *w[7].values()])))
+
+
+def vetoed(w: list) -> set[str]:
+    """Labels of elements that stay whatever their names: each holds text containers and over ten times the varying text
+    that would be left without it."""
+    keep: set[str] = set()
+
+    def named(k: list) -> Iterator[list]:
+        if _inner(k):
+            yield from k[7].values()
+            for c in k[6]:
+                yield from named(c)
+
+    while True:
+        now = _lifted(w, keep)
+        top = max((k for k in named(now) if _holds_text(k)), key=lambda k: _varying(k, True), default=None)
+        if top is None or _varying(top, True) <= 10 * _varying(now, False):
+            return keep
+        keep.add(top[0])
+
+
 def main_path(w: list) -> list[str]:
     """Labels from the root to the element that holds the article: an article or main element with text, else down
     from the root while one container has most of the text outside links."""
@@ -223,16 +290,21 @@ def main_path(w: list) -> list[str]:
     return path
 
 
-def _find(node: Node, path: list[str]) -> list[Node]:
+def _find(node: Node, path: list[str], keep: set[str]) -> list[Node]:
     found = [node]
     for label in path:
-        found = [k for f in found for k in f.kids if isinstance(k, Node) and not k.drop and k.label == label]
+        found = [k for f in found for k in f.kids if isinstance(k, Node) and not k.drop and k.label == label and (not k.named or label in keep)]
     return found
 
 
-def article(root: Node, path: list[str]) -> str:
-    """The text of the elements at ``path``, of the page's own article where the path leads nowhere."""
-    found = _find(root, path) or _find(root, main_path(wrap(root))) or [root]
+def article(root: Node, path: list[str], keep: set[str] = frozenset()) -> str:
+    """The text of the elements at ``path``, of the page's own article where the path leads nowhere; elements of ``keep``
+    stay whatever their names."""
+    found = _find(root, path, keep)
+    if not found:
+        own = wrap(root)
+        keep = keep | vetoed(own)
+        found = _find(root, main_path(_lifted(own, keep)), keep) or [root]
     blocks: list[list[str]] = [[]]
 
     def walk(node: Node, inside: bool) -> None:
@@ -241,7 +313,7 @@ def article(root: Node, path: list[str]) -> str:
                 blocks[-1].append(k)
             elif k.tag == "br":
                 blocks[-1].append(" ")
-            elif not (k.drop or k.tag in RAW or k.tag == "header" and not inside):
+            elif not (k.drop or k.named and k.label not in keep or k.tag in RAW or k.tag == "header" and not inside):
                 block = k.tag in BLOCK
                 if block:
                     blocks.append([])
@@ -286,19 +358,24 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    paths: dict[str | None, list[str]] = {}
+    paths: dict[str | None, tuple[list[str], set[str]]] = {}
     for batch in _text.slices(batches, 2):
         texts = []
         for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if wrapper not in paths:
-                paths = {wrapper: json.loads(wrapper) if wrapper else []} | (paths if len(paths) < 1000 else {})
-            texts.append(article(parse(page or ""), paths[wrapper]))
+                path, keep = json.loads(wrapper) if wrapper else ([], [])
+                paths = {wrapper: (path, set(keep))} | (paths if len(paths) < 1000 else {})
+            texts.append(article(parse(page or ""), *paths[wrapper]))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([json.dumps(main_path(json.loads(w))) for w in batch.column(1).to_pylist()], pa.string())], names=["h", "path"])
+        out = []
+        for w in map(json.loads, batch.column(1).to_pylist()):
+            keep = vetoed(w)
+            out.append(json.dumps([main_path(_lifted(w, keep)), sorted(keep)]))
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["h", "path"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -301,6 +301,22 @@ def test_html_edges(spark):
     assert html_wrapper.extract(pages.limit(0)).count() == 0
 
 
+def test_html_drops_only_what_is_no_article(spark):
+    words = [f"w{i} x{i} y{i} z{i} " * 5 for i in range(30)]
+    inside = lambda i: f"<p>{words[i].strip()}</p><p>end {i}</p>"
+    shells = {
+        "style.example": '<body><div style="overflow:hidden">{}</div></body>',
+        "href.example": '<body><div data-x="id=share" title="class=ad"><a href="/hidden-valley">{}</a></div></body>',
+        "has.example": '<body><div class="site has-sidebar"><div class="sidebar"><p>side</p></div>{}</div></body>',
+        "with.example": '<body><section id="content-with-sidebar">{}<div class="comments"><p>nice</p></div></section></body>',
+        "veto.example": '<body><div class="alert">Menu</div><div class="content-sidebar-wrap"><div class="related">{}</div><div class="ad"><p>buy</p></div></div></body>',
+        "gone.example": '<body><div>{}</div><div class="related"><article><p>teaser</p></article></div><div hidden><p>no</p></div><div aria-hidden="true">no</div></body>',
+    }
+    rows = [(f"http://{h}/{i}", s.replace("{}", inside(i))) for h, s in shells.items() for i in range(3)]
+    got = {r.url: r.text for r in html_wrapper.extract(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
+    assert got == {f"http://{h}/{i}": f"{words[i].strip()}\nend {i}" for h in shells for i in range(3)}
+
+
 def test_wrapper_inference():
     w = None
     for page in ("<ul><li>1</li></ul><p>a</p>", "<ul><li>1</li><li>2</li></ul><h2>t</h2><p>b</p><p>c</p>"):
