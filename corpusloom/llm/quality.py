@@ -140,11 +140,19 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class
     df = features(docs, text_col, lang_col)
     q = F.col("q")
     failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
-    far = ((q["n_words"] >= class_words) & (q["class_js"] > class_limit)) | ((q["n_words"] >= word_words) & (q["word_js"] > word_limit))
-    if lack_limit is not None:
-        far |= (q["n_words"] >= word_words) & (q["word_share"] < sum(SHARES)) & (q["word_js"] > lack_limit)
-    if symbol_limit is not None:
-        far |= (q["n_words"] >= class_words) & (q["n_symbols"] > CLASSES[2] * q["chars"]) & (q["class_js"] > symbol_limit)
+
+    def distant(q: Column) -> Column:
+        far = ((q["n_words"] >= class_words) & (q["class_js"] > class_limit)) | ((q["n_words"] >= word_words) & (q["word_js"] > word_limit))
+        if lack_limit is not None:
+            far |= (q["n_words"] >= word_words) & (q["word_share"] < sum(SHARES)) & (q["word_js"] > lack_limit)
+        if symbol_limit is not None:
+            far |= (q["n_words"] >= class_words) & (q["n_symbols"] > CLASSES[2] * q["chars"]) & (q["class_js"] > symbol_limit)
+        return far
+
+    if lack_limit is None and symbol_limit is None:
+        far = distant(q)
+    else:  # a filter would compute each distance once for each limit
+        far = _let(F.struct(*(q[k].alias(k) for k in ("n_words", "n_symbols", "chars", "class_js", "word_js", "word_share"))), distant)
     return df.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(far, F.lit(False))})
 
 
