@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._columns import join_counted, let, row_key, running
 from corpusloom.llm._storage import materialise
 
 #: The base kinds in order, each with its pattern, the group that must be long enough, and how long.
@@ -24,29 +25,49 @@ MORE = ("live", r"\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\b
 KINDS = (*BASE, MORE)
 PLACEHOLDER = r"(?i)example|change.?me|dummy|placeholder|your.?(key|token|secret)|^(.)\2*$|x{6,}|1234567"
 SPAN = "array<struct<start:int,kind:int,end:int,hash:string,placeholder:boolean>>"
+FOUND = "array<struct<start:int,kind:int,end:int,live:boolean>>"
+#: Code points in a piece of a text that is redacted: spans are cut from pieces, not from the beginning of the text.
+PIECE = 4096
 
 
 def _spans(text: Column, kind: int) -> Column:
-    """The spans of one kind: gaps between matches and the matches themselves give the positions in code points."""
+    """The spans of one kind: running sums of the gaps between matches and of the matches give positions in code points."""
     _, pattern, group, least = KINDS[kind]
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"), F.split(text, pattern).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    parts = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"), F.split(text, pattern).alias("g"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(x["v"], 256).alias("hash"), x["v"].rlike(PLACEHOLDER).alias("placeholder"))
-        return F.struct(F.coalesce(end, s["at"]).alias("at"), F.when(F.length(x["v"]) >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["m"], lambda m, i: F.length(m) + F.length(x["g"][i]))
+        long_enough = F.filter(F.sequence(F.lit(0), F.size(x["m"]) - 1), lambda i: F.length(x["v"][i]) >= least)
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(SPAN))
+        def span(ends: Column, i: Column) -> Column:
+            v = x["v"][i]
+            return F.struct((ends[i] - F.length(x["m"][i])).alias("start"), F.lit(kind).alias("kind"), ends[i].alias("end"), F.sha2(v, 256).alias("hash"), v.rlike(PLACEHOLDER).alias("placeholder"))
+
+        return let(running(lengths, lambda a, b: a + b), lambda ends: F.transform(long_enough, lambda i: span(ends, i)))
+
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPAN))
+
+
+def _marked(spans: Column) -> Column:
+    """Sorted spans with one more field ``hidden``: whether a base span overlaps a span of the further kind."""
+    more = len(BASE)
+
+    def marks(s: Column) -> Column:
+        ends = F.transform(s, lambda x: F.when(x["kind"] < more, x["end"]).otherwise(-1))
+        starts = F.transform(F.reverse(s), lambda x: F.when(x["kind"] < more, x["start"]).otherwise(2**31 - 1))
+        # The farthest end of the base spans up to a place, and the least start of those from it on.
+        reach = F.struct(running(ends, lambda a, b: F.greatest(a, b)).alias("end"), F.reverse(running(starts, lambda a, b: F.least(a, b))).alias("start"))
+        return let(reach, lambda r: F.transform(s, lambda x, i: x.withField("hidden", (x["kind"] == more) & ((r["end"][i] > x["start"]) | (r["start"][i] < x["end"])))))
+
+    return let(spans, lambda s: F.when(F.exists(s, lambda x: x["kind"] == more) & F.exists(s, lambda x: x["kind"] < more), marks(s)).otherwise(F.transform(s, lambda x: x.withField("hidden", F.lit(False)))))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
     """``(id, key, owner, repo, spans)`` for each row; rows of one key have the same id and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(owner_col).cast("string").alias("owner"), F.to_json(F.struct(*repo_cols)).alias("repo"))
-    key = F.md5(F.concat_ws(":", F.col("id").cast("string"), "t"))
-    return rows.select("id", key.alias("key"), "owner", "repo", F.array_sort(F.concat(*(_spans(F.col("t"), k) for k in range(len(KINDS))))).alias("spans"))
+    spans = F.array_sort(F.concat(*(_spans(F.col("t"), k) for k in range(len(KINDS)))))
+    return rows.select("id", row_key(F.col("id"), F.col("t")).alias("key"), "owner", "repo", _marked(spans).alias("spans"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2) -> DataFrame:
@@ -59,18 +80,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     alone; equal rows have equal results. An empty table gives an empty table.
     """
     rows = materialise(candidates(docs, id_col, text_col, owner_col, repo_cols), "candidates")
-    each = rows.where("size(spans) > 0").select("key", F.coalesce("owner", F.lit("")).alias("owner"), "repo", F.explode("spans").alias("s"))
-    by_owner = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repo").agg(F.lit(1).alias("one"))
-    stats = by_owner.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    each = rows.where("size(spans) > 0").select("key", F.coalesce("owner", F.lit("")).alias("owner"), "repo", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash"))
+    by_owner = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    stats = materialise(by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n")), "owners")
     live = ~F.col("s.placeholder") & (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
-    judged = each.select("key", "s", F.col("s.hash").alias("hash")).join(stats, "hash").select("key", F.struct("s.start", "s.kind", "s.end", live.alias("live")).alias("f"))
-    judged = judged.groupBy("key").agg(F.array_sort(F.collect_set("f")).alias("all"))
-    more = len(BASE)
-    base = F.filter("all", lambda x: x["kind"] < more)
-    extra = F.filter("all", lambda x: (x["kind"] == more) & x["live"] & ~F.exists(F.filter("all", lambda y: y["kind"] < more), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    judged = judged.select("key", F.array_sort(F.concat(base, extra)).alias("found"))
-    out = rows.select("id", "key").join(judged, "key", "left")
-    return out.select("id", "key", F.coalesce("found", F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,live:boolean>>)")).alias("found"))
+    judged = join_counted(each.select("key", "s", "hash"), stats, "hash", "n").select("key", F.struct("s.start", "s.kind", "s.end", live.alias("live")).alias("f"), "s.hidden")
+    judged = judged.where((F.col("f.kind") < len(BASE)) | (F.col("f.live") & ~F.col("hidden"))).groupBy("key").agg(F.array_sort(F.collect_set("f")).alias("found"))
+    none = F.expr(f"CAST(array() AS {FOUND})")
+    out = rows.where("size(spans) > 0").select("id", "key").join(judged, "key", "left").select("id", "key", F.coalesce("found", none).alias("found"))
+    return out.unionByName(rows.where("size(spans) = 0").select("id", "key", none.alias("found")))
 
 
 def _listed(spans: Column) -> Column:
@@ -87,23 +105,35 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return found.select(F.col("id").alias(id_col), *(number(k).alias(f"n_{BASE[k][0]}") for k in range(len(BASE))), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), F.size(F.filter("found", lambda x: x["live"])).cast("long").alias("n_live"))
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with ``[SECRET]`` for each group of overlapping spans, which are sorted."""
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        def part(k: Column) -> Column:
+            start = F.greatest(a - k * PIECE, F.lit(0))
+            return F.substring(pieces[k], start + 1, F.least(b - k * PIECE, F.lit(PIECE)) - start)
+
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")), part), "")).otherwise("")
+
+    def joined(s: Column) -> Column:
+        x, ends = s["spans"], s["ends"]
+        heads = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (x[i]["start"] >= ends[F.greatest(i - 1, F.lit(0))]))
+        # A gap begins where the last group ends and ends where the next one begins.
+        places = F.struct(F.concat(F.array(F.lit(0)), F.transform(F.slice(heads, 2, F.size(heads)), lambda i: ends[i - 1]), F.slice(ends, -1, 1)).alias("a"), F.concat(F.transform(heads, lambda i: x[i]["start"]), F.array(s["n"])).alias("b"))
+        return let(places, lambda g: F.array_join(F.zip_with(g["a"], g["b"], lambda a, b: cut(s["pieces"], a, b)), "[SECRET]"))
+
+    ends = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    return let(F.struct(spans.alias("spans"), ends.alias("ends"), F.length(text).alias("n"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")), joined)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every found span replaced by ``[SECRET]``; overlapping spans become one. Other columns stay, and
     counts of characters in them are not changed. Only rows with a span are shuffled."""
     found = scan(docs, id_col, text_col, **options).where("size(found) > 0").select("key", "found").dropDuplicates(["key"])
-    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    hit = F.coalesce(F.col(text_col), F.lit(""))
-    any_kind = hit.rlike("|".join(f"(?:{k[1]})" for k in KINDS))
-    rows = docs.withColumns({"__row": F.struct("*"), "__hit": any_kind, "__key": key}).select("__row", "__hit", "__key")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(f"__row.{text_col}")
-
-    def step(s: Column, x: Column) -> Column:
-        before = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        fresh = F.concat(s["out"], before, F.lit("[SECRET]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
-
-    done = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    full = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    any_kind = full.rlike("|".join(f"(?:{k[1]})" for k in KINDS))
+    rows = docs.select(F.struct("*").alias("__row"), any_kind.alias("__hit"), row_key(F.col(id_col), full).alias("__key"))
+    text = F.col(f"__row.{text_col}").cast("string")
     marked = rows.where("__hit").join(found, F.col("__key") == found["key"], "left")
-    fields = [F.when(F.col("found").isNotNull(), done).otherwise(text).alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns]
+    fields = [F.when(F.col("found").isNotNull(), _without(text, F.col("found"))).otherwise(text).alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns]
     return rows.where("NOT __hit").select("__row.*").unionByName(marked.select(*fields))
