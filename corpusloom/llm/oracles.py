@@ -39,12 +39,14 @@ def _canonical(text: str) -> str:
 def license_sql() -> str:
     known = [(i, p.format(n)) for i, names in licenses.NAMES.items() for n in names for p in licenses.PHRASES[:-1]]
     known += [(i, licenses.PHRASES[-1].format(i)) for i in {*licenses.NAMES, *licenses.TEXTS}] + list(licenses.TEXTS.items())
+    known += [(i, f"{t}\n\n{licenses.TEXTS[i]}") for i, titles in licenses.TITLES.items() for t in titles]
     values = ", ".join(f"({q(i)}, {q(t)})" for i, t in known)
-    return f"""WITH k AS (SELECT min(license_id) AS license_id, form FROM (SELECT license_id, {_canonical("t")} AS form FROM (VALUES {values}) v(license_id, t)) GROUP BY form),
-d AS (SELECT doc_id, text, {_canonical("text")} AS form FROM documents), l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE regexp_matches(text, '(?i)licen')),
-f AS (SELECT doc_id, k.license_id AS notice FROM (SELECT doc_id, {_canonical("line")} AS form FROM l WHERE regexp_matches(line, '(?i)licen')) JOIN k USING (form)),
+    digests = ", ".join(f"({q(i)}, {q(d)})" for i, d in licenses.DIGESTS.items())
+    return f"""WITH k AS (SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, sha256({_canonical("t")}) AS digest FROM (VALUES {values}) v(license_id, t) UNION ALL SELECT license_id, digest FROM (VALUES {digests}) w(license_id, digest)) GROUP BY digest),
+d AS (SELECT doc_id, text, sha256({_canonical("text")}) AS digest FROM documents), l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE regexp_matches(text, '(?i)licen')),
+f AS (SELECT doc_id, k.license_id AS notice FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM l WHERE regexp_matches(line, '(?i)licen')) JOIN k USING (digest)),
 g AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices FROM f GROUP BY doc_id)
-SELECT d.doc_id, k.license_id, coalesce(n, 0) AS n_notices, coalesce(notices, '') AS notices FROM d LEFT JOIN k USING (form) LEFT JOIN g ON g.doc_id = d.doc_id"""
+SELECT d.doc_id, k.license_id, coalesce(n, 0) AS n_notices, coalesce(notices, '') AS notices FROM d LEFT JOIN k USING (digest) LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
 REPEATS = f"""
