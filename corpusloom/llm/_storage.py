@@ -24,8 +24,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size that the plan's statistics give for ``df``, 0 if they give none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 62 else 0
+
+
 def width(df: DataFrame, mb: int = 64) -> int:
     """Partitions for a shuffle of ``df``: the session's setting, or more if the plan's size estimate asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 62 else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb << 20))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // (mb << 20))
