@@ -8,11 +8,15 @@ Everything is computed within a document's row: no shuffle, no Python.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._columns import let
+
 SYMBOLS = "#*$%&|<>"
+SPACE = r" \t\n\x0B\f\r"
 PUNCTUATION = ".,;:!?'\"()-"
 #: The twenty most frequent words of each language, most frequent first.
 COMMON = {
@@ -38,11 +42,6 @@ LACK_LIMIT = 0.75 * _js([0.0] * len(SHARES) + [1.0], [*SHARES, 1 - sum(SHARES)])
 SYMBOL_LIMIT = _js([(x + CLASSES[0] / 2 * (i in (0, 2))) / (1 + CLASSES[0]) for i, x in enumerate(CLASSES)], list(CLASSES))
 
 
-def _let(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _distance(p: Column, q: list[float]) -> Column:
     """The Jensen-Shannon distance of an array of shares to a reference."""
 
@@ -67,7 +66,7 @@ def repeated_words(words: Column, k: int = 5) -> Column:
         return F.array(*(w[i + j] for j in range(k)))
 
     def covered(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.shiftleft(F.hash(*(w[i + j] for j in range(k))).cast("long"), 32).bitwiseOR(i.cast("long")))
+        plain = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.hash(*(w[i + j] for j in range(k))))
 
         def repeats(h: Column) -> Column:
             high = lambda x: F.shiftright(x, 32)
@@ -80,83 +79,90 @@ def repeated_words(words: Column, k: int = 5) -> Column:
                 step = F.aggregate(at, F.struct(F.lit(-k).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(k).cast("long"), p - s["last"])).alias("n")))
                 return step["n"]
 
-            return F.when(F.size(near) == 0, F.lit(0).cast("long")).otherwise(_let(texts, positions))
-
-        return F.when(F.size(F.array_distinct(F.transform(hashes, lambda x: F.shiftright(x, 32)))) == F.size(w) - (k - 1), F.lit(0).cast("long")).otherwise(_let(F.sort_array(hashes), repeats))
-
-    return F.when(F.size(words) < k + 1, F.lit(0).cast("long")).otherwise(_let(words, covered))
-
-
-def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with one more column ``q``: a struct of counts, of the two distances (``class_js``, ``word_js``) and of the
-    language's common words' share of all words (``word_share``)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
-    df = docs.withColumn("__w", found).withColumn("__l", lines)
-    w = F.col("__w")
-    chars = F.length(text).cast("long")
-    counts = {
-        "n_words": _size(w),
-        "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": chars - F.length(F.translate(text, SYMBOLS, "")),
-        "n_dup_lines": _size(F.col("__l")) - _size(F.array_distinct("__l")),
-        "n_repeat_words": repeated_words(w),
-        "chars": chars,
-        "digits": F.regexp_count(text, F.lit("[0-9]")).cast("long"),
-        "punctuation": F.regexp_count(text, F.lit("[.,;:!?'\"()-]")).cast("long"),
-        "upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
-    }
-    every = sorted({x for v in COMMON.values() for x in v.split()})
-    bare = F.filter(F.transform(w, lambda x: F.lower(F.btrim(x, F.lit(PUNCTUATION + SYMBOLS)))), lambda x: x.isin(every))
-    df = df.withColumn("__c", F.struct(*(v.alias(k) for k, v in counts.items()))).withColumn("__h", bare)
-    c, n = F.col("__c"), F.greatest(F.col("__c.chars"), F.lit(1))
-    space = c["chars"] - c["word_chars"]
-    rest = c["chars"] - space - c["digits"] - c["n_symbols"] - c["punctuation"] - c["upper"]
-    classes = F.array(*(x / n for x in (space, c["digits"], c["n_symbols"], c["punctuation"], c["upper"], F.greatest(rest, F.lit(0)))))
-    total = F.greatest(c["n_words"], F.lit(1))
-    word_js = word_share = F.lit(None).cast("double")
-    for lang, common in COMMON.items():
-        shares = F.transform(F.array(*map(F.lit, common.split())), lambda r: F.size(F.filter("__h", lambda x: x == r)) / total)
-        filled = _let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
-        word_js = F.when(F.col(lang_col) == lang, _distance(filled, [*SHARES, 1 - sum(SHARES)])).otherwise(word_js)
-        word_share = F.when(F.col(lang_col) == lang, F.size(F.filter("__h", lambda x: x.isin(common.split()))) / total).otherwise(word_share)
-    class_js = F.when(F.col(lang_col).isin(list(COMMON)), _distance(classes, list(CLASSES)))
-    q = F.struct(*(c[k].alias(k) for k in counts), class_js.alias("class_js"), word_js.alias("word_js"), word_share.alias("word_share"))
-    return df.withColumn("q", q).drop("__w", "__l", "__c", "__h")
-
-
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.3, class_words: int = 30, word_limit: float = 0.4, word_words: int = 100, lack_limit: float | None = None, symbol_limit: float | None = None) -> DataFrame:
-    """``docs`` with ``q`` (see ``features``), ``base_failed`` and ``kept``.
+            return F.when(F.size(near) == 0, F.lit(0).cast("long")).otherwise(let(texts, positions))
 
-    ``base_failed``: fewer than 10 words, or over 20 % of the words in 5-word windows found twice or more. Others are
-    kept unless, in a language with references, the character classes of a document of at least ``class_words`` words
-    are farther than ``class_limit`` from prose, or the common words of one of at least ``word_words`` words farther than
-    ``word_limit`` from the language's. ``lack_limit`` is a second limit of the words' distance where common words are fewer
-    than the language's, ``symbol_limit`` one of the classes' where symbols are more than in prose; the distance of a text
-    without common words is 0.398, so a ``word_limit`` of 0.4 alone never finds one. A null or empty text has no words and fails; a null or unknown language is
-    judged by the base rules alone. Repeated rows are judged alike; an empty table gives an empty table.
-    """
-    df = features(docs, text_col, lang_col)
-    q = F.col("q")
-    failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
+        packed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR(i.cast("long"))))
+        return let(plain, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(packed(h), repeats)))
+
+    return F.when(F.size(words) < k + 1, F.lit(0).cast("long")).otherwise(let(words, covered))
 
-    def distant(q: Column) -> Column:
+
+def _features(text: Column, lang: Column) -> Column:
+    """A struct of counts, of the two distances (``class_js``, ``word_js``) and of the language's common words' share of all
+    words (``word_share``). Texts and counts are bound once, so it costs the same in a filter as in a projection."""
+    every = sorted({x for v in COMMON.values() for x in v.split()})
+    strip = f"[{re.escape(PUNCTUATION + SYMBOLS)}]*+"
+
+    def split(t: Column) -> Column:
+        words = F.array_remove(F.split(t, f"[{SPACE}]+"), "")
+        lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
+        return let(F.struct(t.alias("t"), words.alias("w"), lines.alias("l"), F.length(t).cast("long").alias("chars")), counted)
+
+    def counted(x: Column) -> Column:
+        t, w = x["t"], x["w"]
+        counts = {
+            "n_words": _size(w),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
+            "n_symbols": x["chars"] - F.length(F.translate(t, SYMBOLS, "")),
+            "n_dup_lines": _size(x["l"]) - _size(F.array_distinct(x["l"])),
+            "n_repeat_words": repeated_words(w),
+            "chars": x["chars"],
+            "digits": F.regexp_count(t, F.lit("[0-9]")).cast("long"),
+            "punctuation": F.regexp_count(t, F.lit("[.,;:!?'\"()-]")).cast("long"),
+            "upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+        }
+        common = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![^{SPACE}]){strip}({'|'.join(every)}){strip}(?![^{SPACE}])"), F.lit(1))
+        return let(F.struct(*(v.alias(k) for k, v in counts.items()), common.alias("common")), lambda c: measured(c, list(counts)))
+
+    def measured(c: Column, names: list[str]) -> Column:
+        n, total = F.greatest(c["chars"], F.lit(1)), F.greatest(c["n_words"], F.lit(1))
+        space = c["chars"] - c["word_chars"]
+        rest = c["chars"] - space - c["digits"] - c["n_symbols"] - c["punctuation"] - c["upper"]
+        classes = F.array(*(x / n for x in (space, c["digits"], c["n_symbols"], c["punctuation"], c["upper"], F.greatest(rest, F.lit(0)))))
+        word_js = word_share = F.lit(None).cast("double")
+        for name, words in ((k, v.split()) for k, v in COMMON.items()):
+            shares = F.transform(F.array(*map(F.lit, words)), lambda r: (F.size(c["common"]) - F.size(F.array_remove(c["common"], r))) / total)
+            filled = let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
+            word_js = F.when(lang == name, _distance(filled, [*SHARES, 1 - sum(SHARES)])).otherwise(word_js)
+            word_share = F.when(lang == name, F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)).otherwise(word_share)
+        class_js = F.when(lang.isin(list(COMMON)), _distance(classes, list(CLASSES)))
+        return F.struct(*(c[k].alias(k) for k in names), class_js.alias("class_js"), word_js.alias("word_js"), word_share.alias("word_share"))
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), split)
+
+
+def verdict(text: Column, lang: Column, class_limit: float = 0.3, class_words: int = 30, word_limit: float = 0.4, word_words: int = 100, lack_limit: float | None = None, symbol_limit: float | None = None) -> Column:
+    """A struct of ``q`` (see ``_features``), ``base_failed`` and ``kept``, computed once for a text."""
+
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
         far = ((q["n_words"] >= class_words) & (q["class_js"] > class_limit)) | ((q["n_words"] >= word_words) & (q["word_js"] > word_limit))
         if lack_limit is not None:
             far |= (q["n_words"] >= word_words) & (q["word_share"] < sum(SHARES)) & (q["word_js"] > lack_limit)
         if symbol_limit is not None:
             far |= (q["n_words"] >= class_words) & (q["n_symbols"] > CLASSES[2] * q["chars"]) & (q["class_js"] > symbol_limit)
-        return far
+        return F.struct(q.alias("q"), failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
+
+    return let(_features(text, lang), judged)
 
-    if lack_limit is None and symbol_limit is None:
-        far = distant(q)
-    else:  # a filter would compute each distance once for each limit
-        far = _let(F.struct(*(q[k].alias(k) for k in ("n_words", "n_symbols", "chars", "class_js", "word_js", "word_share"))), distant)
-    return df.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(far, F.lit(False))})
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
+    """``docs`` with ``q`` (see ``_features``), ``base_failed`` and ``kept``; ``limits`` are those of ``verdict``.
+
+    ``base_failed``: fewer than 10 words, or over 20 % of the words in 5-word windows found twice or more. Others are
+    kept unless, in a language with references, the character classes of a document of at least ``class_words`` words
+    are farther than ``class_limit`` from prose, or the common words of one of at least ``word_words`` words farther than
+    ``word_limit`` from the language's. ``lack_limit`` is a second limit of the words' distance where common words are fewer
+    than the language's, ``symbol_limit`` one of the classes' where symbols are more than in prose; the distance of a text
+    without common words is 0.398, so a ``word_limit`` of 0.4 alone never finds one. A null or empty text has no words and
+    fails; a null or unknown language is judged by the base rules alone. Repeated rows are judged alike; an empty table gives
+    an empty table.
+    """
+    df = docs.withColumn("__v", verdict(F.col(text_col), F.col(lang_col), **limits))
+    return df.withColumns({k: F.col(f"__v.{k}") for k in ("q", "base_failed", "kept")}).drop("__v")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``; the limits by sign hold."""
     options = {"lack_limit": LACK_LIMIT, "symbol_limit": SYMBOL_LIMIT} | options
-    return judge(docs.withColumn("__row", F.struct("*")), text_col, lang_col, **options).where("kept").select("__row.*")
+    return docs.where(verdict(F.col(text_col), F.col(lang_col), **options)["kept"])
