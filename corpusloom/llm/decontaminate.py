@@ -2,8 +2,9 @@
 
 A mask is laid on consecutive words and hashes only the words under its ones, so a substituted word under a zero does
 not hide a copy. Hashes of the benchmark and of the documents are joined; each hit names a diagonal (document position
-less item position), along which the words are compared. A Bloom filter of the benchmark's hashes, of a fixed largest
-size, keeps documents' hashes without a partner out of the shuffle; it decides nothing.
+less item position), along which the words are compared. Bloom filters of the benchmark's hashes, of a fixed largest
+size, keep documents' hashes without a partner out of the shuffle; they decide nothing. There is one for each class of item
+lengths, so a document's words travel only as far around a hit as an item of that class reaches.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
+from corpusloom.llm._columns import join_counted
 from corpusloom.llm._storage import materialise
+from corpusloom.operators.joins import salted_join
 
-#: Masks for items of at least LONG words, and for shorter ones of at least 5. With 13 words and 80 percent, at least one
+#: Masks for items of at least LONG words, and for shorter ones of at least 5; of items under 5 words, 80 percent are all words
+#: and the mask has no gaps. With 13 words and 80 percent, at least one
 #: of them fits between the substitutions of every copy that is accepted. A stretch with 26 agreeing words or more has a
 #: shorter one that is accepted, so 31 words show all patterns; a test goes through them.
 MASKS = ("1111011", "1010001111", "1111000101", "111010101")
 SHORT_MASKS = ("1111", "11101", "11011", "10111")
 LONG = 12
 MAX_FILTER_BITS = 1 << 30
+#: The greatest lengths of the classes of items; longer items are in the last one.
+CLASSES = (32, 128, 1024)
 U = np.uint64
+STRETCHES = "doc long, item long, start_word long, n_words long, n_same long"
 
 #: ASCII letters in lower case, ASCII punctuation and controls as spaces.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -61,16 +68,20 @@ def _inside(at: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n) + span <= at[row + 1]
 
 
+def _masks(words: int) -> tuple[str, ...]:
+    return MASKS if words >= LONG else SHORT_MASKS if words >= 5 else ("1" * words,)
+
+
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _text.slices(batches, 1):
         h, at = _words(batch.column(1))
         size = np.diff(at)
         ids = batch.column(0)
-        for masks, low, high in ((MASKS, LONG, 1 << 60), (SHORT_MASKS, 5, LONG)):
-            for mask in masks:
+        for low, high in ((1, 1), (2, 2), (3, 3), (4, 4), (5, LONG - 1), (LONG, 1 << 60)):
+            for mask in _masks(low):
                 seed = _masked(h, mask)
                 row, ok = _inside(at, len(seed), len(mask))
-                ok &= (size[row] >= low) & (size[row] < high)
+                ok &= (size[row] >= low) & (size[row] <= high)
                 yield pa.record_batch([ids.take(pa.array(row[ok])), pa.array(np.flatnonzero(ok) - at[row[ok]]), _text.long_array(seed[ok]), pa.array(size[row[ok]])], names=["item", "item_pos", "h", "item_words"])
 
 
@@ -80,45 +91,48 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["item", "item_hashes"])
 
 
-def _regions(batches: Iterator[pa.RecordBatch], bloom: bytes, masks: tuple[str, ...], reach: int) -> Iterator[pa.RecordBatch]:
-    """Documents' seeds that pass the filter, in regions of word hashes wide enough for every item around them."""
-    bits = np.frombuffer(bloom, np.uint8)
-    top = U(len(bits) * 8 - 1)
+def _regions(batches: Iterator[pa.RecordBatch], filters: list[tuple[bytes, int]], masks: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Documents' seeds that pass the filter of a class (its bits and its items' greatest length), in regions of word hashes
+    wide enough for the class's items around them."""
     for batch in _text.slices(batches, 1):
         h, at = _words(batch.column(1))
-        found = []
-        for mask in masks:
-            seed = _masked(h, mask)
-            hit = np.ones(len(seed), bool)
-            for slot in (seed & top, (seed >> U(32)) & top):
-                hit &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
-            where = np.flatnonzero(hit)
-            row = np.searchsorted(at, where, "right") - 1
-            ok = where + len(mask) <= at[row + 1]
-            found.append((where[ok], seed[where[ok]], row[ok]))
-        pos, seed, row = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(pos, kind="stable")
-        pos, seed, row = pos[order], seed[order], row[order]
-        cut = np.append(True, (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + reach))
-        first = np.flatnonzero(cut) if len(pos) else []
+        seeds = [(len(m), _masked(h, m)) for m in masks]
         rows: list[tuple] = []
-        for i, j in zip(first, [*first[1:], len(pos)]):
-            a, b = max(at[row[i]], pos[i] - reach), min(at[row[i] + 1], pos[j - 1] + reach)
-            rows.append((batch.column(0)[int(row[i])].as_py(), int(a - at[row[i]]), h[a:b].tobytes(), (pos[i:j] - at[row[i]]).tolist(), seed[i:j].view(np.int64).tolist()))
+        for bloom, reach in filters:
+            bits = np.frombuffer(bloom, np.uint8)
+            top = U(len(bits) * 8 - 1)
+            found = []
+            for span, seed in seeds:
+                hit = np.ones(len(seed), bool)
+                for slot in (seed & top, (seed >> U(32)) & top):
+                    hit &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
+                where = np.flatnonzero(hit)
+                row = np.searchsorted(at, where, "right") - 1
+                ok = where + span <= at[row + 1]
+                found.append((where[ok], seed[where[ok]], row[ok]))
+            pos, seed, row = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(pos, kind="stable")
+            pos, seed, row = pos[order], seed[order], row[order]
+            cut = np.append(True, (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + reach))
+            first = np.flatnonzero(cut) if len(pos) else []
+            for i, j in zip(first, [*first[1:], len(pos)]):
+                a, b = max(at[row[i]], pos[i] - reach), min(at[row[i] + 1], pos[j - 1] + reach)
+                rows.append((batch.column(0)[int(row[i])].as_py(), reach, int(a - at[row[i]]), h[a:b].tobytes(), (pos[i:j] - at[row[i]]).tolist(), seed[i:j].view(np.int64).tolist()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc", "region", "hashes", "pos", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc", "reach", "region", "hashes", "pos", "h"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            doc, item = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["item_hashes"], np.uint64)
-            shift = r["diagonal"] - r["region"]
-            a, b = max(0, -shift), min(len(item), len(doc) - shift)
+            # The document's words from the diagonal's first place in it on, against the item's that stand there.
+            doc, item = np.frombuffer(r["window"], np.uint64), np.frombuffer(r["item_hashes"], np.uint64)
+            a = r["skipped"]
+            b = min(len(item), a + len(doc))
             if b <= a:
                 continue
-            same = doc[a + shift : b + shift] == item[a:b]
+            same = doc[: b - a] == item[a:b]
             # Of the stretches in which enough words agree, the one with the most: its end's score is at least that of its
             # beginning, a match counting for 100 - percent and a substitution against it with percent.
             score = np.append(0, np.cumsum(np.where(same, 100 - percent, -percent)))
@@ -136,32 +150,51 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "item", "start_word", "n_words", "n_same"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 13, percent: int = 80) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 13, percent: int = 80, min_words: int = 1) -> DataFrame:
     """``(doc, item, start_word, n_words, n_same)``: stretches of documents that copy a benchmark item.
 
     Words are compared in ASCII lower case with ASCII punctuation as white space. A stretch is verified if its words
-    agree with the item's, position by position, in ``words`` places (or in ``percent`` of an item that is shorter) and in
-    ``percent`` of the stretch. With lower values than these defaults the masks may miss copies. Items under
-    5 words are no evidence and never match. Null texts match nothing; documents or items without an id are left out; repeated rows give the
-    same result once. Both tables may be empty.
+    agree with the item's, position by position, in ``words`` places (or in ``percent`` of an item that is shorter: all words
+    of items under 5) and in ``percent`` of the stretch. With lower values than these defaults the masks may miss copies.
+    Items under ``min_words`` are left out. Null texts match nothing; documents or items without an id are left out; repeated
+    rows give the same result once. Both tables may be empty.
+
+    Seeds that stand in many documents are joined in counted parts; a pair carries as many words as its item has.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
-    seeds = materialise(items.mapInArrow(_item_seeds, "item long, item_pos long, h long, item_words long"), "seeds")
-    n, reach, least = seeds.agg(F.count("*"), F.max("item_words"), F.min("item_words")).first()
-    size = min(MAX_FILTER_BITS, max(1 << 16, 1 << (32 * (n or 1)).bit_length()))
-    # At most size / 64 words of the filter come to the driver.
-    slots = seeds.select(F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))).alias("s"))
-    parts = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
-    bloom = np.zeros(size // 64, np.int64)
-    bloom[parts.column("word").to_numpy()] = parts.column("bits").to_numpy()
-    masks = MASKS + (SHORT_MASKS if least and least < LONG else ())
-    found = rows.mapInArrow(partial(_regions, bloom=bloom.tobytes(), masks=masks, reach=int(reach or 1)), "doc long, region long, hashes binary, pos array<long>, h array<long>")
+    size_class = F.lit(len(CLASSES))
+    for i, most in reversed(list(enumerate(CLASSES))):
+        size_class = F.when(F.col("item_words") <= most, i).otherwise(size_class)
+    seeds = materialise(items.mapInArrow(_item_seeds, "item long, item_pos long, h long, item_words long").where(F.col("item_words") >= min_words).withColumn("class", size_class), "seeds")
+    filters, lengths, reach = [], set(), F.lit(0)
+    # Of each class at most size / 64 words of the filter come to the driver; the classes share MAX_FILTER_BITS.
+    for r in sorted(seeds.groupBy("class").agg(F.count("*").alias("n"), F.max("item_words").alias("reach"), F.collect_set(F.least("item_words", F.lit(LONG))).alias("lengths")).collect()):
+        size = min(MAX_FILTER_BITS // (2 * len(CLASSES)), max(1 << 16, 1 << (32 * r.n).bit_length()))
+        size = 1 << size.bit_length() - 1
+        slots = seeds.where(F.col("class") == r["class"]).select(F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))).alias("s"))
+        parts = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
+        bloom = np.zeros(size // 64, np.int64)
+        bloom[parts.column("word").to_numpy()] = parts.column("bits").to_numpy()
+        filters.append((bloom.tobytes(), int(r.reach)))
+        reach = F.when(F.col("class") == r["class"], int(r.reach)).otherwise(reach)
+        lengths |= set(r.lengths)
+    masks = tuple(dict.fromkeys(m for n in sorted(lengths) for m in _masks(n)))
+    if not masks:
+        return docs.sparkSession.createDataFrame([], STRETCHES)
+    found = rows.mapInArrow(partial(_regions, filters=filters, masks=masks), "doc long, reach long, region long, hashes binary, pos array<long>, h array<long>")
     found = materialise(found, "regions")
-    hits = found.select("doc", "region", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("doc", "region", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))
-    pairs = hits.join(seeds.select("item", "item_pos", "h"), "h").select("doc", "region", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    full = pairs.join(found.select("doc", "region", "hashes"), ["doc", "region"]).join(items.mapInArrow(_item_words, "item long, item_hashes binary"), "item")
-    return full.mapInArrow(partial(_verified, words=words, percent=percent), "doc long, item long, start_word long, n_words long, n_same long").distinct()
+    hits = found.select("doc", "reach", "region", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("doc", "reach", "region", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))
+    pairs = salted_join(hits, seeds.select("item", "item_pos", "item_words", "h", reach.alias("item_reach")), "h").where("item_reach = reach")
+    pairs = pairs.select("doc", "reach", "region", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_words").distinct()
+    skipped = F.greatest(F.lit(0), F.col("region") - F.col("diagonal"))
+    begin, length = F.greatest(F.lit(0), F.col("diagonal") - F.col("region")), F.col("item_words") - skipped
+    window = F.expr("substring(hashes, cast(8 * begin + 1 as int), cast(8 * length as int))")
+    full = pairs.join(found.select("doc", "reach", "region", "hashes"), ["doc", "reach", "region"]).withColumns({"skipped": skipped, "begin": begin, "length": length}).where("length > 0")
+    full = materialise(full.select("item", "doc", "diagonal", "skipped", window.alias("window")), "windows")
+    known = full.groupBy("item").agg(F.count("*").alias("n")).join(items.mapInArrow(_item_words, "item long, item_hashes binary"), "item")
+    full = join_counted(full, materialise(known, "items"), "item", "n")
+    return full.mapInArrow(partial(_verified, words=words, percent=percent), STRETCHES).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

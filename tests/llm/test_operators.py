@@ -21,6 +21,8 @@ pytest.importorskip("corpusloom.llm")
 
 from corpusloom.llm import _columns, decontaminate, html_wrapper, licenses, minhash, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc  # noqa: E402
 
+from corpusloom.operators import joins  # noqa: E402
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EXTRA = "id string, t string, n long, rep long, h long, key string, spans string, doc long, kept string, q string"
 
@@ -215,7 +217,7 @@ def test_decontamination(spark, docs, empty):
 
         return f
 
-    cases = {300: (put(0), {0}), 301: (put(0, swap(7, 15, 23)), {0}), 302: (put(0, lambda w: w[:14]), {0}), 303: (put(0, lambda w: w[:9]), set()), 304: (put(1, swap(3, 11)), {1}), 305: (put(2), {2}), 306: (put(3), {3}), 307: (put(4), {4}), 308: (put(5), set()), 309: (put(0, lambda w: [x for y in zip(w, ["zz"] * 30) for x in y]), set()), 310: (put(0) + " " + put(3), {0, 3}), 311: ("!!! " + " *** ".join(words[0]).upper(), {0})}
+    cases = {300: (put(0), {0}), 301: (put(0, swap(7, 15, 23)), {0}), 302: (put(0, lambda w: w[:14]), {0}), 303: (put(0, lambda w: w[:9]), set()), 304: (put(1, swap(3, 11)), {1}), 305: (put(2), {2}), 306: (put(3), {3}), 307: (put(4), {4}), 308: (put(5), {5}), 312: (put(6), {6}), 313: (put(5, swap(2)), set()), 309: (put(0, lambda w: [x for y in zip(w, ["zz"] * 30) for x in y]), set()), 310: (put(0) + " " + put(3), {0, 3}), 311: ("!!! " + " *** ".join(words[0]).upper(), {0})}
     more = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
     got = {r.doc_id: (r.contaminated, r.n_items, set(r["items"])) for r in decontaminate.contamination(docs.select("doc_id", "text").unionByName(more), bench).collect()}
     assert {i: x[2] for i, x in got.items() if x[0]} == {i: x for i, (_, x) in cases.items() if x}
@@ -223,6 +225,45 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count()
 
 
+def stretches(doc, item, words=13, percent=80):
+    """Whether an alignment without gaps is accepted, by trying every stretch of every diagonal."""
+    need = min(words, -(-percent * len(item) // 100))
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [doc[k + shift] == w if 0 <= k + shift < len(doc) else None for k, w in enumerate(item)]
+        for a in range(len(item)):
+            n = 0
+            for b in range(a, len(item)):
+                if same[b] is None:
+                    break
+                n += same[b]
+                if n >= need and 100 * n >= percent * (b - a + 1):
+                    return True
+    return False
+
+
+def test_decontamination_matches_exhaustive_alignment(spark, monkeypatch):
+    """Items of all lengths, passages with any share of replaced words, common phrases that all items and documents share,
+    and classes of lengths so narrow that items of several are looked for at once."""
+    monkeypatch.setattr(decontaminate, "CLASSES", (8, 20))
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(400)}"
+    common = "which of the following is true about the next"
+    items = {i: (common.split() if i % 3 == 0 else []) + [word() for _ in range(rng.choice((1, 2, 3, 4, 5, 8, 11, 12, 13, 16, 20, 25, 60)))] for i in range(60)}
+    docs = {}
+    for d in range(240):
+        source = items[rng.randrange(60)]
+        a = rng.randrange(max(1, len(source) - 12))
+        part = [word() if rng.random() < rng.choice((0, 0.1, 0.2, 0.3)) else w for w in source[a : a + rng.randrange(4, 40)]]
+        docs[d] = [word() for _ in range(rng.randrange(9))] + (common.split() if d % 2 else []) + part + [word() for _ in range(rng.randrange(9))]
+    want = {d: {i for i, item in items.items() if stretches(doc, item)} for d, doc in docs.items()}
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.contamination(rows, bench).collect()}
+    assert got == want and sum(map(bool, want.values())) > 50
+    monkeypatch.setattr(decontaminate, "salted_join", lambda *a: joins.salted_join(*a, share=7, least=1))
+    assert got == {r.doc_id: set(r["items"]) for r in decontaminate.contamination(rows, bench).collect()}
+
+
 def test_masks_find_every_accepted_pattern():
     def missed(n, m, masks):
         left = np.array([sum(1 << p for p in c) for c in itertools.combinations(range(n), m)], np.int64)
