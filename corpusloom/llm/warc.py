@@ -5,9 +5,10 @@ and the rest continuation records (WARC segmentation), so no record of an archiv
 end in two line breaks, which is just what Spark's text sink puts between rows, so archives are written by Spark's own
 committed writer to any file system, one gzip file for each partition.
 
-Reading: Spark's text source hands on what lies between those line breaks; a state machine in ``mapInArrow`` joins
-the pieces by Content-Length and gives chunk rows with the payload's running length and SHA-1, never a whole record.
-Gzip files are not split, so one task reads a file in order.
+Payloads do not move when they are written: digests that repeat are counted, and are broadcast up to a checked number.
+
+Reading: Spark's text source hands on lines; a state machine in ``mapInArrow`` joins them by Content-Length and gives chunk
+rows with the payload's running length and SHA-1, never a whole record. Gzip files are not split, so one task reads a file in order.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ import hashlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._storage import shared_dir
+from corpusloom.llm._columns import join_counted
+from corpusloom.llm._storage import materialise, shared_dir
 
 END = "\r\n\r\n"
+#: So many digests that repeat are broadcast, of about 50 bytes each.
+BROADCAST = 1_000_000
+#: Lines that the reader takes at once.
+LINES = 2000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record_id string, chunk_no long, warc_type string, target_uri string, refers_to string, http_length long, declared_digest string, data binary, payload_bytes long, running_digest string, is_last boolean"
 
@@ -35,15 +42,21 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0, date: str = "2024-01-01T00:00:00Z", chunk: int = 1 << 20) -> DataFrame:
-    """``(id, chunk_no, record)``: the text of every WARC record without its closing line breaks.
+    """``(id, chunk_no, record)``: the text of every WARC record without its closing line breaks; the
+    chunks of a record follow one another.
 
     Of pages with equal payloads of at least ``min_revisit`` bytes that with the largest id is the response and the
     others are revisits of it; smaller payloads are all responses. A null payload is empty and a null URL too. A page
     without an id is a response with an id of its own digest. Rows that repeat an id repeat its record."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"\s", "%20"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload")})
-    largest = rows.where(f"size >= {min_revisit} AND id IS NOT NULL").groupBy(F.col("digest").alias("d")).agg(F.max("id").alias("kept"))
-    rows = rows.join(largest, (F.col("digest") == F.col("d")) & (F.col("size") >= min_revisit), "left")
+    equal = rows.where(f"size >= {min_revisit} AND id IS NOT NULL").groupBy("digest").agg(F.max("id").alias("kept"), F.count("*").alias("n"))
+    equal = materialise(equal.where("n > 1"), "equal")
+    if equal.count() <= BROADCAST:
+        rows = rows.join(F.broadcast(equal.drop("n")), "digest", "left")
+    else:
+        rows = join_counted(rows, equal, "digest", "n", how="left")
+    rows = rows.withColumn("kept", F.when(F.col("size") >= min_revisit, F.col("kept")))
     rows = rows.withColumn("revisit", F.coalesce(F.col("id") != F.col("kept"), F.lit(False)))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     own = F.coalesce(name(F.col("id")), F.concat(F.lit("<urn:sha1:"), F.col("digest"), F.lit(">")))
@@ -76,8 +89,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 def write_warc(pages: DataFrame, path: str, **options) -> None:
     """Write ``pages`` as gzip WARC archives below ``path``; the options are those of ``records``."""
-    rows = records(pages, **options).sortWithinPartitions("id", "chunk_no")
-    rows.select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
+    records(pages, **options).select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class _Reader:
@@ -91,7 +103,7 @@ class _Reader:
     def reset(self) -> None:
         """Forget an unfinished record, as at the start of a file."""
         self.close()
-        self.state, self.left, self.http, self.head, self.begun = "header", 0, False, b"", False
+        self.state, self.left, self.http, self.head = "header", 0, False, b""
 
     def close(self) -> None:
         """Give out the open payload's last chunk."""
@@ -143,10 +155,8 @@ class _Reader:
         self.http, self.head = False, b""
         self.payload(rest)
 
-    def feed(self, piece: bytes) -> None:
-        """The next piece of a file; the separator that stood before it is put back."""
-        data = END.encode() + piece if self.begun else piece
-        self.begun = True
+    def feed(self, data: bytes) -> None:
+        """The next bytes of a file."""
         while data:
             if self.state == "header":
                 data = (self.head + data).lstrip(b"\r\n") if not self.head.strip() else self.head + data
@@ -175,13 +185,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=CHUNKS.replace(",", "").split()[::2])
 
     for batch in batches:
-        for name, piece in zip(batch.column(0), batch.column(1)):
-            if (name := name.as_py()) != file:
+        names, lines = batch.column(0).to_numpy(), batch.column(1)
+        edge = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+        for a, b in zip(edge, edge[1:]):
+            if a == b:
+                continue
+            if names[a] != file:
                 reader.reset()
-                file = name
-            reader.feed(piece.as_py())
-            if len(reader.out) >= 256:
-                yield rows()
+                file = names[a]
+            # The line breaks that Spark has taken away are put back.
+            at = a
+            while at < b:
+                reader.feed(b"\n".join(lines.slice(at, min(LINES, b - at)).to_pylist()) + b"\n")
+                at += LINES
+                if len(reader.out) >= 256:
+                    yield rows()
     reader.reset()
     if reader.out:
         yield rows()
@@ -192,8 +210,8 @@ def read_warc(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame
     (at most ``chunk`` bytes of payload, without the HTTP head), the payload's length and base32 SHA-1 up to and with
     this chunk, and ``is_last``. Segments that follow their origin record count to it. Cut-off archives give what is
     there. Archives must be gzip files (an uncompressed one larger than a split would be read in parts)."""
-    pieces = spark.read.option("lineSep", END).text(path)
-    return pieces.select("_metadata.file_path", F.col("value").cast("binary").alias("v")).mapInArrow(partial(_chunks, chunk=chunk), CHUNKS)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("value").cast("binary").alias("v")).mapInArrow(partial(_chunks, chunk=chunk), CHUNKS)
 
 
 def inventory(chunks: DataFrame) -> DataFrame:
