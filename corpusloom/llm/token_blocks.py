@@ -8,6 +8,7 @@ ids). Spark's commit protocol writes it on any file system; block rows are small
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -68,6 +69,25 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return out.reshape(-1)[start - 32 * a : stop - 32 * a]
 
 
+#: The steps of a model before its merges on which the cuts of ``Encoder`` rely.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def check_model(model: str) -> None:
+    """Raise ``ValueError`` for a model (its JSON) whose text steps are others than those that ``Encoder`` knows."""
+    m = json.loads(model)
+    steps = [(m.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    if steps != [NORMALIZERS, PRE_TOKENIZERS] or m.get("truncation") or m.get("padding"):
+        raise ValueError("a model is needed that lowers NFC text, drops white space and splits letters, digits and signs; this one has other steps")
+    for t in m.get("added_tokens", []):
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or not set(t["content"]) & set("'<|>") or t["content"].split() != [t["content"]]:
+            raise ValueError(f"the added token {t['content']!r} could stand in a word that is cut")
+
+
 class Encoder:
     """A tokenizers model that drops white space, run over the distinct parts of a batch's words.
 
@@ -79,6 +99,7 @@ class Encoder:
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
+        check_model(model)
         self.tokenizer = Tokenizer.from_str(model)
         self.size = self.tokenizer.get_vocab_size()
         self.seen: dict[bytes, bytes] = {}
@@ -172,10 +193,12 @@ def write_tokens(docs: DataFrame, model: str, path: str, end_id: int, id_col: st
     write the ids in ascending order of ``id_col`` as packed blocks to ``path``.
 
     A null or empty text has the end id only. Rows without an id come first; rows that repeat an id stand together, in
-    no fixed order. An empty table gives a dataset without blocks. The model must drop white space and end words at it.
+    no fixed order. An empty table gives a dataset without blocks. Models that ``check_model`` does not know are refused.
     """
+    check_model(Path(model).read_text())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.repartitionByRange(width(docs), "id").sortWithinPartitions("id")
+    # The second column splits rows without an id, or with one id, over the partitions.
+    rows = rows.withColumn("r", F.monotonically_increasing_id()).repartitionByRange(width(docs), "id", "r").sortWithinPartitions("id", "r")
     blocks = rows.mapInArrow(partial(_blocks, model=Path(model).read_text(), end_id=end_id), SCHEMA)
     blocks.write.option("compression", "zstd").parquet(path)
 
