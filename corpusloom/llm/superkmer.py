@@ -3,6 +3,9 @@
 A window is ``k`` consecutive words. Its minimiser is the least hash among its ``m``-word groups; consecutive windows
 with one minimiser travel as one packed string to the minimiser's bucket, where sorting brings equal windows together.
 
+Groups of words that stand in a great part of all windows make bad minimisers, so they are counted first over the whole
+table and come last in the order. A window of such groups only goes by two of them, its least and its greatest.
+
 Windows are first compared within the piece of input that a task holds (a few MB of text). An occurrence that has an
 earlier document there is settled and does not travel, so a passage in a third of all documents arrives once for each
 piece, whatever the number of its copies.
@@ -21,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
-from corpusloom.llm._storage import width
+from corpusloom.llm._storage import materialise, width
 
 U = np.uint64
 MINIMISER = 3
 #: A reducing task holds at most about so many windows, and sorts so many at once; a larger bucket takes several
 #: passes over its strings.
 HELD, SORTED = 6_000_000, 1_000_000
+#: The least share of all windows from which on a minimiser may count as frequent, whatever the number of buckets: it bounds
+#: the list of frequent groups, which goes to all tasks, to 11 times its reciprocal.
+LEAST_SHARE = 2.0**-16
 MAPPED = "bucket int, slot int, runs binary, packed binary"
 SLOTTED = "slot int, runs binary"
 
@@ -70,21 +76,61 @@ def _runs(doc: np.ndarray, pos: np.ndarray, slots: int) -> Iterator[tuple[int, b
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed runs of whole slots as one row for each document."""
-    blobs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(3, -1) for b in batches for x in b.column("runs").to_pylist()]
-    if not blobs:
-        return
-    doc, first, last = np.concatenate(blobs, axis=1)
-    order = np.argsort(doc, kind="stable")
-    doc, pairs = doc[order], np.stack([first[order], last[order]], axis=1).astype(np.int32)
-    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    ends = np.append(edge[1:], len(doc))
-    for k in range(0, len(edge), 8192):
-        i, j = edge[k : k + 8192], ends[k : k + 8192]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array([pairs[a:b].tobytes() for a, b in zip(i, j)], pa.binary())], names=["doc", "runs"])
+    """Packed runs, sorted by slot, as one row for each document; a slot is held at a time."""
+
+    def rows(blobs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, first, last = np.concatenate(blobs, axis=1)
+        order = np.argsort(doc, kind="stable")
+        doc, pairs = doc[order], np.stack([first[order], last[order]], axis=1).astype(np.int32)
+        edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        ends = np.append(edge[1:], len(doc))
+        for k in range(0, len(edge), 8192):
+            i, j = edge[k : k + 8192], ends[k : k + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array([pairs[a:b].tobytes() for a, b in zip(i, j)], pa.binary())], names=["doc", "runs"])
+
+    slot, held = None, []
+    for batch in batches:
+        for now, packed in zip(batch.column("slot").to_pylist(), batch.column("runs").to_pylist()):
+            if now != slot and held:
+                yield from rows(held)
+                held = []
+            slot = now
+            held.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64).reshape(3, -1))
+    if held:
+        yield from rows(held)
+
+
+def _groups(h: np.ndarray) -> np.ndarray:
+    """The numbers, below 2^63, of the groups of words that may be minimisers."""
+    return _text.rolling(h, MINIMISER, 15) >> U(1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Groups with half of the share of a piece of input or more, and the number of all groups as that of group -1. A group
+    with the share of all pieces has at least half of its occurrences in such pieces."""
+    for batch in _text.slices(batches, 1, 16 << 20):
+        data, offs = _text.flat(batch.column(1))
+        starts, ends, at = _text.words(data, offs)
+        if len(starts) < MINIMISER:
+            continue
+        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        groups = _groups(_text.span_hash(data, starts, ends, 11))[row[: len(row) - MINIMISER + 1] == row[MINIMISER - 1 :]]
+        which, n = np.unique(groups, return_counts=True)
+        often = n >= max(2.0, share / 2 * len(groups))
+        yield pa.record_batch([_text.long_array(np.append(which[often].astype(np.int64), -1)), _text.long_array(np.append(n[often], len(groups)))], names=["g", "n"])
+
+
+def frequent_groups(rows: DataFrame, k: int, buckets: int) -> np.ndarray:
+    """Sorted groups of which each, as a minimiser, could bring a bucket more windows than its part: at most
+    ``k`` times the number of buckets, or of the reciprocal of LEAST_SHARE."""
+    share = max(1 / buckets, LEAST_SHARE) / (k - MINIMISER + 1)
+    counts = materialise(rows.mapInArrow(partial(_counted, share=share), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "groups")
+    total = (counts.where("g = -1").first() or (0, 0))[1]
+    often = counts.where((F.col("g") >= 0) & (F.col("n") >= share * total / 2)).select("g").toArrow()
+    return np.sort(often.column("g").to_numpy().astype(np.uint64))
 
 
-def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int, slots: int) -> Iterator[pa.RecordBatch]:
+def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int, slots: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=3)
     for batch in _text.slices(batches, 1, 4 << 20):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -101,11 +147,16 @@ def _mapped(batches: Iterator[pa.RecordBatch], k: int, buckets: int, slots: int)
         pos = real - at[row_of]
         settled = _earlier(a[real], b[real], doc)
         rows = [(slot % buckets, slot, r, None) for slot, r in _runs(doc[settled], pos[settled], slots)]
-        least = _text.rolling(h, MINIMISER, 15)
-        key = least[: len(a)].copy()
+        least = _groups(h)
+        if len(frequent):
+            often = frequent[np.minimum(np.searchsorted(frequent, least), len(frequent) - 1)] == least
+            least |= often.astype(np.uint64) << U(63)
+        key, most = least[: len(a)].copy(), least[: len(a)].copy()
         for i in range(1, k - MINIMISER + 1):
             np.minimum(key, least[i : i + len(a)], out=key)
-        key = key[real]
+            if len(frequent):
+                np.maximum(most, least[i : i + len(a)], out=most)
+        key = np.where(key >> U(63), _text.mix(key ^ _text.mix(most)), key)[real]
         # A super-k-mer: consecutive unsettled windows of a document with one minimiser.
         free = np.flatnonzero(~settled)
         if len(free):
@@ -182,9 +233,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words also start a window of a document with a smaller id. Rows without an id take no part."""
     n = width(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    mapped = rows.mapInArrow(partial(_mapped, k=k, buckets=4 * n, slots=4 * n), MAPPED)
+    frequent = frequent_groups(rows, k, 4 * n)
+    mapped = rows.mapInArrow(partial(_mapped, k=k, buckets=4 * n, slots=4 * n, frequent=frequent), MAPPED)
     found = mapped.repartition(n, "bucket").mapInArrow(partial(_reduced, k=k, slots=4 * n), SLOTTED)
-    return found.repartition(n, "slot").mapInArrow(_merged, "doc long, runs binary")
+    return found.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_merged, "doc long, runs binary")
 
 
 def _cover(batches: Iterator[pa.RecordBatch], k: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -220,7 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     it also starts in a document with a smaller id; all windows are judged on the input. Kept words are joined by one
     space. A null or empty text has no words. Repeats within one document stay. A row without an id keeps all its words
     and takes none from others. Rows that repeat an id count as one document and never take words from each other.
-    Windows are compared by two independent 64-bit hashes, in buckets of any size.
+    Windows are compared by two independent 64-bit hashes (128 bits decide), in buckets of any size.
     """
     found = repeated_windows(docs, id_col, text_col, k)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))

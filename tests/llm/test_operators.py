@@ -12,6 +12,7 @@ import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -19,7 +20,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 pytest.importorskip("corpusloom.llm")
 
-from corpusloom.llm import _columns, decontaminate, html_wrapper, licenses, minhash, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc  # noqa: E402
+from corpusloom.llm import _columns, _text, decontaminate, html_wrapper, licenses, minhash, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc  # noqa: E402
 
 from corpusloom.operators import joins  # noqa: E402
 
@@ -125,6 +126,42 @@ def test_remove_repeats(docs, rows, empty):
     assert superkmer.remove_repeats(empty).count() == 0
 
 
+def test_frequent_minimisers_are_split(spark, monkeypatch):
+    """A phrase of three words in all windows, with a low hash, would be the minimiser of nearly all of them."""
+    rng = random.Random(11)
+
+    def number(phrase):
+        data = np.frombuffer(phrase.encode(), np.uint8)
+        starts, ends, _ = _text.words(data, np.array([0, len(data)]))
+        return superkmer._groups(_text.span_hash(data, starts, ends, 11))[0]
+
+    phrase = min((f"the same p{i}" for i in range(3000)), key=number)
+    rows = [(d, " ".join(f"{phrase} w{rng.randrange(3000)}" for _ in range(60))) for d in range(150)]
+    rows += [(200 + d, rows[d][1]) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = df.toDF("id", "t")
+    often = superkmer.frequent_groups(pairs, 13, 16)
+    assert len(often) >= 1
+
+    def largest(frequent):
+        mapped = pairs.mapInArrow(partial(superkmer._mapped, k=13, buckets=16, slots=16, frequent=frequent), superkmer.MAPPED).where("packed IS NOT NULL").collect()
+        sizes = Counter()
+        for r in mapped:
+            sizes[r.bucket] += len(superkmer._unpacked(r.packed, 13)[0])
+        return max(sizes.values()) / sum(sizes.values())
+
+    assert largest(often[:0]) > 0.5 > 0.2 > largest(often)
+    want, first = [], {}
+    for d, t in rows:
+        w = t.split()
+        gone = set()
+        for p in range(len(w) - 12):
+            if first.setdefault(tuple(w[p : p + 13]), d) < d:
+                gone |= set(range(p, p + 13))
+        want.append((d, len(w), len(gone)))
+    assert collected(superkmer.remove_repeats(df).drop("kept_text")) == sorted(want, key=str)
+
+
 def test_large_buckets_take_several_passes(docs, monkeypatch):
     whole = collected(superkmer.remove_repeats(docs))
     monkeypatch.setattr(superkmer, "HELD", 50)
@@ -190,6 +227,16 @@ def test_token_blocks(spark, docs, rows, empty, odd_texts):
     assert both.count() == docs.count()
 
 
+def test_token_blocks_refuse_other_models_and_split_null_ids(spark):
+    with pytest.raises(ValueError):
+        token_blocks.tokenize_to_blocks(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    many = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, 7) AS doc_id", "concat('word ', id) AS text").repartition(4)
+    folder = token_blocks.tokenize_to_blocks(many, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    blocks = spark.read.schema(token_blocks.SCHEMA).parquet(folder)
+    sizes = [r.n for r in blocks.selectExpr("shard", "size(doc_ids) AS d").groupBy("shard").agg({"d": "sum"}).toDF("s", "n").collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000 and token_blocks.read_tokens(spark, folder).where("doc_id IS NULL").count() == 1334
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31, 32])
 def test_packing(bits):
     import numpy as np
@@ -319,6 +366,29 @@ def test_warc_chunks_are_bounded_and_carry_digests(spark, tmp_path):
     assert [c.is_last for c in chunks] == [False] * (len(chunks) - 1) + [True]
 
 
+def test_warc_reader_takes_foreign_archives_by_lines(spark, tmp_path):
+    import gzip
+
+    body = ("x" * 70 + "\n") * 30_000  # no blank line
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n" + body
+    record = lambda kind, i, block, extra="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\n{extra}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+    (tmp_path / "w").mkdir()
+    with gzip.open(tmp_path / "w" / "a.warc.gz", "wb") as f:
+        f.write((record("warcinfo", 0, "software: y\r\n") + record("response", 1, http, "Content-Type: application/http; msgtype=response\r\n") + record("resource", 2, "")).encode())
+    chunks = warc.read_warc(spark, f"file://{tmp_path}/w", chunk=50_000)
+    got = {r.record_id: (r.warc_type, r.payload_bytes, r.payload_digest) for r in warc.inventory(chunks).collect()}
+    sha = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    assert got == {"<urn:x:0>": ("warcinfo", 13, sha("software: y\r\n")), "<urn:x:1>": ("response", len(body), sha(body)), "<urn:x:2>": ("resource", 0, sha(""))}
+    assert max(len(r.data) for r in chunks.collect()) <= 50_000
+
+
+def test_warc_with_many_repeated_payloads(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "url", "if(page_id % 3 = 0, '', html) AS html")
+    whole = collected(warc.archive_and_read(pages))
+    monkeypatch.setattr(warc, "BROADCAST", -1)
+    assert collected(warc.archive_and_read(pages)) == whole
+
+
 def test_html_extraction(spark, sf):
     import pyarrow.parquet as pq
 
