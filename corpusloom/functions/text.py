@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
+from corpusloom.functions.columns import let
 
 UNPRINTABLE = r"[^\P{C}\n\t]|[^\P{Z} ]"
 
@@ -127,10 +128,11 @@ def language_hint(text: Column) -> Column:
 
 def script_profile(text: Column, sample: int = 50_000) -> Column:
     """A struct of the dominant script family, the share of each, and whether CJK text is present."""
-    s = F.regexp_replace(F.left(text, F.lit(sample)), r"\s", "")
-    counts = F.array(F.length(s), *(F.length(s) - F.length(F.regexp_replace(s, f"[{v}]", "")) for v in rules.FAMILIES.values()))
     names = [*rules.FAMILIES, "other"]
 
+    def counts(s: Column) -> Column:
+        return F.array(F.length(s), *(F.length(s) - F.length(F.regexp_replace(s, f"[{v}]", "")) for v in rules.FAMILIES.values()))
+
     def profile(c: Column) -> Column:
         n = c[0]
         shares = [F.when(n > 0, x / n).otherwise(0.0) for x in (*(c[i + 1] for i in range(len(rules.FAMILIES))), n - sum((c[i + 1] for i in range(len(rules.FAMILIES))), F.lit(0)))]
@@ -138,7 +140,7 @@ def script_profile(text: Column, sample: int = 50_000) -> Column:
         share = dict(zip(names, shares))
         return F.struct(F.when(n > 0, top).otherwise("unknown").alias("dominant"), *(v.alias(k) for k, v in share.items()), (share["cjk"] + share["hangul"] >= 0.05).alias("has_cjk"))
 
-    return F.transform(F.array(counts), profile)[0]
+    return let(F.regexp_replace(F.left(text, F.lit(sample)), r"\s", ""), lambda s: let(counts(s), profile))
 
 
 def split_policy(profile: Column) -> Column:
@@ -152,9 +154,11 @@ def query_keywords(text: Column, most: int = 8) -> Column:
     compared in lower case without accents, stop words with accents therefore never match."""
     fold = lambda x: F.translate(F.lower(x), *rules.ACCENTS)
     stop = [w for w in dict.fromkeys(rules.KEYWORD_STOPWORDS) if not set(w) & set(rules.ACCENTS[0])]
-    tokens = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}\p{M}_\s]", " "), r"\s+"), lambda x: (F.length(x) >= 3) & ~fold(x).isin(stop))
-    folded = F.transform(tokens, fold)
-    return F.slice(F.filter(tokens, lambda x, i: F.array_position(folded, fold(x)) == i + 1), 1, most)
+    words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}\p{M}_\s]", " "), r"\s+")
+    # Sorted by key and place, so that the first of each key is found without looking through the others.
+    keyed = F.array_sort(F.filter(F.transform(words, lambda x, i: F.struct(fold(x).alias("k"), i.alias("i"), x.alias("w"))), lambda x: (F.length(x["w"]) >= 3) & ~x["k"].isin(stop)))
+    first = let(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (x["k"] != s[F.greatest(i - 1, F.lit(0))]["k"])))
+    return F.transform(F.slice(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))), 1, most), lambda x: x["w"])
 
 
 def perception_keywords(text: Column, most: int = 10) -> Column:
@@ -274,14 +278,22 @@ def mask_pii_plain(text: Column) -> Column:
 
 def redaction_report(text: Column) -> Column:
     """How many secrets and how much personal data of each category the masking replaces."""
-    secrets, counts, t = F.lit(0), [], text
-    for name, pattern in rules.SECRETS:
-        secrets = secrets + F.regexp_count(t, F.lit(pattern))
-        t = F.regexp_replace(t, pattern, f"[REDACTED_{name}]")
-    for name, pattern in rules.PII:
-        counts.append(F.regexp_count(t, F.lit(pattern)).alias(name.lower()))
-        t = F.regexp_replace(t, pattern, f"<{name}>")
-    return F.struct(secrets.alias("secrets"), *counts)
+    steps = [(p, f"[REDACTED_{n}]") for n, p in rules.SECRETS] + [(p, f"<{n}>") for n, p in rules.PII]
+    k = len(rules.SECRETS)
+    table = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(mark).alias("mark")) for p, mark in steps))
+
+    def step(done: Column, rule: Column) -> Column:
+        # A pattern is looked for once, and replaced only where it occurs.
+        def counted(n: Column) -> Column:
+            return F.struct(F.when(n == 0, done["t"]).otherwise(F.regexp_replace(done["t"], rule["pattern"], rule["mark"])).alias("t"), F.concat(done["n"], F.array(n)).alias("n"))
+
+        return let(F.regexp_count(done["t"], rule["pattern"]), counted)
+
+    def named(done: Column) -> Column:
+        n = done["n"]
+        return F.struct(sum((n[i] for i in range(1, k)), n[0]).alias("secrets"), *(n[k + i].alias(name.lower()) for i, (name, _) in enumerate(rules.PII)))
+
+    return F.aggregate(table, F.struct(text.alias("t"), F.array().cast("array<int>").alias("n")), step, named)
 
 
 def _numbered(batches: Iterator[pd.DataFrame], table: tuple, running: bool) -> Iterator[pd.DataFrame]:

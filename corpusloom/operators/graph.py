@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contribution, provenance, regex_entities
-from corpusloom.operators.joins import predicate_join
+from corpusloom.operators.joins import salted_join
 from corpusloom.operators.retrieval import top
 
 
@@ -57,8 +57,15 @@ def chunk_source(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def related_context(keywords: DataFrame, entities: DataFrame, edges: DataFrame, limit: int = 40) -> DataFrame:
-    """``(query_id, keyword)``: edges from entities whose name holds a keyword, any case, with the entity's topic."""
-    hit = predicate_join(entities, keywords, F.contains(F.lower("name"), F.lower("keyword"))).select("query_id", F.col("key").alias("src")).distinct()
+    """``(query_id, keyword)``: edges from entities whose name holds a keyword, any case, with the entity's topic. A
+    keyword and a name meet on a piece of up to three characters that both hold. An empty keyword finds nothing."""
+    low = keywords.select("query_id", F.lower("keyword").alias("k")).where("k <> ''").distinct()
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)))
+    # A keyword asks with one of its pieces of three, the least by hash; one shorter than that with all of itself.
+    ask = low.withColumn("piece", F.when(F.length("k") < 3, F.col("k")).otherwise(F.array_min(F.transform(pieces("k", 3), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"]))
+    names = entities.select(F.col("key").alias("src"), F.lower("name").alias("n")).where("n <> ''")
+    held = names.withColumn("piece", F.explode(F.array_distinct(F.concat(*(pieces("n", n) for n in (1, 2, 3))))))
+    hit = salted_join(held, ask, "piece").where(F.contains("n", "k")).select("query_id", "src").distinct()
     topics = edges.where("rel = 'PART_OF'").select(F.col("src"), F.col("dst").alias("topic"))
     out = hit.join(edges.where("rel IN ('RELATED_TO', 'PART_OF')"), "src").join(topics, "src", "left").select("query_id", "src", "rel", "dst", "topic").distinct()
     return top(out, limit, F.col("src"), F.col("rel"), F.col("dst"), F.col("topic"))

@@ -28,3 +28,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, share: int = 1000, l
     mine = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("__parts")).cast("int")))
     theirs = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     return mine.drop("__parts").join(theirs.drop("__parts"), [on, "__salt"]).drop("__salt")
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str, share: int = 1000, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key and says in ``count`` how many rows hold it.
+
+    Keys with over 1/``share`` of all rows, fewer than ``share`` of them, are broadcast, so that their rows stay where they
+    are; the others are joined by a shuffle, in which no key has more than that part of the rows. With ``how="left"`` rows
+    whose key is not in ``table`` stay."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * share > total
+    hot, cold = table.where(often).drop(count), table.where(~often).drop(count)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))

@@ -80,11 +80,12 @@ def consecutive_blocks(lines: DataFrame) -> DataFrame:
     return island.groupBy("file", "i").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).drop("i")
 
 
-def symbol_coverage(symbols: DataFrame, executed: DataFrame) -> DataFrame:
-    """Executed lines within each symbol's span. The range join has the file as its equality key."""
-    runs = executed.select("file", "line").distinct()
-    hit = symbols.join(runs, "file", "left").where(F.col("line").isNull() | F.col("line").between(F.col("start_line"), F.col("end_line")))
-    n = hit.groupBy("file", "symbol").agg(F.count("line").alias("executed"))
+def symbol_coverage(symbols: DataFrame, executed: DataFrame, block: int = 64) -> DataFrame:
+    """Executed lines within each symbol's span. A span stands in every block of ``block`` lines that it touches, so
+    a line meets only the symbols around it."""
+    runs = executed.select("file", "line", F.floor(F.col("line") / block).alias("b")).distinct()
+    spans = symbols.select("file", "symbol", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))).alias("b"))
+    n = spans.join(runs, ["file", "b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("file", "symbol").agg(F.count("line").alias("executed"))
     size = F.col("end_line") - F.col("start_line") + 1
     out = symbols.join(n, ["file", "symbol"], "left").withColumn("executed", F.coalesce("executed", F.lit(0)))
     return out.select("file", "symbol", "executed", F.round(F.col("executed") / size, 6).alias("ratio"), F.when(F.col("executed") > 0, "touched").otherwise("unused").alias("status"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.columns import let
 from corpusloom.functions.text import effective_limit, script_profile, split_policy
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -77,9 +78,15 @@ def split_recursive(docs: DataFrame, size: int = 900, overlap: int = 180) -> Dat
 def split_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """Windows of ``size`` characters every ``size - overlap``, in SQL functions."""
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int"))
-    pieces = F.transform(starts, lambda i: F.substring("text", i * step + 1, F.lit(size)))
-    return docs.where("length(text) > 0").select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk_text"))
+    # Cut once into steps; a window is put together from the steps that it touches.
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    more = -(-size // step) - 1
+
+    def windows(p: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int"))
+        return F.transform(starts, lambda i: F.left(F.array_join(F.transform(F.sequence(i, F.least(i + more, F.size(p) - 1)), lambda k: p[k]), ""), F.lit(size)))
+
+    return docs.where("length(text) > 0").select("doc_id", F.posexplode(let(parts, windows)).alias("chunk_index", "chunk_text"))
 
 
 def split_markdown(docs: DataFrame, levels: int = 3) -> DataFrame:
@@ -109,9 +116,13 @@ def segment_by_tokens(docs: DataFrame, limit: int | Column) -> DataFrame:
     """T4: groups of white-space tokens under the limit less its margin; short texts stay as they are (0: off)."""
     n = effective_limit(F.lit(limit) if isinstance(limit, int) else limit)
     words = F.array_remove(F.split("text", r"\s+"), "")
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / n).cast("int") - 1), lambda i: F.array_join(F.slice(words, i * n + 1, n), " "))
-    pieces = F.when((n == 0) | (F.size(words) <= n), F.array("text")).otherwise(groups)
-    return docs.select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk_text"))
+
+    def groups(w: Column) -> Column:
+        # Words are taken one by one, since a slice would copy the whole list for each group.
+        group = lambda i: F.array_join(F.transform(F.sequence(i * n, F.least((i + 1) * n, F.size(w)) - 1), lambda k: w[k]), " ")
+        return F.when((n == 0) | (F.size(w) <= n), F.array("text")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / n).cast("int") - 1), group))
+
+    return docs.select("doc_id", F.posexplode(let(words, groups)).alias("chunk_index", "chunk_text"))
 
 
 def split_semantic(sentences: DataFrame, percentile: float = 0.95) -> DataFrame:

@@ -9,6 +9,7 @@ from corpusloom.operators import evidence as E
 from corpusloom.operators import metrics as A
 from corpusloom.plans.ingest_queries import five
 from corpusloom.plans.registry import query, table
+from corpusloom.plans.streaming_queries import CIRCUIT
 from corpusloom.plans.retrieval_queries import HITS, asked, full_hits, vectors
 from corpusloom.plans.text_queries import q
 
@@ -112,10 +113,10 @@ def a14(spark, d):
     return A.audit_events(table(spark, d, "events"), "event_type").select("event_id", "back")
 
 
-@query("a15_pressure_actions")
+@query("a15_pressure_actions", CIRCUIT)
 def a15(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("ts"), (~F.col("event_type").isin("error", "signup")).alias("ok"))
-    return A.pressure_actions(e)
+    return A.pressure_actions(e).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 SPANS = "iv AS (SELECT event_id AS id, epoch(ts)::DOUBLE AS start, epoch(ts)::DOUBLE + value AS \"end\", user_id % 4 <> 0 AS ok, event_type FROM events)"
@@ -185,7 +186,7 @@ def e04(spark, d):
     return E.confidence_heuristic(asked(spark, d), marked(spark, d), conflicts(spark, d))
 
 
-@query("e05_confidence_semantic", f"WITH {EH} SELECT query_id, round(sum(score / rank) / sum(1.0::DOUBLE / rank), 6) AS confidence FROM hits WHERE rank <= 5 GROUP BY query_id")
+@query("e05_confidence_semantic", f"WITH {EH} SELECT query_id, round(sum(score / rank) / sum(1.0::DOUBLE / rank), 6) AS confidence FROM full_hits WHERE rank <= 5 GROUP BY query_id")
 def e05(spark, d):
     return E.confidence_semantic(full_hits(spark, d))
 
@@ -197,7 +198,7 @@ def e06(spark, d):
     return E.pair_consistency(s).withColumn("contradicting", F.array_join("contradicting", ","))
 
 
-@query("e07_low_similarity", f"WITH {EH} SELECT query_id, 'q' AS hypothesis, round(avg(list_cosine_similarity(e, embedding::DOUBLE[])), 6) AS similarity, round(avg(list_cosine_similarity(e, embedding::DOUBLE[])), 6) < 0.3 AS low FROM hits JOIN q USING (query_id) JOIN embeddings ON vec_id = id GROUP BY query_id")
+@query("e07_low_similarity", f"WITH {EH} SELECT query_id, 'q' AS hypothesis, round(avg(list_cosine_similarity(e, embedding::DOUBLE[])), 6) AS similarity, round(avg(list_cosine_similarity(e, embedding::DOUBLE[])), 6) < 0.3 AS low FROM full_hits JOIN q USING (query_id) JOIN embeddings ON vec_id = id GROUP BY query_id")
 def e07(spark, d):
     h = asked(spark, d).select("query_id", F.lit("q").alias("hypothesis"), F.col("v").alias("h"))
     f = full_hits(spark, d).join(vectors(spark, d).select("id", "v"), "id").select("query_id", F.col("v").alias("f"))
@@ -213,7 +214,7 @@ def e08(spark, d):
 ANSWER = "'CONFIRMED FACTS:' || chr(10) || string_agg('- [' || source || '] ' || substr(text, 1, 250), chr(10) ORDER BY rank)"
 
 
-@query("e09_structured_answer", f"WITH {EH}, a AS (SELECT query_id, {ANSWER} AS a, string_agg(substr(text, 1, 120), '|' ORDER BY rank) FILTER (rank <= 3) AS key_points FROM eh WHERE rank <= 8 GROUP BY query_id) SELECT query_id, sha256(a || chr(10) || chr(10) || 'HYPOTHESES:' || chr(10) || '1. one' || chr(10) || '2. two') AS answer_sha256, key_points FROM a")
+@query("e09_structured_answer", f"WITH {EH}, a AS (SELECT query_id, {ANSWER} AS a, array_to_string((list(substr(text, 1, 120) ORDER BY rank))[1:3], '|') AS key_points FROM eh WHERE rank <= 8 GROUP BY query_id) SELECT query_id, sha256(a || chr(10) || chr(10) || 'HYPOTHESES:' || chr(10) || '1. one' || chr(10) || '2. two') AS answer_sha256, key_points FROM a")
 def e09(spark, d):
     h = asked(spark, d).select("query_id", F.posexplode(F.array(F.lit("one"), F.lit("two"))).alias("place", "hypothesis")).withColumn("place", F.col("place") + 1)
     return E.structured_answer(marked(spark, d), hypotheses=h).select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.array_join("key_points", "|").alias("key_points"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rules
 from corpusloom.operators import splitting as T
 from corpusloom.plans.registry import query, table
+from corpusloom.plans.text_queries import q
 from corpusloom.sources import files as S
 
 PATH = "regexp_replace(regexp_replace(url, '^https?:/', ''), '[?#].*$', '')"
@@ -48,18 +50,19 @@ def s05(spark, d):
     return paths(spark, d).select("page_id", S.preserve_duplicates(F.col("path"), ["# none", "re:/es/\\d+$", "fr/", "*7.html"]).alias("preserved"))
 
 
-@query("s06_read_text_docs", "SELECT sha256(text || chr(10)) AS text_sha256 FROM documents WHERE doc_id % 20 = 0")
+@query("s06_read_text_docs", "SELECT sha256(text || chr(10)) AS text_sha256 FROM documents")
 def s06(spark, d):
     path = S.shared_path(spark, "texts")
-    docs(spark, d).where("doc_id % 20 = 0").select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    return S.read_text_docs(spark, path + "/*/*.txt").select(F.sha2("text", 256).alias("text_sha256"))
+    docs(spark, d).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_text_docs(spark, path).select(F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("s07_read_csv_docs", "SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
+@query("s07_read_csv_docs", r"""SELECT doc_id::VARCHAR AS doc_id, lang, sha256(regexp_replace(text, '[\n\r"\\]', ' ', 'g')) AS text_sha256 FROM documents""")
 def s07(spark, d):
     path = S.shared_path(spark, "csv")
-    docs(spark, d).select("doc_id", "lang", F.regexp_replace("text", r'[\n\r"\\]', " ").alias("text")).write.option("header", "true").csv(path)
-    return S.read_csv_docs(spark, path).agg(F.count("*").alias("n"))
+    docs(spark, d).select("doc_id", "lang", F.regexp_replace("text", r'[\n\r"\\]', " ").alias("text")).write.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    rows = S.read_csv_docs(spark, path).select(F.from_json("text", "doc_id string, lang string, text string").alias("r"))
+    return rows.select("r.doc_id", "r.lang", F.sha2("r.text", 256).alias("text_sha256"))
 
 
 @query("s08_guard_docs_per_file", "SELECT doc_id FROM documents WHERE lang || source IN (SELECT lang || source FROM documents GROUP BY ALL HAVING count(*) <= 10)")
@@ -82,10 +85,16 @@ def s10(spark, d):
     return S.decode_with_fallbacks(_raw(spark, d)).select("path", "encoding", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("s11_code_structure", """SELECT page_id::VARCHAR AS path, ['Line 1: def f(x):' || chr(10) || 'Line 3: class A:', 'Line 1: function g() {', 'Line 1: type T struct', 'File structure only'][page_id % 4 + 1] AS structure FROM pages""")
+# The documents' lines as code: every third one declares a function or, in other files, a type.
+_code = "CASE n % 3 WHEN 1 THEN '  def ' || line WHEN 2 THEN 'type ' || line ELSE line END"
+@query("s11_code_structure", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), c AS (SELECT doc_id, n, {_code} AS line FROM l),
+m AS (SELECT doc_id, string_agg('Line ' || (n + 1) || ': ' || trim(line), chr(10) ORDER BY n) AS t FROM c WHERE (doc_id % 3 = 0 AND regexp_matches(line, {q(rules.STRUCTURE["py"])})) OR (doc_id % 3 = 1 AND regexp_matches(line, {q(rules.STRUCTURE["go"])})) GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS path, sha256(coalesce(t, 'File structure only')) AS structure_sha256 FROM documents LEFT JOIN m USING (doc_id)""")
 def s11(spark, d):
-    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("page_id") % 4 + 1).cast("int"))
-    return S.code_structure(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), pick("py", "js", "go", "zz").alias("ext"), pick("def f(x):\n  pass\nclass A:", "function g() {\n}", "type T struct", "no code").alias("text")))
+    ext = F.when(F.col("doc_id") % 3 == 0, "py").when(F.col("doc_id") % 3 == 1, "go").otherwise("zz")
+    code = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("  def "), x)).when(i % 3 == 2, F.concat(F.lit("type "), x)).otherwise(x))
+    files = docs(spark, d).select(F.col("doc_id").cast("string").alias("path"), ext.alias("ext"), F.array_join(code, "\n").alias("text"))
+    return S.code_structure(files).select("path", F.sha2("structure", 256).alias("structure_sha256"))
 
 
 @query("s12_flag_scanned_docs", "SELECT conv_id AS doc_id, avg(length(trim(text))) < 100 AS scanned FROM conversations GROUP BY conv_id")
@@ -183,6 +192,6 @@ def t07(spark, d):
     return digest(T.prepend_context(T.split_fixed(docs(spark, d), 900, 180), docs(spark, d)))
 
 
-@query("t08_group_waves", "SELECT doc_id, printf('wave_%03d', CAST(ceil(row_number() OVER (ORDER BY doc_id) / 30.0) AS INT)) AS wave FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= 600")
+@query("t08_group_waves", "SELECT doc_id, printf('wave_%03d', CAST(ceil(row_number() OVER (ORDER BY doc_id) / 30.0) AS INT)) AS wave FROM documents")
 def t08(spark, d):
-    return T.group_waves(docs(spark, d).select("doc_id"), 30, "doc_id", 20)
+    return T.group_waves(docs(spark, d).select("doc_id"), 30, "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
@@ -169,11 +170,16 @@ def r15(spark, d):
     return R.dedupe_near(with_vectors(spark, d))
 
 
-@query("r15b_near_dup_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.embedding <> b.embedding WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.95")
+@query("r15b_near_dup_pairs", "WITH c AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS e FROM embeddings GROUP BY embedding) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM c a JOIN c b ON a.id < b.id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.95")
 def r15b(spark, d):
     return R.near_dup_pairs(vectors(spark, d), 0.95)
 
 
+@query("r15b_vector_classes", "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings")
+def r15c(spark, d):
+    return R.vector_classes(vectors(spark, d))
+
+
 @query("r16_mmr")
 def r16(spark, d):
     return R.mmr(with_vectors(spark, d))
@@ -196,7 +202,7 @@ def r18(spark, d):
     return R.rerank_gate(hits(spark, d).withColumn("intent", intent())).select("query_id", "id", "gated")
 
 
-@query("r19_combine_pair_scores", sql(r""", w AS (SELECT query_id, id, score, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM full_hits), j AS (SELECT *, round(len(list_intersect(w, ['the', 'of', 'and', 'to', 'in'])) / len(list_distinct(list_concat(w, ['the', 'of', 'and', 'to', 'in']))), 6) AS pair FROM w), c AS (SELECT query_id, id, round(0.7 * pair + 0.3 * score, 6) AS combined FROM j)
+@query("r19_combine_pair_scores", sql(r""", w AS (SELECT query_id, id, score, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM full_hits), j AS (SELECT *, round(len(list_intersect(w, ['the', 'of', 'and', 'to', 'in'])) / len(list_distinct(list_concat(w, ['the', 'of', 'and', 'to', 'in']))), 6) AS pair FROM w), c AS (SELECT query_id, id, round(0.7 * pair::DECIMAL(20,12) + 0.3 * score::DECIMAL(20,12), 6)::DOUBLE AS combined FROM j)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS INT) AS rank FROM c"""))
 def r19(spark, d):
     return R.combine_pair_scores(with_vectors(spark, d)).select("query_id", "id", "combined", "rank")
@@ -222,10 +228,12 @@ def r22(spark, d):
     return R.fallback_decision(s).select("query_id", "web_search", "outcome")
 
 
-@query("r23_fuse_local_web", sql("SELECT query_id, id, false AS is_web, rank FROM hits WHERE query_id % 100 = 0 UNION ALL SELECT query_id, page_id, true, CAST(CASE WHEN query_id % 100 = 0 THEN 20 ELSE 0 END + page_id + 1 AS INT) FROM q, pages WHERE page_id < 3"))
+@query("r23_fuse_local_web", sql(", w AS (SELECT page_id % 10 * 50 AS query_id, page_id AS id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages), u AS (SELECT query_id, id, 0 AS side, rank FROM hits UNION ALL SELECT query_id, id, 1, rank FROM w) SELECT query_id, id, side = 1 AS is_web, CAST(row_number() OVER (PARTITION BY query_id ORDER BY side, rank) AS INT) AS rank FROM u"))
 def r23(spark, d):
-    web = asked(spark, d).select("query_id").join(F.broadcast(table(spark, d, "pages").where("page_id < 3").select(F.col("page_id").alias("id"), (F.col("page_id") + 1).cast("int").alias("rank"))))
-    return R.fuse_local_web(hits(spark, d).where("query_id % 100 = 0").select("query_id", "id", "rank"), web.select("query_id", "id", "rank")).select("query_id", "id", "is_web", "rank")
+    """All pages as results of web searches, dealt to ten of the queries."""
+    web = table(spark, d, "pages").select((F.col("page_id") % 10 * 50).alias("query_id"), F.col("page_id").alias("id"))
+    web = web.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    return R.fuse_local_web(hits(spark, d).select("query_id", "id", "rank"), web).select("query_id", "id", "is_web", "rank")
 
 
 @query("r24_unique_sources", sql("SELECT query_id, source, arg_min(score, rank) AS score, min(rank) AS rank FROM full_hits GROUP BY ALL"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions import text as X
+from corpusloom.functions.columns import let
 from corpusloom.operators.joins import predicate_join
 from corpusloom.plans.registry import query, table
 
@@ -53,7 +54,7 @@ b AS (SELECT *, strpos(reverse(head), ' ') AS back FROM h)
 SELECT doc_id, sha256(CASE WHEN n <= 100 THEN text WHEN back > 0 AND back <= 100 THEN rtrim(substr(head, 1, length(head) - back), ' ') ELSE head END) AS cut_sha256 FROM b""")
 _project("p05_content_hash", "documents", DOC, lambda: {"hash": X.content_hash(F.col("text"))}, "SELECT doc_id, sha256(text) AS hash FROM documents")
 _project("p06_chunk_id", "documents", DOC, lambda: {"chunk_id": X.chunk_id(F.col("source"), F.col("doc_id"), F.sha2("text", 256)), "control_id": X.chunk_id(F.col("source"), F.col("doc_id"), F.sha2("text", 256), short=False)}, "SELECT doc_id, substr(sha256(source || ':' || doc_id || ':' || sha256(text)), 1, 32) AS chunk_id, sha256(source || ':' || doc_id || ':' || sha256(text)) AS control_id FROM documents")
-_project("p07_normalize_key", "pages", ("page_id",), lambda: {"key": X.normalize_key(F.col("url"))}, None)
+_project("p07_normalize_key", "pages", ("page_id",), lambda: {"key": X.normalize_key(F.col("url"))}, "WITH s AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS s FROM pages) SELECT page_id, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(s, 17, 1)) - 1) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12) AS key FROM s")
 _project("p08_coerce_datetime", "events", ("event_id",), lambda: {"iso": X.coerce_datetime(F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 4 == 1, F.date_format("ts", "dd/MM/yyyy")).when(F.col("event_id") % 4 == 2, F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+00'00'"))).otherwise(F.col("event_type")))}, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT00:00:00Z') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS iso FROM events")
 
 
@@ -82,13 +83,13 @@ c AS (SELECT doc_id, n, {counts} FROM n), o AS (SELECT *, n - {" - ".join(names)
 
 @query("p12_script_profile", _profile_sql("doc_id, dominant, has_cjk, round(CASE WHEN n > 0 THEN latin / n ELSE 0 END, 6) AS latin"))
 def p12(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.script_profile(F.col("text")).alias("p")).select("doc_id", "p.dominant", "p.has_cjk", F.round("p.latin", 6).alias("latin"))
+    p = table(spark, d, "documents").select("doc_id", F.inline(F.array(X.script_profile(F.col("text")))))
+    return p.select("doc_id", "dominant", "has_cjk", F.round("latin", 6).alias("latin"))
 
 
 @query("p13_split_policy", _profile_sql("doc_id, CASE WHEN has_cjk OR dominant IN ('cjk', 'hangul') THEN 700 ELSE 1200 END AS size, CASE WHEN has_cjk OR dominant IN ('cjk', 'hangul') THEN 120 ELSE 150 END AS overlap"))
 def p13(spark, d):
-    p = table(spark, d, "documents").select("doc_id", X.script_profile(F.col("text")).alias("p")).select("doc_id", X.split_policy(F.col("p")).alias("s"))
-    return p.select("doc_id", "s.size", "s.overlap")
+    return table(spark, d, "documents").select("doc_id", F.inline(F.array(let(X.script_profile(F.col("text")), X.split_policy)))).select("doc_id", "size", "overlap")
 
 
 _stop = [w for w in dict.fromkeys(rules.KEYWORD_STOPWORDS) if not set(w) & set(rules.ACCENTS[0])]
@@ -181,7 +182,7 @@ def _report_sql() -> str:
 
 @query("p31_redaction_report", _report_sql())
 def p31(spark, d):
-    r = table(spark, d, "documents").select("doc_id", X.redaction_report(F.col("text")).alias("r")).select("doc_id", "r.*")
+    r = table(spark, d, "documents").select("doc_id", F.inline(F.array(X.redaction_report(F.col("text")))))
     names = r.columns[1:]
     return r.where(" + ".join(names) + " > 0").select("doc_id", *(F.col(n).cast("long").alias(n) for n in names))
 

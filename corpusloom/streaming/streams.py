@@ -30,21 +30,11 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return None if each else spark.read.schema(stream.schema).parquet(out)
 
 
-def stream_ingest(docs: DataFrame, target: str, size: int = 900, overlap: int = 180) -> Callable[[DataFrame, int], None]:
-    """The batch writer of incremental ingestion: chunks, drops hashes that are stored, and appends the rest under the
-    batch's number, so that a batch that runs again replaces itself."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        chunks = split_fixed(batch, size, overlap).withColumn("hash", F.sha2("chunk_text", 256))
-        fresh = chunks.groupBy("hash").agg(F.min(F.struct("doc_id", "chunk_index", "chunk_text")).alias("c")).select("hash", "c.*")
-        jvm = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if number and jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
-            stored = spark.read.parquet(target).where(F.col("batch") < number).select("hash")
-            fresh = fresh.join(stored, "hash", "left_anti")
-        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
-
-    return write
+def stream_ingest(docs: DataFrame, size: int = 900, overlap: int = 180) -> DataFrame:
+    """Incremental ingestion of ``(doc_id, text)``: chunks whose hash has not been seen. The hashes are state, dealt to
+    the tasks by hash, so a batch does not read what is stored; the file sink's log makes a batch count once."""
+    chunks = split_fixed(docs, size, overlap).withColumn("hash", F.sha2("chunk_text", 256))
+    return chunks.dropDuplicates(["hash"])
 
 
 def stream_dedupe(docs: DataFrame, ttl: str = "1 day") -> DataFrame:
@@ -79,7 +69,8 @@ def promotions(target: str, threshold: int) -> Callable[[DataFrame, int], None]:
 
 def stream_circuit(events: DataFrame, threshold: int = 5, reset: float = 60.0, late: str = "10 minutes") -> DataFrame:
     """``(source, ts, ok)``: the circuit of each source after each event. State is four numbers a source, and a source
-    that is silent for a day is forgotten."""
+    that is silent for a day is forgotten. A source's events of one trigger are sorted in memory; the reader's number of files
+    bounds them."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
