@@ -94,6 +94,49 @@ def structured_answer(evidence: DataFrame, conflicts: DataFrame | None = None, h
     return df.select("query_id", F.concat_ws("\n\n", *sections).alias("answer"), "key_points")
 
 
+#: The titles of a summary's sections in order, and the line between sections.
+SECTIONS = {"facts": "HECHOS RECUPERADOS", "memory": "MEMORIA DE SESIÓN", "math": "RESULTADO MATEMÁTICO", "code": "ANÁLISIS DE CÓDIGO", "conflicts": "CONFLICTOS DE VERSIÓN", "hypotheses": "HIPÓTESIS"}
+RULE = "\n" + "─" * 60 + "\n"
+
+
+def merge_evidence(queries: DataFrame, hits: DataFrame, memory: DataFrame, math: DataFrame, code: DataFrame, conflicts: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """``(query_id, summary)``: one text of all evidence of each query, in sections that are left out where empty.
+
+    ``hits`` and ``memory`` are ``(query_id, rank, source, score, text)``, ``math`` is ``(query_id, result)`` (P28), ``code`` is
+    ``(query_id, language, result, issues)`` (P27), ``conflicts`` ``(query_id, note)``, ``hypotheses`` ``(query_id, place,
+    hypothesis)``. A query without evidence has an empty summary."""
+
+    def section(name: str, body):
+        return F.concat(F.lit(f"### {SECTIONS[name]}\n"), body).alias(name)
+
+    def found(df: DataFrame, name: str) -> DataFrame:
+        source = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit(" "), "source")).otherwise("")
+        number = lambda x, i: F.concat(F.format_string("[%d]", i + 1), x["head"], F.lit("\n"), x["text"])
+        head = F.concat(source, F.format_string(" (score=%.2f)", F.coalesce("score", F.lit(0.0))))
+        rows = F.array_sort(F.collect_list(F.struct("rank", head.alias("head"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))))
+        return df.groupBy("query_id").agg(section(name, F.array_join(F.transform(rows, number), "\n")))
+
+    lines = [
+        F.concat(F.lit("Lenguaje: "), F.nullif("language", F.lit(""))),
+        F.concat(F.lit("Resultado:\n"), F.nullif("result", F.lit(""))),
+        F.when(F.size("issues") > 0, F.concat(F.lit("Problemas: "), F.array_join("issues", "; "))),
+    ]
+    notes = F.array_join(F.transform(F.array_sort(F.collect_list("note")), lambda x: F.concat(F.lit("- "), x)), "\n")
+    guesses = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hypothesis"))), lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["hypothesis"])), "\n")
+    parts = [
+        found(hits, "facts"),
+        found(memory, "memory"),
+        math.where("result IS NOT NULL").select("query_id", section("math", F.concat(F.lit("Resultado: "), F.col("result").cast("string")))),
+        code.select("query_id", section("code", F.concat_ws("\n", *lines))),
+        conflicts.groupBy("query_id").agg(section("conflicts", notes)),
+        hypotheses.groupBy("query_id").agg(section("hypotheses", guesses)),
+    ]
+    out = queries.select("query_id").distinct()
+    for p in parts:
+        out = out.join(p, "query_id", "left")
+    return out.select("query_id", F.concat_ws(RULE, *SECTIONS).alias("summary"))
+
+
 def fallback_facts(hits: DataFrame) -> DataFrame:
     """The first five hits, cut to 200 characters."""
     return hits.where("rank <= 5").select("query_id", "rank", F.left("text", F.lit(200)).alias("fact"))

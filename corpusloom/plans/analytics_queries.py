@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
+from corpusloom.functions.text import code_question_profile, percent_of
 from corpusloom.operators import evidence as E
 from corpusloom.operators import metrics as A
 from corpusloom.plans.ingest_queries import five
@@ -236,3 +237,23 @@ def report(spark, d):
     return r.select("query_id", "confidence", "escalate", F.sha2("answer", 256).alias("answer_sha256"))
 
 
+_found = "string_agg('[' || n || '] ' || source || ' (score=' || printf('%.2f', score) || ')' || chr(10) || trim(text, ' '), chr(10) ORDER BY n)"
+_merged = f"""WITH {EH}, {YC}, {SC}, {CF}, f AS (SELECT query_id, '### HECHOS RECUPERADOS' || chr(10) || {_found} AS t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM eh) GROUP BY query_id),
+mm AS (SELECT query_id, '### MEMORIA DE SESIÓN' || chr(10) || {_found} AS t FROM (SELECT conv_id * 50 AS query_id, role AS source, 0.5 AS score, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY query_id),
+x AS (SELECT q.query_id, '### RESULTADO MATEMÁTICO' || chr(10) || 'Resultado: ' || (2.0 * query_id / 100)::DOUBLE AS t FROM q WHERE query_id % 100 = 0),
+k AS (SELECT query_id, '### ANÁLISIS DE CÓDIGO' || chr(10) || 'Lenguaje: Python' || chr(10) || 'Problemas: bug; error' AS t FROM q WHERE query_id % 100 = 50),
+c AS (SELECT query_id, '### CONFLICTOS DE VERSIÓN' || chr(10) || string_agg('- ' || note, chr(10) ORDER BY note) AS t FROM cf GROUP BY query_id), h AS (SELECT query_id, '### HIPÓTESIS' || chr(10) || '1. one' || chr(10) || '2. two' AS t FROM q)
+SELECT query_id, sha256(concat_ws(chr(10) || repeat('─', 60) || chr(10), f.t, mm.t, x.t, k.t, c.t, h.t)) AS summary_sha256 FROM q LEFT JOIN f USING (query_id) LEFT JOIN mm USING (query_id) LEFT JOIN x USING (query_id) LEFT JOIN k USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN h USING (query_id)"""
+
+
+@query("e11_merge_evidence", _merged)
+def e11(spark, d):
+    """All evidence of each query: hits, the conversation of its number, a calculation, a code question, conflicts, hypotheses."""
+    a, hits = asked(spark, d).select("query_id"), marked(spark, d)
+    memory = table(spark, d, "conversations").select((F.col("conv_id") * 50).alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("source"), F.lit(0.5).alias("score"), "text")
+    sums = a.where("query_id % 100 = 0").select("query_id", percent_of(F.concat(F.lit("2 % of "), F.col("query_id").cast("string")))["value"].alias("result"))
+    code = a.where("query_id % 100 = 50").select("query_id", F.inline(F.array(code_question_profile(F.lit("bug and error in python"))))).select("query_id", "language", F.lit(None).cast("string").alias("result"), "issues")
+    years, status = E.year_conflicts(hits), E.status_conflicts(hits)
+    notes = years.select("query_id", F.format_string("Year %d against %d", "stale_year", "current_year").alias("note")).unionByName(status.select("query_id", F.lit("Current and obsolete sources").alias("note")))
+    guesses = a.select("query_id", F.posexplode(F.array(F.lit("one"), F.lit("two"))).alias("place", "hypothesis")).withColumn("place", F.col("place") + 1)
+    return E.merge_evidence(a, hits, memory, sums, code, notes, guesses).select("query_id", F.sha2("summary", 256).alias("summary_sha256"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,15 +19,28 @@ from corpusloom.functions.text import metric_name
 ENCODINGS = "utf-8 utf-8-sig utf-16 utf-16-le utf-16-be cp1252 latin-1 iso-8859-15 cp1250 iso-8859-2 cp1251 koi8-r iso-8859-5 cp1253 cp1254 shift_jis euc-jp gb18030 big5 euc-kr".split()
 
 
+@lru_cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``). A session on one machine may do without
+    the setting; on a cluster it is an error to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``shared_path`` gave, on whatever file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def describe_path(path: Column) -> dict[str, Column]:
     """Name, lower-case extension, parent directory and id of a path."""
     name = F.element_at(F.split(path, "/"), -1)
