@@ -1,18 +1,13 @@
-"""Column helpers: values computed once, running values of arrays, and joins on keys of any frequency."""
+"""Column helpers: running values of arrays, and keys of rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     """The running ``op`` (sum, greatest, least) of an array: each step doubles how far back a place has looked, so n values
     take n log n steps and no array grows by single values."""
@@ -29,15 +24,3 @@ def row_key(id_: Column, text: Column) -> Column:
     """A digest of a row's id and text (no null); a null id is like no other id."""
     name = id_.cast("string")
     return F.md5(F.concat(F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-")), F.lit(":"), text))
-
-
-def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str, share: int = 1000, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row for each key and says in ``count`` how many rows hold it.
-
-    Keys with over 1/``share`` of all rows, fewer than ``share`` of them, are broadcast, so that their rows stay where they
-    are; the others are joined by a shuffle, in which no key has more than that part of the rows. With ``how="left"`` rows whose key is not in ``table`` stay."""
-    total = table.agg(F.sum(count)).first()[0] or 0
-    often = F.col(count) * share > total
-    hot, cold = table.where(often).drop(count), table.where(~often).drop(count)
-    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))

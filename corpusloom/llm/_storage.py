@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.files import delete_path, shared_path
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder. Only a session without the setting (a test) gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Paths made in an open ``scratch``, innermost last.
+_OPEN: list[list[str]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage for all executors."""
-    path = shared_dir(df.sparkSession, name)
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    path = shared_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are made within, when all that needs them has been written elsewhere."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete_path(spark, path)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or to ``path``) and read it back, which cuts its lineage for all executors."""
+    path = path or shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
-from corpusloom.llm._columns import join_counted
 from corpusloom.llm._storage import materialise, plan_bytes
+from corpusloom.operators.joins import join_counted
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._columns import join_counted, let, row_key, running
+from corpusloom.functions.columns import let
+from corpusloom.llm._columns import row_key, running
 from corpusloom.llm._storage import materialise
+from corpusloom.operators.joins import join_counted
 
 #: The base kinds in order, each with its pattern, the group that must be long enough, and how long.
 #: For access and hex, a match of the least length is found where the unbounded pattern's match is long enough.

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._columns import join_counted
 from corpusloom.llm._storage import materialise, shared_dir
+from corpusloom.operators.joins import join_counted
 
 END = "\r\n\r\n"
 #: So many digests that repeat are broadcast, of about 50 bytes each.

@@ -20,7 +20,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 pytest.importorskip("corpusloom.llm")
 
-from corpusloom.llm import _columns, _text, decontaminate, html_wrapper, licenses, minhash, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc  # noqa: E402
+from corpusloom.llm import _text, decontaminate, html_wrapper, licenses, minhash, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc  # noqa: E402
 
 from corpusloom.operators import joins  # noqa: E402
 
@@ -481,7 +481,7 @@ def test_plans_too_large_to_broadcast(spark, sf, monkeypatch):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     whole = collected(html_wrapper.extract(pages))
     monkeypatch.setattr(html_wrapper, "BROADCAST", 0)
-    monkeypatch.setattr(html_wrapper, "join_counted", lambda *a: _columns.join_counted(*a, share=5))
+    monkeypatch.setattr(html_wrapper, "join_counted", lambda *a: joins.join_counted(*a, share=5))
     assert collected(html_wrapper.extract(pages)) == whole
 
 
@@ -541,7 +541,7 @@ def test_redacted_texts_match_brute_force(spark, monkeypatch):
 def test_frequent_values_are_broadcast(spark):
     rows = spark.createDataFrame([("a", i) for i in range(90)] + [("b", 1), ("c", 2), (None, 3)], "k string, v long")
     table = spark.createDataFrame([("a", 90, "A"), ("b", 1, "B"), ("c", 1, "C")], "k string, n long, w string")
-    got = Counter((r.k, r.w) for r in _columns.join_counted(rows, table, "k", "n", share=2).collect())
+    got = Counter((r.k, r.w) for r in joins.join_counted(rows, table, "k", "n", share=2).collect())
     assert got == Counter({("a", "A"): 90, ("b", "B"): 1, ("c", "C"): 1})
 
 
