@@ -4,13 +4,12 @@ The texts of a batch become one flat array of symbols, cut wherever no vocabular
 characters, since no merge can cross there. Distinct segments are merged once for the batch: each round finds the least
 pair rank of every segment and merges its occurrences from the left at the same time, then compacts the array; segments
 leave when no pair remains. A pair whose result could merge again at the same or a better rank is merged one
-occurrence a round, which is the order of the library's queue.
+occurrence a round, which is the order of the library's queue. Very long segments are merged wherever no better pair is in reach.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from pathlib import Path
@@ -23,11 +22,22 @@ from pyspark.sql import functions as F
 from corpusloom.llm import _text
 
 NONE = np.int64(1) << 40
-#: Segments of more symbols (there are hardly any) are merged one by one with a queue, in n log n steps.
+#: Segments of more symbols (there are hardly any) are merged on their own, at many places in each round.
 LONG = 4096
 MARK = "▁"
 
 
+def _least_before(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least of the ``reach`` values before each."""
+    out = np.concatenate([[NONE], values[:-1]])
+    width = 1
+    while width < reach:
+        step = min(width, reach - width)
+        out[step:] = np.minimum(out[step:], out[:-step].copy())
+        width += step
+    return out
+
+
 class Vocabulary:
     """Merge tables of a SentencePiece BPE model with an identity normaliser and byte fallback."""
 
@@ -67,6 +77,7 @@ class Vocabulary:
             for part in (k >> 32, k & 0xFFFFFFFF):
                 if self.rank[part] >= self.rank[i]:
                     self.again[part] = True
+        self.reach = max(map(len, normal), default=1)
         inside = sorted({c for p in normal if len(p) > 1 for c in p})
         number = {c: i + 1 for i, c in enumerate(inside)}
         self.joins = np.zeros((len(inside) + 1, len(inside) + 1), bool)
@@ -99,31 +110,29 @@ class Vocabulary:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
-    def one_by_one(self, symbols: list[int]) -> list[int]:
-        """The queue of a single long segment: best rank first, then leftmost."""
-        made = dict(zip(self.keys.tolist(), self.merged.tolist()))
-        n = len(symbols)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and right[i] >= 0 and symbols[i] >= 0 and (p := made.get(symbols[i] << 32 | symbols[right[i]] & 0xFFFFFFFF)) is not None and symbols[right[i]] >= 0:
-                heapq.heappush(queue, (int(self.rank[p]), i, symbols[i], symbols[right[i]]))
-
-        for i in range(n):
-            offer(i)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            if symbols[i] != a or (j := right[i]) < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = made[a << 32 | b], -(1 << 40)
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            right[j] = -1
-            offer(left[i])
-            offer(i)
-        return [s for s in symbols if s != -(1 << 40)]
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of a single long segment after its merges, many of which are made in each round.
+
+        A merge is due as soon as no pair within ``reach`` symbols has a better rank, whatever the rest of the segment holds:
+        what comes before it in the library's order and could touch its symbols would be part of one piece with a better pair,
+        and no piece is that long. Pairs of one rank go together, those that overlap from the left; where the result could merge
+        again at the same or a better rank, only the leftmost within reach goes."""
+        symbols = symbols.copy()
+        while len(symbols) > 1:
+            made = self.pair(symbols[:-1], symbols[1:])
+            rank = np.where(made >= 0, self.rank[made], NONE)
+            if not (made >= 0).any():
+                break
+            left, right = _least_before(rank, self.reach), _least_before(rank[::-1], self.reach)[::-1]
+            due = (rank < NONE) & (rank <= right) & np.where(self.again[made], rank < left, rank <= left)
+            # Of overlapping pairs of one rank every second goes, as long as all from the first on are due.
+            first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rank))))
+            waits = np.cumsum(~due)
+            hit = np.flatnonzero(due & (waits == (waits - ~due)[first][run]) & ((np.arange(len(rank)) - first[run]) & 1 == 0))
+            symbols[hit] = made[hit]
+            symbols = np.delete(symbols, hit + 1)
+        return symbols
 
     def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all segments (``sizes`` of them each, none empty) after their merges, and the new sizes."""
@@ -131,9 +140,9 @@ class Vocabulary:
         done_seg, done_sym = [], []
         for i in np.flatnonzero(sizes > LONG):
             at = int(sizes[:i].sum())
-            part = self.one_by_one(symbols[at : at + sizes[i]].tolist())
+            part = self.merge_long(symbols[at : at + sizes[i]])
             done_seg.append(np.full(len(part), i))
-            done_sym.append(np.array(part, np.int64))
+            done_sym.append(part)
         if len(done_seg):
             few = (sizes <= LONG)[seg]
             symbols, seg = symbols[few], seg[few]

@@ -193,6 +193,23 @@ def test_sentencepiece(spark, docs, rows, empty, odd_texts):
     assert sentencepiece_bpe.round_trip(empty, model).count() == 0
 
 
+def test_long_segments_merge_at_many_places_at_once(monkeypatch):
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=model)
+    v = sentencepiece_bpe._vocabulary(open(model, "rb").read())
+    rng = random.Random(8)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "ab", "=-", "aeiou", "日本語中文字", " ", "x", "theingation", "é\u0301aà"]
+    pieces = [lib.id_to_piece(i) for i in range(300, 32000)]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (300, 6000)] + ["".join(rng.choice(pieces) for _ in range(3000)).replace("▁", "") for _ in range(6)]
+    monkeypatch.setattr(sentencepiece_bpe, "LONG", 20)
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        ids, _ = v.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == lib.encode(t), t[:50]
+
+
 def test_a_long_text_is_encoded_in_pieces(odd_texts):
     import pyarrow as pa
     import sentencepiece
