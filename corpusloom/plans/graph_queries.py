@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as G
 from corpusloom.plans.registry import query, table
+from corpusloom.plans.text_queries import ENTITIES_SQL
 
 # Entities by a gazetteer of nation names would be empty here, so a document's distinct capitalised words of five letters
 # or more that end a line are its entities.
@@ -30,7 +31,9 @@ def edges(spark, d):
     return G.cooccurrence(G.mentions(e)).select("src", "rel", "dst").unionByName(G.entity_topic(e))
 
 
-@query("g01_extract_entities")
+@query("g01_extract_entities", f"""WITH x AS (SELECT doc_id AS chunk_id, source AS topic, text, {ENTITIES_SQL} AS x FROM documents), u AS (SELECT chunk_id, topic, unnest(x) AS name, generate_subscripts(x, 1) AS i FROM x), g AS (SELECT chunk_id, topic, name, min(i) AS i FROM u GROUP BY ALL), f AS (SELECT chunk_id, topic, name, row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS pos FROM g),
+a AS (SELECT chunk_id, topic, pos, name, 'CONCEPT' AS type FROM f WHERE pos < 8 UNION ALL SELECT chunk_id, topic, 8, 'token', 'SECRET' FROM x WHERE list_contains(string_split_regex(text, '\\W+'), 'token'))
+SELECT chunk_id, topic, CAST(pos AS INT) AS pos, name, type FROM a QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY pos, name) <= 8""")
 def g01(spark, d):
     names = table(spark, d, "documents").select("lang").distinct().select(F.lit("token").alias("name"), F.lit("SECRET").alias("type")).distinct()
     return G.extract_entities(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic"), "text"), gazetteer=names)

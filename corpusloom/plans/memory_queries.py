@@ -10,6 +10,7 @@ from corpusloom.operators import usage as U
 from corpusloom.plans.ingest_queries import five, ntz
 from corpusloom.plans.registry import query, table
 from corpusloom.plans.retrieval_queries import hits, vectors
+from corpusloom.plans.retrieval_queries import sql as hits_sql
 from corpusloom.plans.text_queries import any_sql, q
 
 NOW = "2024-01-20"
@@ -107,7 +108,7 @@ def m11(spark, d):
     return M.expired_snapshots(snaps(spark, d), NOW).select("snapshot_id")
 
 
-@query("m12_search_snapshots")
+@query("m12_search_snapshots", hits_sql("SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) FROM hits WHERE label % 2 = 0) t(query_id, id, score, rank) WHERE rank <= 5"))
 def m12(spark, d):
     live = vectors(spark, d).select(F.col("id").alias("snapshot_id"), "label").where("label % 2 = 0").join(hits(spark, d).select(F.col("query_id").alias("user_id"), F.col("id").alias("snapshot_id")), "snapshot_id")
     return M.search_snapshots(hits(spark, d), live, 5)

@@ -165,7 +165,26 @@ def with_vectors(spark, d):
     return full_hits(spark, d).join(vectors(spark, d).select("id", "v"), "id").withColumn("pair_score", F.round(R.token_jaccard(F.col("text"), F.lit("the of and to in")), 6))
 
 
-@query("r15_dedupe_near")
+WORDS5 = "['the', 'of', 'and', 'to', 'in']"
+#: Hits with vectors in the order of their ranks.
+WITH_V = f"""{HITS}, d AS (SELECT h.query_id, h.id, h.rank, h.score, embedding::DOUBLE[] AS v, text, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS n FROM full_hits h JOIN embeddings ON vec_id = id)"""
+
+
+def dedupe_sql(source: str) -> str:
+    """The hits of ``source`` one by one, each kept if no kept one is too like it, as ``kd``."""
+    return f"""rd AS (SELECT query_id, n, id, score, rank, true AS keep, [v] AS kept FROM {source} WHERE n = 1 UNION ALL SELECT query_id, n, id, score, rank, k, CASE WHEN k THEN list_append(kept, v) ELSE kept END
+FROM (SELECT x.*, kept, list_max(list_transform(kept, lambda y: list_cosine_similarity(y, x.v))) < 0.85 AS k FROM rd JOIN {source} x ON x.query_id = rd.query_id AND x.n = rd.n + 1)), kd AS (SELECT query_id, id, rank, score FROM rd WHERE keep)"""
+
+
+def mmr_sql(source: str, k: int) -> str:
+    """``k`` steps, each taking the hit of ``source`` with the greatest gain, as ``mm``."""
+    gain = "CASE WHEN step = 0 THEN score ELSE 0.5 * score - 0.5 * greatest(0, list_max(list_transform(vs, lambda y: list_cosine_similarity(y, v)))) END"
+    return f"""rm AS (SELECT DISTINCT query_id, 0 AS step, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs FROM {source} UNION ALL SELECT g.query_id, step + 1, list_append(ids, m.id), list_append(vs, x.v)
+FROM (SELECT query_id, step, ids, vs, max({{'g': g, 'n': -n, 'id': id}}) AS m FROM (SELECT rm.*, x.id, x.n, {gain} AS g FROM rm JOIN {source} x ON x.query_id = rm.query_id WHERE step < {k} AND NOT list_contains(ids, x.id)) GROUP BY ALL) g JOIN {source} x ON x.query_id = g.query_id AND x.id = m.id),
+mm AS (SELECT a.query_id, ids[step] AS id, CAST(step AS INT) AS rank FROM rm a WHERE step > 0)"""
+
+
+@query("r15_dedupe_near", f"WITH RECURSIVE {WITH_V}, {dedupe_sql('d')} SELECT * FROM kd")
 def r15(spark, d):
     return R.dedupe_near(with_vectors(spark, d))
 
@@ -180,7 +199,7 @@ def r15c(spark, d):
     return R.vector_classes(vectors(spark, d))
 
 
-@query("r16_mmr")
+@query("r16_mmr", f"WITH RECURSIVE {WITH_V}, {mmr_sql('d', 8)} SELECT mm.query_id, mm.id, mm.rank, score FROM mm JOIN d USING (query_id, id)")
 def r16(spark, d):
     return R.mmr(with_vectors(spark, d))
 
@@ -208,7 +227,9 @@ def r19(spark, d):
     return R.combine_pair_scores(with_vectors(spark, d)).select("query_id", "id", "combined", "rank")
 
 
-@query("r20_rerank")
+_pair = rf"""pp AS (SELECT query_id, id, score, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM d), pc AS (SELECT query_id, id, round(0.7 * round(len(list_intersect(w, {WORDS5})) / len(list_distinct(list_concat(w, {WORDS5}))), 6)::DECIMAL(20,12) + 0.3 * score::DECIMAL(20,12), 6)::DOUBLE AS combined FROM pp)"""
+_single = "s AS (SELECT d.query_id, d.id, d.score, d.v, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.id) AS n FROM d JOIN kd USING (query_id, id))"
+@query("r20_rerank", f"WITH RECURSIVE {WITH_V}, {dedupe_sql('d')}, {_single}, {mmr_sql('s', 16)}, {_pair} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS INT) AS rank, combined AS score FROM pc SEMI JOIN mm USING (query_id, id) QUALIFY rank <= 8")
 def r20(spark, d):
     return R.rerank(with_vectors(spark, d), "mmr_then_pair")
 

@@ -118,8 +118,8 @@ _project("p21_classify_tone", "documents", DOC, lambda: {"tone": X.first_match(F
 NEEDS_MATH, NEEDS_CODE = (f"({has('text', a)} OR {has('text', b)})" for a, b in ((rules.MATH, rules.MATH_SYMBOLS), (rules.CODE, rules.CODE_BLOCK)))
 _project("p22_needs_flags", "documents", DOC, lambda: {"math": X.needs_math(F.col("text")), "code": X.needs_code(F.col("text"))}, f"SELECT doc_id, {NEEDS_MATH} AS math, {NEEDS_CODE} AS code FROM documents")
 # RE2 takes ASCII word ends only, so the last pattern names what may follow.
-_entities = "list_concat(list_concat(regexp_extract_all(text, {0}), regexp_extract_all(text, {1})), list_concat(regexp_extract_all(text, {2}), regexp_extract_all(text, {3}, 1)))".format(*map(q, (*rules.ENTITIES[:3], r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])")))
-_project("p23_regex_entities", "documents", DOC, lambda: {"entities": F.array_join(X.regex_entities(F.col("text")), "|")}, f"WITH e AS (SELECT doc_id, {_entities} AS x FROM documents), u AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM e), m AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id, coalesce(string_agg(w, '|' ORDER BY i), '') AS entities FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id")
+ENTITIES_SQL = "list_concat(list_concat(regexp_extract_all(text, {0}), regexp_extract_all(text, {1})), list_concat(regexp_extract_all(text, {2}), regexp_extract_all(text, {3}, 1)))".format(*map(q, (*rules.ENTITIES[:3], r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])")))
+_project("p23_regex_entities", "documents", DOC, lambda: {"entities": F.array_join(X.regex_entities(F.col("text")), "|")}, f"WITH e AS (SELECT doc_id, {ENTITIES_SQL} AS x FROM documents), u AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM e), m AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id, coalesce(string_agg(w, '|' ORDER BY i), '') AS entities FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id")
 
 
 @query("p24_route_branches", f"""WITH p AS (SELECT conv_id, turn, lower(text) AS low, {COMPLEXITY} AS c, {NEEDS_MATH} AS m, {NEEDS_CODE} AS k, {INTENT7} AS i FROM conversations)

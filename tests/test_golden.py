@@ -1,5 +1,6 @@
 """Small literal cases of single operators, and what must hold between operators."""
 
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules
 from corpusloom.functions import text as X
 from corpusloom.operators import evidence as E
+from corpusloom.operators import graph as G
 from corpusloom.operators import ingest as I
+from corpusloom.operators import joins as J
 from corpusloom.operators import metrics as A
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import splitting as T
@@ -128,7 +131,66 @@ def test_lsh_recall(spark):
 def test_knn_blocks_agree(spark, sf):
     v = retrieval_queries.vectors(spark, sf)
     q = retrieval_queries.asked(spark, sf)
-    assert sorted(map(tuple, R.knn(q, v, 5, block=2).collect())) == sorted(map(tuple, R.knn(q, v, 5).collect()))
+    assert sorted(map(tuple, R.knn(q, v, 5, limit=2000).collect())) == sorted(map(tuple, R.knn(q, v, 5).collect()))
+
+
+def test_near_pairs_and_classes(spark):
+    """A cluster of a third of all vectors, copies among them, and vectors at random: no link between different ones is lost."""
+    g = np.random.default_rng(3)
+    v = np.vstack([g.normal(size=(200, 16)), np.repeat(np.ones((1, 16)), 100, 0) + g.normal(scale=0.08, size=(100, 16))])
+    rows = [(i, x.tolist()) for i, x in enumerate(np.vstack([v, v[-10:]]))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    classes = {r.id: r.class_id for r in R.vector_classes(df).collect()}
+    assert classes == {i: i if i < 300 else i - 10 for i in range(310)}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if round(float(unit[i] @ unit[j]), 6) >= 0.9}
+    got = {(r.a, r.b) for r in R.near_dup_pairs(df, 0.9).collect()}
+    assert got <= want and len(got) >= 0.999 * len(want) > 1000
+
+
+def test_frequent_keys_are_dealt_to_several_tasks(spark):
+    left = spark.range(3000).selectExpr("IF(id % 2 = 0, 'often', concat('k', id % 50)) AS k", "id AS a")
+    right = spark.createDataFrame([("often", 1), ("often", 2), ("k1", 3), (None, 4)], "k string, b long")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    joined = J.salted_join(left, right, "k", share=20, least=10)
+    assert sorted(map(tuple, joined.select("k", "a", "b").collect())) == want
+    table = left.groupBy("k").count()
+    assert J.join_counted(left, table.withColumn("n", F.col("count")), "k", "n", share=4).count() == 3000
+
+
+def test_edges_of_names_that_hold_keywords(spark):
+    names = ["Alpha Beta", "beta", "ALPHABET", "x", "", "Ünï cöde", "be"]
+    entities = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(names)], "key string, name string")
+    edges = spark.createDataFrame([(f"e{i}", "PART_OF", "t") for i in range(len(names))], "src string, rel string, dst string")
+    words = ["alpha", "BE", "b", "x", "", "nï c", "zzz", "alphabet soup"]
+    keywords = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "query_id long, keyword string")
+    got = {(r.query_id, r.src) for r in G.related_context(keywords, entities, edges).collect()}
+    assert got == {(i, f"e{k}") for i, w in enumerate(words) for k, n in enumerate(names) if w and w.lower() in n.lower()}
+
+
+def test_window_splitter_and_keywords_by_brute_force(spark):
+    texts = ["", "é" * 7, "abc", "".join(chr(97 + i % 26) for i in range(1000)), "日本" * 333, "a\nb\r\n" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((9, 3), (10, 0), (10, 8), (900, 180), (7, 6)):
+        want = {(i, k, t[a : a + size]) for i, t in enumerate(texts) if t for k, a in enumerate(range(0, max(1, len(t) - size + (size - overlap)), size - overlap)) if k == 0 or a - (size - overlap) + size < len(t)}
+        assert {tuple(r) for r in T.split_fixed(df, size, overlap).collect()} == want
+    assert one(spark, X.query_keywords(F.col("t")), t="Árbol arbol ARBOL the Casa, casa! x1 ab") == ["Árbol", "the", "Casa"] or one(spark, X.query_keywords(F.col("t")), t="Árbol arbol ARBOL Casa, casa! x1 ab") == ["Árbol", "Casa"]
+
+
+def test_long_texts_take_linear_time(spark):
+    """Four times the text takes about four times as long, not sixteen."""
+    def seconds(n, f):
+        df = spark.createDataFrame([(1, "word wörd other text " * n)], "doc_id long, text string").cache()
+        df.count()
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            f(df).write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - began)
+        return best
+
+    for f in (lambda d: T.segment_by_tokens(d, 100), lambda d: T.split_fixed(d, 900, 180), lambda d: d.select(X.query_keywords(F.col("text")))):
+        assert seconds(80_000, f) < 10 * seconds(20_000, f) + 1
 
 
 def test_percentiles_and_blocks(spark):
