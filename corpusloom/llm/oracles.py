@@ -91,7 +91,7 @@ len(regexp_extract_all(t, '[0-9]')) AS digits, len(regexp_extract_all(t, '[.,;:!
 s AS (SELECT *, list_transform([chars - word_chars, digits, n_symbols, punct, upper, greatest(0, word_chars - digits - n_symbols - punct - upper)], lambda x: x / greatest(chars, 1)) AS cls, list_transform(common, lambda x: len(list_filter(h, lambda y: y = x)) / greatest(n_words, 1)) AS wd FROM c),
 v AS (SELECT *, list_append(wd, greatest(0, 1 - list_sum(wd))) AS wd1, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
 j AS (SELECT *, CASE WHEN lang IN ({langs}) THEN {_distance("cls", list(quality.CLASSES))} END AS class_js, CASE WHEN lang IN ({langs}) THEN {_distance("wd1", [*quality.SHARES, 1 - sum(quality.SHARES)])} END AS word_js FROM v)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= {class_words} AND class_js > {class_limit}) OR (n_words >= {word_words} AND word_js > {word_limit}), false) AS kept FROM j"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((n_words >= {class_words} AND class_js > {class_limit}) OR (n_words >= {word_words} AND word_js > {word_limit}) OR (n_words >= {word_words} AND list_sum(wd) < {sum(quality.SHARES)!r} AND word_js > {quality.lack_limit(quality.SHARES)!r}) OR (n_words >= {class_words} AND n_symbols > {quality.CLASSES[2]!r} * chars AND class_js > {quality.symbol_limit(quality.CLASSES)!r}), false) AS kept FROM j"""
 
 
 SQL = {

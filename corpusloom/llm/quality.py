@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.columns import let
@@ -26,10 +26,12 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
     "es": "de la que el en y a los se del las un por con no una su para es al",
 }
-#: Shares of white space, digits, symbols, punctuation, upper-case letters and the rest in prose of these languages.
+#: Shares of white space, digits, symbols, punctuation, upper-case letters and the rest in prose of these languages.
 CLASSES = (0.16, 0.005, 0.001, 0.03, 0.03, 0.774)
 #: Rank r of a language's words is taken to have the share 0.06 / r^0.8 of all words (a Zipf-Mandelbrot curve).
 SHARES = tuple(0.06 * r**-0.8 for r in range(1, 21))
+#: By language: classes and shares of the common words. ``fit_references`` measures them on labelled documents.
+REFERENCES = {lang: (CLASSES, SHARES) for lang in COMMON}
 
 
 def _js(p: list[float], q: list[float]) -> float:
@@ -37,10 +39,14 @@ def _js(p: list[float], q: list[float]) -> float:
     return math.sqrt(sum(x * math.log2(2 * x / (x + y)) for a in (zip(p, q), zip(q, p)) for x, y in a if x > 0) / 2)
 
 
-#: Limits by the sign of the departure, from the references alone. Too few common words: three quarters of the distance of
-#: a text that has none of them. Too many symbols: the distance of prose with one more symbol and space for every second word.
-LACK_LIMIT = 0.75 * _js([0.0] * len(SHARES) + [1.0], [*SHARES, 1 - sum(SHARES)])
-SYMBOL_LIMIT = _js([(x + CLASSES[0] / 2 * (i in (0, 2))) / (1 + CLASSES[0]) for i, x in enumerate(CLASSES)], list(CLASSES))
+def lack_limit(shares: tuple[float, ...]) -> float:
+    """Too few common words: three quarters of the distance of a text that has none of them."""
+    return 0.75 * _js([0.0] * len(shares) + [1.0], [*shares, 1 - sum(shares)])
+
+
+def symbol_limit(classes: tuple[float, ...]) -> float:
+    """Too many symbols: the distance of prose with one more symbol and space for every second word."""
+    return _js([(x + classes[0] / 2 * (i in (0, 2))) / (1 + classes[0]) for i, x in enumerate(classes)], list(classes))
 
 
 def _distance(p: Column, q: list[float]) -> Column:
@@ -88,9 +94,29 @@ def repeated_words(words: Column, k: int = 5) -> Column:
     return F.when(F.size(words) < k + 1, F.lit(0).cast("long")).otherwise(let(words, covered))
 
 
-def _features(text: Column, lang: Column) -> Column:
-    """A struct of counts, of the two distances (``class_js``, ``word_js``) and of the language's common words' share of all
-    words (``word_share``). Texts and counts are bound once, so it costs the same in a filter as in a projection."""
+def _compared(c: Column, classes: Column, numbers: Column, total: Column, of_classes: tuple[float, ...], of_words: tuple[float, ...]) -> Column:
+    """The distances of a document's classes and numbers of common words to one language's reference."""
+
+    def words(n: Column) -> Column:
+        return let(F.transform(n, lambda x: x / total), lambda s: distances(n, s, F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))
+
+    def distances(n: Column, shares: Column, whole: Column) -> Column:
+        filled = F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - whole)))
+        both = F.struct(_distance(classes, list(of_classes)).alias("c"), _distance(filled, [*of_words, 1 - sum(of_words)]).alias("w"))
+        return let(both, lambda d: F.struct(
+            d["c"].alias("class_js"), d["w"].alias("word_js"),
+            ((whole < sum(of_words)) & (d["w"] > lack_limit(of_words))).alias("lacks"),
+            ((c["n_symbols"] > of_classes[2] * c["chars"]) & (d["c"] > symbol_limit(of_classes))).alias("symbolic"),
+            n.alias("common"),
+        ))
+
+    return let(numbers, words)
+
+
+def _features(text: Column, lang: Column, references: dict) -> Column:
+    """A struct of counts, of the two distances (``class_js``, ``word_js``), of the numbers of the language's common words
+    (``common``), and of what limits by sign are exceeded (``lacks``, ``symbolic``). Texts and counts are bound once, so it costs
+    the same in a filter as in a projection."""
     every = sorted({x for v in COMMON.values() for x in v.split()})
     strip = f"[{re.escape(PUNCTUATION + SYMBOLS)}]*+"
 
@@ -120,31 +146,26 @@ def _features(text: Column, lang: Column) -> Column:
         space = c["chars"] - c["word_chars"]
         rest = c["chars"] - space - c["digits"] - c["n_symbols"] - c["punctuation"] - c["upper"]
         classes = F.array(*(x / n for x in (space, c["digits"], c["n_symbols"], c["punctuation"], c["upper"], F.greatest(rest, F.lit(0)))))
-        word_js = word_share = F.lit(None).cast("double")
-        for name, words in ((k, v.split()) for k, v in COMMON.items()):
-            shares = F.transform(F.array(*map(F.lit, words)), lambda r: (F.size(c["common"]) - F.size(F.array_remove(c["common"], r))) / total)
-            filled = let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
-            word_js = F.when(lang == name, _distance(filled, [*SHARES, 1 - sum(SHARES)])).otherwise(word_js)
-            word_share = F.when(lang == name, F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)).otherwise(word_share)
-        class_js = F.when(lang.isin(list(COMMON)), _distance(classes, list(CLASSES)))
-        return F.struct(*(c[k].alias(k) for k in names), class_js.alias("class_js"), word_js.alias("word_js"), word_share.alias("word_share"))
+        found = F.lit(None).cast("struct<class_js:double,word_js:double,lacks:boolean,symbolic:boolean,common:array<int>>")
+        for name, (of_classes, of_words) in references.items():
+            numbers = F.transform(F.array(*map(F.lit, COMMON[name].split())), lambda r: F.size(c["common"]) - F.size(F.array_remove(c["common"], r)))
+            found = F.when(lang == name, _compared(c, classes, numbers, total, of_classes, of_words)).otherwise(found)
+        return let(found, lambda f: F.struct(*(c[k].alias(k) for k in names), *(f[k].alias(k) for k in ("class_js", "word_js", "lacks", "symbolic", "common"))))
 
     return let(F.coalesce(text.cast("string"), F.lit("")), split)
 
 
-def verdict(text: Column, lang: Column, class_limit: float = 0.3, class_words: int = 30, word_limit: float = 0.4, word_words: int = 100, lack_limit: float | None = None, symbol_limit: float | None = None) -> Column:
+def verdict(text: Column, lang: Column, class_limit: float = 0.3, class_words: int = 30, word_limit: float = 0.4, word_words: int = 100, by_sign: bool = True, references: dict = REFERENCES) -> Column:
     """A struct of ``q`` (see ``_features``), ``base_failed`` and ``kept``, computed once for a text."""
 
     def judged(q: Column) -> Column:
         failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
         far = ((q["n_words"] >= class_words) & (q["class_js"] > class_limit)) | ((q["n_words"] >= word_words) & (q["word_js"] > word_limit))
-        if lack_limit is not None:
-            far |= (q["n_words"] >= word_words) & (q["word_share"] < sum(SHARES)) & (q["word_js"] > lack_limit)
-        if symbol_limit is not None:
-            far |= (q["n_words"] >= class_words) & (q["n_symbols"] > CLASSES[2] * q["chars"]) & (q["class_js"] > symbol_limit)
+        if by_sign:
+            far |= ((q["n_words"] >= word_words) & q["lacks"]) | ((q["n_words"] >= class_words) & q["symbolic"])
         return F.struct(q.alias("q"), failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
 
-    return let(_features(text, lang), judged)
+    return let(_features(text, lang, references), judged)
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
@@ -153,17 +174,33 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **lim
     ``base_failed``: fewer than 10 words, or over 20 % of the words in 5-word windows found twice or more. Others are
     kept unless, in a language with references, the character classes of a document of at least ``class_words`` words
     are farther than ``class_limit`` from prose, or the common words of one of at least ``word_words`` words farther than
-    ``word_limit`` from the language's. ``lack_limit`` is a second limit of the words' distance where common words are fewer
-    than the language's, ``symbol_limit`` one of the classes' where symbols are more than in prose; the distance of a text
-    without common words is 0.398, so a ``word_limit`` of 0.4 alone never finds one. A null or empty text has no words and
-    fails; a null or unknown language is judged by the base rules alone. Repeated rows are judged alike; an empty table gives
-    an empty table.
+    ``word_limit`` from the language's. With ``by_sign`` there are closer limits where common words are fewer than the
+    language's (``lack_limit``) and where symbols are more than in prose (``symbol_limit``): the distance of a text without any
+    common word is 0.398, so a ``word_limit`` of 0.4 alone never finds one. A null or empty text has no words and fails; a
+    null or unknown language is judged by the base rules alone. Repeated rows are judged alike; an empty table gives an empty
+    table.
     """
     df = docs.withColumn("__v", verdict(F.col(text_col), F.col(lang_col), **limits))
     return df.withColumns({k: F.col(f"__v.{k}") for k in ("q", "base_failed", "kept")}).drop("__v")
 
 
+def fit_references(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", good: str = "quality = 1", most: int = 2000, least: int = 30) -> dict[str, tuple[tuple[float, ...], tuple[float, ...]]]:
+    """References for ``verdict``, measured: the classes and shares of common words over all characters and words of the labelled
+    documents for which ``good`` holds, of each language the ``most`` with the smallest ids. Languages with fewer than ``least``
+    of them, and words that none of them has, keep what is built in."""
+    chosen = docs.where(F.col(lang_col).isin(list(COMMON))).join(labels.where(good).select(id_col).distinct(), id_col, "left_semi").select(id_col, lang_col)
+    first = chosen.withColumn("__n", F.row_number().over(Window.partitionBy(lang_col).orderBy(id_col))).where(F.col("__n") <= most).select(id_col)
+    q = judge(docs.join(F.broadcast(first), id_col, "left_semi"), text_col, lang_col).select(F.col(lang_col).alias("lang"), "q.*")
+    space = F.col("chars") - F.col("word_chars")
+    rest = F.col("chars") - space - F.col("digits") - F.col("n_symbols") - F.col("punctuation") - F.col("upper")
+    sums = [F.sum(c) for c in (space, F.col("digits"), F.col("n_symbols"), F.col("punctuation"), F.col("upper"), F.greatest(rest, F.lit(0)))]
+    out = dict(REFERENCES)
+    for lang, n, chars, words, classes, common in q.groupBy("lang").agg(F.count("*"), F.sum("chars"), F.sum("n_words"), F.array(*sums), F.array(*(F.sum(F.col("common")[i]) for i in range(len(SHARES))))).collect():
+        if n >= least and chars and words:
+            out[lang] = (tuple(x / sum(classes) for x in classes), tuple(x / words or y for x, y in zip(common, SHARES)))
+    return out
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``; the limits by sign hold."""
-    options = {"lack_limit": LACK_LIMIT, "symbol_limit": SYMBOL_LIMIT} | options
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     return docs.where(verdict(F.col(text_col), F.col(lang_col), **options)["kept"])

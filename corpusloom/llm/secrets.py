@@ -65,11 +65,23 @@ def _marked(spans: Column) -> Column:
     return let(spans, lambda s: F.when(F.exists(s, lambda x: x["kind"] == more) & F.exists(s, lambda x: x["kind"] < more), marks(s)).otherwise(F.transform(s, lambda x: x.withField("hidden", F.lit(False)))))
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
-    """``(id, key, owner, repo, spans)`` for each row; rows of one key have the same id and text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(owner_col).cast("string").alias("owner"), F.to_json(F.struct(*repo_cols)).alias("repo"))
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...], whole: bool = False) -> DataFrame:
+    """``(id, key, owner, repo, spans)`` for each row, with ``whole`` also the row itself as ``row``; rows of one key have the
+    same id and text."""
+    row = [F.struct("*").alias("row")] if whole else []
+    rows = docs.select(*row, F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(owner_col).cast("string").alias("owner"), F.to_json(F.struct(*repo_cols)).alias("repo"))
     spans = F.array_sort(F.concat(*(_spans(F.col("t"), k) for k in range(len(KINDS)))))
-    return rows.select("id", row_key(F.col("id"), F.col("t")).alias("key"), "owner", "repo", _marked(spans).alias("spans"))
+    return rows.select(*(["row"] if whole else []), "id", row_key(F.col("id"), F.col("t")).alias("key"), "owner", "repo", _marked(spans).alias("spans"))
+
+
+def _judged(rows: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """``(key, found)`` of all keys of candidates that have base or live spans."""
+    each = rows.where("size(spans) > 0").select("key", F.coalesce("owner", F.lit("")).alias("owner"), "repo", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash"))
+    by_owner = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    stats = materialise(by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n")), "owners")
+    live = ~F.col("s.placeholder") & (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    judged = join_counted(each.select("key", "s", "hash"), stats, "hash", "n").select("key", F.struct("s.start", "s.kind", "s.end", live.alias("live")).alias("f"), "s.hidden")
+    return judged.where((F.col("f.kind") < len(BASE)) | (F.col("f.live") & ~F.col("hidden"))).groupBy("key").agg(F.array_sort(F.collect_set("f")).alias("found"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2) -> DataFrame:
@@ -82,12 +94,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     alone; equal rows have equal results. An empty table gives an empty table.
     """
     rows = materialise(candidates(docs, id_col, text_col, owner_col, repo_cols), "candidates")
-    each = rows.where("size(spans) > 0").select("key", F.coalesce("owner", F.lit("")).alias("owner"), "repo", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash"))
-    by_owner = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    stats = materialise(by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n")), "owners")
-    live = ~F.col("s.placeholder") & (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
-    judged = join_counted(each.select("key", "s", "hash"), stats, "hash", "n").select("key", F.struct("s.start", "s.kind", "s.end", live.alias("live")).alias("f"), "s.hidden")
-    judged = judged.where((F.col("f.kind") < len(BASE)) | (F.col("f.live") & ~F.col("hidden"))).groupBy("key").agg(F.array_sort(F.collect_set("f")).alias("found"))
+    judged = _judged(rows, max_owners, max_repos)
     none = F.expr(f"CAST(array() AS {FOUND})")
     out = rows.where("size(spans) > 0").select("id", "key").join(judged, "key", "left").select("id", "key", F.coalesce("found", none).alias("found"))
     return out.unionByName(rows.where("size(spans) = 0").select("id", "key", none.alias("found")))
@@ -128,14 +135,11 @@ def _without(text: Column, spans: Column) -> Column:
     return let(F.struct(spans.alias("spans"), ends.alias("ends"), F.length(text).alias("n"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")), joined)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2) -> DataFrame:
     """``docs`` with every found span replaced by ``[SECRET]``; overlapping spans become one. Other columns stay, and
-    counts of characters in them are not changed. Only rows with a span are shuffled."""
-    found = scan(docs, id_col, text_col, **options).where("size(found) > 0").select("key", "found").dropDuplicates(["key"])
-    full = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    any_kind = full.rlike("|".join(f"(?:{k[1]})" for k in KINDS))
-    rows = docs.select(F.struct("*").alias("__row"), any_kind.alias("__hit"), row_key(F.col(id_col), full).alias("__key"))
-    text = F.col(f"__row.{text_col}").cast("string")
-    marked = rows.where("__hit").join(found, F.col("__key") == found["key"], "left")
-    fields = [F.when(F.col("found").isNotNull(), _without(text, F.col("found"))).otherwise(text).alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns]
-    return rows.where("NOT __hit").select("__row.*").unionByName(marked.select(*fields))
+    counts of characters in them are not changed. Patterns are looked for once; only rows with a span are shuffled."""
+    rows = materialise(candidates(docs, id_col, text_col, owner_col, repo_cols, whole=True), "candidates")
+    text = F.col(f"row.`{text_col}`").cast("string")
+    marked = rows.where("size(spans) > 0").select("row", "key").join(_judged(rows, max_owners, max_repos), "key", "left")
+    fields = [F.when(F.col("found").isNotNull(), _without(text, F.col("found"))).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.where("size(spans) = 0").select("row.*").unionByName(marked.select(*fields))

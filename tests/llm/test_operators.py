@@ -607,10 +607,18 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality.judge(empty.select("doc_id", "text", "lang")).count() == 0
 
 
-def test_clean_prose_is_kept_and_junk_is_not(spark, sf):
-    labelled = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    judged = labelled.where("NOT base_failed AND q.n_words >= 50").select("quality", "kept").collect()
-    assert all(r.kept for r in judged if r.quality == 1)
+def test_clean_prose_is_kept_and_junk_is_not(spark):
+    """On the labelled documents that pass the base rules, with built-in references and with such as are measured on them."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality.fit_references(docs, labels, most=200)
+    assert set(measured) == set(quality.COMMON) and measured["en"] != quality.REFERENCES["en"] and abs(sum(measured["en"][0]) - 1) < 1e-9
+    assert all(abs(x - y) < 0.01 for lang in measured for x, y in zip(measured[lang][1], quality.SHARES))
+    for references in (quality.REFERENCES, measured):
+        judged = quality.judge(docs, references=references).join(labels, "doc_id").where("NOT base_failed")
+        n = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+        assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.1 * (n.get((0, True), 0) + n[0, False])
+    assert quality.fit_references(docs.limit(0), labels) == quality.REFERENCES == quality.fit_references(docs, labels.limit(0))
 
 
 def test_junk_without_common_words_and_menus_are_rejected(spark, sf):
@@ -623,6 +631,7 @@ def test_junk_without_common_words_and_menus_are_rejected(spark, sf):
     rows = [(i, t, "en") for i, t in enumerate(junk + menus + prose)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert not quality.judge(df).where("base_failed").count()
+    assert quality.judge(df, by_sign=False).where("kept").count() > len(prose)
     assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == list(range(len(junk + menus), len(rows)))
     good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
     good = quality.judge(good).where("NOT base_failed AND q.n_words >= 50").select("doc_id", "text", "lang")

@@ -38,3 +38,47 @@ def test_stage_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def odd_documents(spark):
+    words = "The river and the stone of the old town is in a field that they have seen with his lamp at this hour for as long as it was on"
+    rows = [(1, words, "en", "s1"), (1, words, "en", "s1"), (2, None, "en", "s1"), (3, "", None, None), (None, words + " token=abcdefgh", "en", "s2"), (None, None, None, None), (5, "long " + "tokens " * 40_000, "en", "s3"), (6, words + " password: hunter2hunter2", None, "s1"), (7, " \t\n", "xx", "s1")]
+    return spark.createDataFrame([(*r, "c", 1, "d", "e", 2) for r in rows], "doc_id long, text string, lang string, source string, key string, n long, row string, spans string, rep long")
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and columns whose names clash: no stage fails or loses a
+    column, and each does to every row what its docstring says."""
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    out = {n: f(spark, docs, f"file://{tmp_path}") for n, f in stages.items() if n != "sentencepiece"}
+    assert all(d.columns == docs.columns for d in out.values())
+    ids = {n: sorted(((r.doc_id, (r.text or "")[:12]) for r in d.collect()), key=str) for n, d in out.items()}
+    every = sorted(((r.doc_id, (r.text or "")[:12]) for r in docs.collect()), key=str)
+    assert ids["quality_rules"] == [(1, "The river an"), (1, "The river an"), (6, "The river an"), (None, "The river an")]
+    assert ids["near_dedup"] == [x for x in every if x[0] != 6] and ids["decontamination"] == every and ids["secret_scan"] == [x for x in every]
+    hidden = {r.doc_id: r.text for r in out["secret_scan"].where("text LIKE '%SECRET%'").collect()}
+    assert hidden == {6: docs.where("doc_id = 6").first().text.replace("password: hunter2hunter2", "[SECRET]"), None: docs.where("doc_id IS NULL AND text IS NOT NULL").first().text.replace("token=abcdefgh", "[SECRET]")}
+    assert stages["sentencepiece"](spark, docs, "").count() == docs.count()
+
+
+def test_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    odd_documents(spark).limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item of a few words")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    from corpusloom.llm._storage import materialise, scratch
+
+    with scratch(spark):
+        df = materialise(spark.range(3), "gone")
+        kept = materialise(df, "kept", f"file://{tmp_path}/kept")
+        path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert df.count() == 3 and __import__("os").path.isdir(path)
+    assert kept.count() == 3 and not __import__("os").path.exists(path)
