@@ -10,13 +10,14 @@ The plan grows with the documents, not with the pairs of a group:
 * the members of a band bucket are compared with the bucket's pivot (its smallest id), one pair for each member; most
   groups of near copies are one component then, and their buckets are done;
 * in a bucket that still holds several components, the members outside its largest component are compared with all
-  members in tiles of bounded size, of which a task holds one at a time: signatures choose whom to compare, full shingle
+  members of like set sizes in tiles of bounded size, of which a task holds one at a time: signatures choose whom to compare, full shingle
   sets decide, and one link to each other component leaves a tile. So no candidate is given up, and no pairs of
   a component's own members are made.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -109,7 +110,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile ``(h, k, s)``: for each asking member one link to each other component that it has one with in
+    """Rows sorted by tile ``(h, z, k, s)``: for each asking member one link to each other component that it has one with in
     the tile. Signatures choose whom to compare, full sets decide."""
 
     def pairs(t: pa.RecordBatch) -> list[tuple[int, int]]:
@@ -134,7 +135,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Ite
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([held, t]) if held is not None else t
-        key = np.stack([t.column(c).to_numpy() for c in ("h", "k", "s")])
+        key = np.stack([t.column(c).to_numpy() for c in ("h", "z", "k", "s")])
         edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]) if len(t) else [0]
         found = [x for i, j in zip(edge, edge[1:]) for x in pairs(t.slice(i, j - i).combine_chunks().to_batches()[0])]
         held = t.slice(edge[-1])
@@ -159,15 +160,22 @@ def _rest(open_: DataFrame, info: DataFrame, texts: DataFrame, k: int, percent:
     """Links ``(a, b)`` between different components in the buckets ``(h, rep, comp)``. Only members of buckets with several
     components are read, and their shingle sets go with them to the tiles."""
     parts = open_.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
-    tiles = lambda n: F.ceil(n / TILE).cast("int")
-    parts = parts.select("h", F.col("top.comp").alias("major"), tiles(F.col("all") - F.col("top.c")).alias("nk"), tiles(F.col("all")).alias("ns"))
-    rows = materialise(open_.join(parts, "h"), "members")
+    rows = materialise(open_.join(parts.select("h", F.col("top.comp").alias("major")), "h"), "members")
     own = rows.select("rep").distinct().join(texts.toDF("rep", "t"), "rep").mapInArrow(partial(_sets, k=k), "rep long, grams binary").dropDuplicates(["rep"])
-    rows = rows.join(materialise(info.join(own, "rep"), "sets"), "rep")
+    # Sets of one size class and its neighbours only can be so like each other; the base is a little larger than their ratio.
+    size = F.floor(F.log("n") / math.log(100.01 / percent)).cast("int")
+    near = F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("z")
+    rows = rows.join(materialise(info.join(own, "rep"), "sets"), "rep").withColumn("size", size)
+    members = rows.groupBy("h", F.col("size").alias("z")).agg(F.count("*").alias("m"))
+    asking = rows.where("comp <> major").groupBy("h", "size").agg(F.count("*").alias("a")).select("h", near, "a").groupBy("h", "z").agg(F.sum("a").alias("a"))
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    grid = materialise(members.join(asking, ["h", "z"]).select("h", "z", tiles("a").alias("nk"), tiles("m").alias("ns")), "grid")
     cols = ["rep", "comp", "n", "sketch", "grams"]
-    asks = rows.where("comp <> major").select("h", F.expr("pmod(hash(rep), nk)").alias("k"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), *cols, F.lit(True).alias("asks"))
-    others = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), F.expr("pmod(hash(rep, 1), ns)").alias("s"), *cols, F.lit(False).alias("asks"))
-    both = asks.unionByName(others).repartition(width(info), "h", "k", "s").sortWithinPartitions("h", "k", "s")
+    asks = rows.where("comp <> major").select("h", near, *cols).join(grid, ["h", "z"])
+    asks = asks.select("h", "z", F.expr("pmod(hash(rep), nk)").alias("k"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), *cols, F.lit(True).alias("asks"))
+    others = rows.withColumnRenamed("size", "z").join(grid, ["h", "z"])
+    others = others.select("h", "z", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), F.expr("pmod(hash(rep, 1), ns)").alias("s"), *cols, F.lit(False).alias("asks"))
+    both = asks.unionByName(others).repartition(width(info), "h", "z", "k", "s").sortWithinPartitions("h", "z", "k", "s")
     return both.mapInArrow(partial(_tiles, least=percent / 100 - SLACK, percent=percent), "a long, b long").distinct()
 
 
