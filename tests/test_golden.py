@@ -168,6 +168,13 @@ def test_edges_of_names_that_hold_keywords(spark):
     assert got == {(i, f"e{k}") for i, w in enumerate(words) for k, n in enumerate(names) if w and w.lower() in n.lower()}
 
 
+def test_waves_and_their_cap(spark):
+    items = spark.range(20).repartition(3)
+    waves = {r.id: r.wave for r in T.group_waves(items, 6, "id").collect()}
+    assert waves == {i: f"wave_{i // 6 + 1:03d}" for i in range(20)}
+    assert sorted(r.id for r in T.group_waves(items, 6, "id", most=2).collect()) == list(range(12))
+
+
 def test_window_splitter_and_keywords_by_brute_force(spark):
     texts = ["", "é" * 7, "abc", "".join(chr(97 + i % 26) for i in range(1000)), "日本" * 333, "a\nb\r\n" * 50]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
