@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.joins import join_counted, salted_join
+from corpusloom.operators.joins import salted_join
+from corpusloom.sources.files import stored
 
 #: Vectors and queries of a block that is scored at once.
 ROWS = 1024
@@ -111,17 +112,17 @@ def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``queries(query_id, text)``, ``chunks(id, text)``. Only terms of the queries are shuffled: lengths are counted
-    within a chunk's row. A term that a great part of the chunks hold stays where it is, or is dealt to several tasks."""
+    within a chunk's row. A term that a great part of the chunks hold is dealt to several tasks."""
     asked = terms(queries.withColumnRenamed("query_id", "id"), "id").distinct().withColumnRenamed("id", "query_id")
     words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")
     sized = chunks.select("id", words.alias("w")).withColumn("len", F.size("w"))
     totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     tf = sized.select("id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.count("*").alias("rows"))
-    weighted = join_counted(tf, df_, "term", "rows").join(F.broadcast(totals))
+    tf = stored(tf, "terms")
+    known = asked.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = salted_join(weighted.select("term", "id", weight.alias("w")), asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = salted_join(tf, known, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top(scored, k, F.desc("score"), F.col("id"))
 
 
