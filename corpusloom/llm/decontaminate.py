@@ -29,6 +29,8 @@ MASKS = ("1111011", "1010001111", "1111000101", "111010101")
 SHORT_MASKS = ("1111", "11101", "11011", "10111")
 LONG = 12
 MAX_FILTER_BITS = 1 << 30
+#: Which bits of a hash are its places in a filter; each is looked up only where those before are set.
+SHIFTS = (0, 32, 17, 40)
 #: The greatest lengths of the classes of items; longer items are in the last one.
 CLASSES = (32, 128, 1024)
 U = np.uint64
@@ -102,10 +104,10 @@ def _regions(batches: Iterator[pa.RecordBatch], filters: list[tuple[bytes, int]]
             top = U(len(bits) * 8 - 1)
             found = []
             for span, seed in seeds:
-                hit = np.ones(len(seed), bool)
-                for slot in (seed & top, (seed >> U(32)) & top):
-                    hit &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
-                where = np.flatnonzero(hit)
+                where = np.arange(len(seed))
+                for shift in SHIFTS:
+                    slot = (seed[where] >> U(shift)) & top
+                    where = where[(bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1]
                 row = np.searchsorted(at, where, "right") - 1
                 ok = where + span <= at[row + 1]
                 found.append((where[ok], seed[where[ok]], row[ok]))
@@ -171,7 +173,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     for r in sorted(seeds.groupBy("class").agg(F.count("*").alias("n"), F.max("item_words").alias("reach"), F.collect_set(F.least("item_words", F.lit(LONG))).alias("lengths")).collect()):
         size = min(MAX_FILTER_BITS // (2 * len(CLASSES)), max(1 << 16, 1 << (32 * r.n).bit_length()))
         size = 1 << size.bit_length() - 1
-        slots = seeds.where(F.col("class") == r["class"]).select(F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))).alias("s"))
+        slots = seeds.where(F.col("class") == r["class"]).select(F.explode(F.array(*(F.shiftrightunsigned("h", k).bitwiseAND(size - 1) for k in SHIFTS))).alias("s"))
         parts = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
         bloom = np.zeros(size // 64, np.int64)
         bloom[parts.column("word").to_numpy()] = parts.column("bits").to_numpy()
