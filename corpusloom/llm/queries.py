@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import collision_search, decontaminate, html_wrapper, importance, licenses, minhash, oracles, quality, secrets, sentencepiece_bpe, superkmer, token_blocks, warc
+from corpusloom.llm import collision_search, decontaminate, html_wrapper, importance, licenses, minhash, oracles, quality, secrets, sentencepiece_bpe, superkmer, token_alignment, token_blocks, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", *(F.col(f"q.{c}").alias(c) for c in counts), "base_failed", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return collision_search.search(vectors.where(F.col("vec_id") % 100 == 0), vectors)
@@ -66,7 +70,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_minhash_neardup, op2_sentencepiece, op3_decontamination, op4_warc, op5_html_extraction, op6_license_scan, op7_token_output, op8_substring_dedup, op9_secret_scan, op10_quality_rules, op12_collision_search, op13_importance_resampling)
+_ALL = (op1_minhash_neardup, op2_sentencepiece, op3_decontamination, op4_warc, op5_html_extraction, op6_license_scan, op7_token_output, op8_substring_dedup, op9_secret_scan, op10_quality_rules, op11_token_alignment, op12_collision_search, op13_importance_resampling)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = oracles.SQL
