@@ -28,7 +28,7 @@ from corpusloom.llm.sentencepiece_bpe import Vocabulary, _vocabulary
 from corpusloom.operators.joins import join_counted
 
 #: A chunk is closed at so many documents, or so many (pair, document) entries.
-SLOTS, ENTRIES = 1 << 16, 1 << 22
+SLOTS, ENTRIES = 1 << 16, 1 << 19
 #: Pairs that are broadcast with their counts (under 30 bytes each); beyond that they are joined.
 MOST = 1 << 19
 #: Words whose ids a Python worker remembers.
@@ -324,7 +324,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def index(docs: DataFrame, a_model: str, b_model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 6 << 20, entries: int = ENTRIES) -> DataFrame:
+def index(docs: DataFrame, a_model: str, b_model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20, entries: int = ENTRIES) -> DataFrame:
     """The table of documents (rows without a pair) and postings (with one, ``a * size of B + b``), in the shared folder."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -341,7 +341,7 @@ def pair_counts(index_: DataFrame, b_model: str) -> DataFrame:
     return rows.select(F.expr(f"pair DIV {size}").alias("a"), (F.col("pair") % size).alias("b"), "n_docs", "n_links")
 
 
-def align(docs: DataFrame, a_model: str, b_model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 6 << 20, entries: int = ENTRIES, most: int = MOST) -> DataFrame:
+def align(docs: DataFrame, a_model: str, b_model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20, entries: int = ENTRIES, most: int = MOST) -> DataFrame:
     """One row for each row of ``docs``: ``(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)``.
 
     A is a byte-level BPE model of the tokenizers library, which encodes a space and the text; B is a SentencePiece BPE model, which
