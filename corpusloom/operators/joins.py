@@ -18,11 +18,12 @@ def predicate_join(left: DataFrame, small: DataFrame, on: Column, most: int = 50
     return reduce(DataFrame.unionByName, (left.join(F.broadcast(p), on) for p in parts))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, share: int = 1000, least: int = 100_000) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str, share: int = 1000, least: int = 100_000, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of two tables that both may repeat keys. A key's rows in ``left`` are counted first; keys with over
     1/``share`` of them (and over ``least``), fewer than ``share``, are split into parts of about that size, each of which
-    meets a copy of the key's rows in ``right``. So no task gets all rows of a key; null keys are dropped."""
-    counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("__n"))
+    meets a copy of the key's rows in ``right``. So no task gets all rows of a key; null keys are dropped. ``counts(on, __n)``
+    saves the counting where the caller has done it. ``left`` is read twice, so it should be stored."""
+    counts = counts if counts is not None else left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("__n"))
     limit = max(least, (counts.agg(F.sum("__n")).first()[0] or 0) // share)
     hot = F.broadcast(counts.where(F.col("__n") > limit).select(on, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
     mine = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("__parts")).cast("int")))

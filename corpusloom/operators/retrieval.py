@@ -110,19 +110,63 @@ def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.explode(F.array_remove(F.split(F.lower(text_col), r"\s+"), "")).alias("term"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``queries(query_id, text)``, ``chunks(id, text)``. Only terms of the queries are shuffled: lengths are counted
-    within a chunk's row. A term that a great part of the chunks hold is dealt to several tasks."""
+#: Documents of a query's rarest terms that set its first threshold, in multiples of ``k``; what rounding may move a score by.
+SEEDS, ROUNDING = 20, 2e-6
+
+
+def postings(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """The postings ``(term, id, g)`` of the terms of ``queries(query_id, text)`` in ``chunks(id, text)``, ``g`` being a term's
+    weight without its idf, and ``(query_id, term, df, idf, bound)``: no document has more of a term than ``bound``. Texts are split
+    once; each chunk also has a row for itself, from which the number and mean length of chunks come."""
     asked = terms(queries.withColumnRenamed("query_id", "id"), "id").distinct().withColumnRenamed("id", "query_id")
     words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")
-    sized = chunks.select("id", words.alias("w")).withColumn("len", F.size("w"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = sized.select("id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    tf = stored(tf, "terms")
-    known = asked.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = salted_join(tf, known, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    rows = chunks.select("id", words.alias("w")).select("id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("w", F.array().cast("array<string>")))).alias("term"))
+    wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tf = stored(rows.join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf")), "terms")
+    total = tf.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).alias("mean")).first()
+    g = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(total["mean"] or 1.0)))
+    listed = tf.where("term <> ''").select("term", "id", g.alias("g"))
+    known = listed.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("top"))
+    known = known.withColumn("idf", F.log(1 + (F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return listed, stored(asked.join(known.withColumn("bound", F.col("idf") * F.col("top")).drop("top"), "term"), "asked")
+
+
+def _partial(listed: DataFrame, asked: DataFrame) -> DataFrame:
+    counts = asked.select("term", F.col("df").alias("__n")).distinct()
+    return salted_join(listed, asked.select("query_id", "term", "idf"), "term", counts=counts).groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("g")).alias("part"))
+
+
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """``(query_id, bar)``: the k-th best score so far, which the k-th best in the end is not below."""
+    return top(scores, k, F.desc("part"), F.col("id")).where(F.col("rank") == k).select("query_id", F.col("part").alias("bar"))
+
+
+def essential_terms(listed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``asked`` with ``essential``: whether a document may be among a query's first ``k`` without a term that comes before this
+    one (by bounds, the greatest first). Documents with other terms only have too small a sum of bounds (MaxScore). The
+    threshold is the k-th best score by the rarest terms alone."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    up = Window.partitionBy("query_id").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.withColumns({"place": F.row_number().over(w), "met": F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, 0)), "rest": F.sum("bound").over(up)})
+    seeds = asked.where((F.col("place") == 1) | (F.col("met") <= SEEDS * k))
+    out = asked.join(_kth(_partial(listed, seeds), k), "query_id", "left")
+    essential = F.col("rest") >= F.coalesce("bar", F.lit(0.0)) - ROUNDING
+    return stored(out.select("query_id", "term", "df", "idf", "bound", essential.alias("essential")), "essential")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``queries(query_id, text)``, ``chunks(id, text)``; exact. Essential terms give the candidates of a query. Those that the
+    bounds of its other terms could still lift to the k-th best score are completed by looking up (term, candidate), so a word
+    that most chunks hold costs its rows of the index, not one for each query and chunk. Words are split at white space."""
+    listed, asked = postings(queries, chunks, k1, b)
+    asked = essential_terms(listed, asked, k)
+    first = stored(_partial(listed, asked.where("essential")), "candidates")
+    more = asked.where("NOT essential")
+    slack = more.groupBy("query_id").agg(F.sum("bound").alias("slack"))
+    likely = first.join(slack, "query_id", "left").join(_kth(first, k), "query_id", "left")
+    likely = likely.where(F.col("part") + F.coalesce("slack", F.lit(0.0)) >= F.coalesce("bar", F.lit(0.0)) - ROUNDING).select("query_id", "id", "part")
+    rest = likely.select("query_id", "id").join(more.select("query_id", "term", "idf"), "query_id").join(listed, ["term", "id"]).select("query_id", "id", (F.col("idf") * F.col("g")).alias("part"))
+    scored = likely.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scored, k, F.desc("score"), F.col("id"))
 
 
