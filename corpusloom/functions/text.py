@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -277,23 +277,29 @@ def mask_pii_plain(text: Column) -> Column:
 
 
 def redaction_report(text: Column) -> Column:
-    """How many secrets and how much personal data of each category the masking replaces."""
+    """How many secrets and how much personal data of each category the masking replaces. A pattern is looked for once in a
+    text, and replaced only where it occurs; each is a literal of a branch of its own, which compiles it once."""
     steps = [(p, f"[REDACTED_{n}]") for n, p in rules.SECRETS] + [(p, f"<{n}>") for n, p in rules.PII]
     k = len(rules.SECRETS)
-    table = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(mark).alias("mark")) for p, mark in steps))
 
-    def step(done: Column, rule: Column) -> Column:
-        # A pattern is looked for once, and replaced only where it occurs.
+    def branch(i: Column, f: Callable[[str, str], Column]) -> Column:
+        out = F.when(i == 0, f(*steps[0]))
+        for j, s in enumerate(steps[1:], 1):
+            out = out.when(i == j, f(*s))
+        return out
+
+    def step(done: Column, i: Column) -> Column:
         def counted(n: Column) -> Column:
-            return F.struct(F.when(n == 0, done["t"]).otherwise(F.regexp_replace(done["t"], rule["pattern"], rule["mark"])).alias("t"), F.concat(done["n"], F.array(n)).alias("n"))
+            left = F.when(n == 0, done["t"]).otherwise(branch(i, lambda p, mark: F.regexp_replace(done["t"], p, mark)))
+            return F.struct(left.alias("t"), F.concat(done["n"], F.array(n)).alias("n"))
 
-        return let(F.regexp_count(done["t"], rule["pattern"]), counted)
+        return let(branch(i, lambda p, _: F.regexp_count(done["t"], F.lit(p))), counted)
 
     def named(done: Column) -> Column:
         n = done["n"]
         return F.struct(sum((n[i] for i in range(1, k)), n[0]).alias("secrets"), *(n[k + i].alias(name.lower()) for i, (name, _) in enumerate(rules.PII)))
 
-    return F.aggregate(table, F.struct(text.alias("t"), F.array().cast("array<int>").alias("n")), step, named)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.struct(text.alias("t"), F.array().cast("array<int>").alias("n")), step, named)
 
 
 def _numbered(batches: Iterator[pd.DataFrame], table: tuple, running: bool) -> Iterator[pd.DataFrame]:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.joins import predicate_join
+from corpusloom.operators.joins import join_counted, predicate_join
 from corpusloom.operators.retrieval import top
+from corpusloom.sources.files import stored, with_count
 
 
 def canonical_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Of equal contents the smallest id is canonical. Counted by hash first, so a hot content is one row a task."""
-    keyed = docs.select(id_col, F.sha2(text_col, 256).alias("hash"))
-    first = keyed.groupBy("hash").agg(F.min(id_col).alias("canonical_id"))
-    return keyed.join(first, "hash").withColumn("status", F.when(F.col(id_col) == F.col("canonical_id"), "canonical").otherwise("duplicate"))
+    """Of equal contents the smallest id is canonical. Texts are read once, for their hashes; only hashes that repeat are
+    joined, and the rows of a content that a great part of the documents hold stay where they are. Null texts are left out."""
+    keyed = stored(docs.where(F.col(text_col).isNotNull()).select(id_col, F.sha2(text_col, 256).alias("hash")), "hashes")
+    first = keyed.groupBy("hash").agg(F.min(id_col).alias("first"), F.count("*").alias("n")).where("n > 1")
+    out = join_counted(keyed, stored(first, "repeated"), "hash", "n", how="left").withColumn("canonical_id", F.coalesce("first", F.col(id_col))).drop("first")
+    return out.withColumn("status", F.when(F.col(id_col) == F.col("canonical_id"), "canonical").otherwise("duplicate"))
 
 
 def dedupe_chunks(new: DataFrame, existing: DataFrame, exempt: Column) -> DataFrame:
@@ -141,8 +148,9 @@ def valid_scores(files: DataFrame, stores: list[DataFrame], config: str) -> Data
 
 
 def directory_scores(files: DataFrame) -> DataFrame:
-    """``(path, dir, score)``: accepted files of each directory; directories without any do not appear."""
-    return files.where("score IS NULL OR score <> 0").groupBy("dir").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """``(path, dir, score)`` to ``(dir, path, n)``: the accepted files of each directory, a row for each, with their number;
+    directories without any do not appear."""
+    return with_count(files.where("score IS NULL OR score <> 0").select("dir", "path"), "dir", "n")
 
 
 def order_small_first(files: DataFrame) -> DataFrame:
@@ -150,9 +158,37 @@ def order_small_first(files: DataFrame) -> DataFrame:
     return files.orderBy("size", F.lower("path"))
 
 
-def directory_hash(files: DataFrame) -> DataFrame:
-    """``(dir, name, mtime, size)``."""
-    return files.groupBy("dir").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("mtime").cast("string"), F.col("size").cast("string")))), "|")).alias("hash"))
+def _md5_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(dir, entry)`` sorted by both: the digest of each directory's entries, of which none is kept."""
+    at, digest = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([at]), pa.array([digest.hexdigest()])], names=["dir", "hash"])
+
+    for batch in batches:
+        for name, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if digest is None or name != at:
+                if digest is not None:
+                    yield row()
+                at, digest = name, hashlib.md5(entry.encode(), usedforsecurity=False)
+            else:
+                digest.update(b"|" + entry.encode())
+    if digest is not None:
+        yield row()
+
+
+def directory_hash(files: DataFrame, most: int = 100_000) -> DataFrame:
+    """``(dir, name, mtime, size)`` to a digest of the sorted entries. Directories of over ``most`` files are sorted by Spark and
+    digested as a stream, which holds one entry at a time; the others are one row of an aggregate."""
+    entry = F.concat_ws(":", "name", F.col("mtime").cast("string"), F.col("size").cast("string")).alias("entry")
+    rows = files.select("dir", entry)
+    large = stored(rows.groupBy("dir").agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
+    few = rows.join(large, "dir", "left_anti") if large.limit(1).count() else rows
+    out = few.groupBy("dir").agg(F.md5(F.array_join(F.array_sort(F.collect_list("entry")), "|")).alias("hash"))
+    if few is rows:
+        return out
+    many = rows.join(large.select("dir"), "dir", "left_semi").repartition("dir").sortWithinPartitions("dir", "entry")
+    return out.unionByName(many.mapInArrow(_md5_of_sorted, "dir string, hash string"))
 
 
 def unchanged_directories(current: DataFrame, cached: DataFrame, options: str) -> DataFrame:
@@ -189,7 +225,7 @@ def run_list(events: DataFrame) -> DataFrame:
 
 
 def insert_or_ignore(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The first writer of a key wins; within the rows the smallest ``seq``."""
+    """The first writer of a key wins; within the rows the smallest ``seq``. With ``upsert_into`` as its merge, only the
+    buckets of the rows' keys are read and written."""
     fresh = rows.join(target.select(key).distinct(), key, "left_anti").select(*target.columns)
-    w = Window.partitionBy(key).orderBy("seq")
-    return target.unionByName(fresh.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"))
+    return target.unionByName(fresh.groupBy(key).agg(F.min_by(F.struct(*target.columns), "seq").alias("x")).select("x.*"))

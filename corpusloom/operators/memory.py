@@ -179,18 +179,21 @@ REFERENCES = (
 
 def resolve_tool_reference(queries: DataFrame, log: DataFrame) -> DataFrame:
     """``queries(query_id, thread_id, text)`` against a numbered log ``(thread_id, doc_id, place, tool, file_path)``:
-    by ``doc#n``, "the document", kind of file or tool (latest first), "first", else the latest."""
-    df = queries.join(log.select("thread_id", "doc_id", "place", "tool", "file_path"), "thread_id")
+    by ``doc#n``, "the document", kind of file or tool (latest first), "first", else the latest.
+
+    The log is reduced to the latest row of each thread and kind first, which queries then look up, so a query never meets its
+    thread's whole log."""
+    kinds = [F.lit("any"), F.when(F.col("place") == 1, "first"), F.col("doc_id")]
+    kinds += [F.when(F.lower("file_path").rlike(p) if kind == "ext" else F.col("tool") == p, p) for kind, p in dict.fromkeys((k, p) for _, k, p in REFERENCES)]
+    rows = log.select("thread_id", "place", "doc_id", "file_path", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    latest = rows.groupBy("thread_id", "kind").agg(F.max_by(F.struct("doc_id", "file_path"), "place").alias("row"))
     q = F.lower("text")
-    priority = F.when(q.startswith("doc#"), F.when(F.col("doc_id") == q, 0))
-    rules_ = [((F.contains(q, F.lit("document")) | F.contains(q, F.lit("file"))) & (F.contains(q, F.lit("last")) | F.contains(q, F.lit("latest")) | (q == "the document")))]
-    rules_ += [F.contains(q, F.lit(w)) & (F.lower("file_path").rlike(p) if kind == "ext" else F.col("tool") == p) for w, kind, p in REFERENCES]
-    rules_ += [F.contains(q, F.lit("first")) & (F.col("place") == 1)]
-    other = F.lit(len(rules_) + 1)
-    for i, r in reversed(list(enumerate(rules_))):
-        other = F.when(r, i + 1).otherwise(other)
-    df = df.withColumn("p", F.when(q.startswith("doc#"), priority).otherwise(other)).where("p IS NOT NULL")
-    return top(df, 1, F.col("p"), F.desc("place"), name="n").select("query_id", "thread_id", "doc_id", "file_path")
+    said = lambda w: F.contains(q, F.lit(w))
+    asks = [F.when((said("document") | said("file")) & (said("last") | said("latest") | (q == "the document")), "any")]
+    asks += [F.when(said(w), p) for w, _, p in REFERENCES] + [F.when(said("first"), "first"), F.lit("any")]
+    wanted = F.when(q.startswith("doc#"), F.array(q)).otherwise(F.array_compact(F.array(*asks)))
+    found = queries.select("query_id", "thread_id", F.posexplode(wanted).alias("p", "kind")).join(latest, ["thread_id", "kind"])
+    return found.groupBy("query_id", "thread_id").agg(F.min_by("row", "p").alias("row")).select("query_id", "thread_id", "row.doc_id", "row.file_path")
 
 
 def checkpoints(writes: DataFrame, now: str, ttl: str = "1 day") -> DataFrame:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
+from corpusloom.operators.joins import join_counted
 from corpusloom.operators.retrieval import top
+from corpusloom.sources.files import stored
 
 
-def summary(samples: DataFrame, kind: str) -> DataFrame:
-    """A1-A4: ``(name, value, ts)`` to one row for each metric: ``counter``, ``gauge``, ``timer`` or ``histogram``."""
+QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+#: Samples of a metric up to which its percentiles come from one aggregate.
+BUFFERED = 1 << 20
+
+
+def summary(samples: DataFrame, kind: str, buffered: int = BUFFERED) -> DataFrame:
+    """A1-A4: ``(name, value, ts)`` to one row for each metric: ``counter``, ``gauge``, ``timer`` or ``histogram``. Percentiles are
+    exact, between neighbours in proportion. A metric's values are buffered up to ``buffered`` samples; beyond that they are
+    selected (``percentiles``), which holds no more of them the more there are."""
     v = F.col("value")
     r = lambda c: F.round(c, 6)
     cols = {
@@ -21,8 +31,44 @@ def summary(samples: DataFrame, kind: str) -> DataFrame:
         "gauge": [F.max_by(v, "ts").alias("current"), F.min(v).alias("low"), F.max(v).alias("high"), r(F.avg(v)).alias("mean")],
         "timer": [F.count(v).alias("n"), r(F.sum(v)).alias("total"), r(F.avg(v)).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high")],
     }
-    cols["histogram"] = [*cols["timer"], *(r(F.percentile(v, p)).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))]
-    return samples.groupBy("name").agg(*cols[kind])
+    if kind != "histogram":
+        return samples.groupBy("name").agg(*cols[kind])
+    most = samples.groupBy("name").agg(F.count(v).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= buffered:
+        return samples.groupBy("name").agg(*cols["timer"], *(r(F.percentile(v, p)).alias(n) for n, p in QUANTILES))
+    timer = samples.groupBy("name").agg(*cols["timer"])
+    found = percentiles(samples, QUANTILES, buffered)
+    found = found.select(F.col("name").alias("__name"), *(r(F.col(n)).alias(n) for n, _ in QUANTILES))
+    return timer.join(found, F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name")
+
+
+def percentiles(samples: DataFrame, wanted: tuple[tuple[str, float], ...], buffered: int = BUFFERED, parts: int = 16) -> DataFrame:
+    """``(name, value)`` to a column for each percentile, by distributed selection: ``parts`` buckets between values that a mergeable
+    sketch gives are counted exactly, only the buckets that hold the ranks are kept, and so on until a metric has at most
+    ``buffered`` distinct values left. A null name is a metric of its own; null values do not count."""
+    spark = samples.sparkSession
+    keys = F.broadcast(spark.createDataFrame(list(wanted), "quantile string, p double"))
+    rows = samples.where("value IS NOT NULL").groupBy("name", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    rows = stored(rows.withColumn("key", F.to_json(F.struct("name"))), "samples")
+    total = rows.groupBy("key", "name").agg(F.sum("n").alias("all")).join(keys)
+    rank = F.col("p") * (F.col("all") - 1)
+    ranks = stored(total.select(F.concat("key", "quantile").alias("k"), "name", "quantile", F.floor(rank).alias("lower"), F.ceil(rank).alias("upper"), (rank - F.floor(rank)).alias("part"), F.lit(0).cast("long").alias("below")), "ranks")
+    rows = rows.join(keys.select("quantile")).select(F.concat("key", "quantile").alias("k"), "value", "n")
+    while True:
+        cuts = stored(rows.groupBy("k").agg(F.count("*").alias("c"), F.percentile_approx("value", [i / parts for i in range(parts + 1)], 100 * parts).alias("cuts")), "cuts")
+        if (cuts.agg(F.max("c")).first()[0] or 0) <= max(buffered, 4 * parts):
+            break
+        placed = stored(join_counted(rows, cuts, "k", "c").select("k", "value", "n", F.size(F.filter("cuts", lambda x: x <= F.col("value"))).alias("b")), "placed")
+        w = Window.partitionBy("k").orderBy("b")  # a row for each bucket
+        sums = placed.groupBy("k", "b").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(w) - F.col("m")).join(ranks, "k")
+        sums = sums.withColumn("before", F.col("before") + F.col("below"))
+        needed = stored(sums.where("before <= upper AND before + m > lower").select("k", "b", "before"), "needed")
+        rows = stored(placed.join(F.broadcast(needed.select("k", "b")) if needed.count() < 100_000 else needed.select("k", "b"), ["k", "b"]).select("k", "value", "n"), "rest")
+        ranks = stored(ranks.drop("below").join(needed.groupBy("k").agg(F.min("before").alias("below")), "k"), "ranks")
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("value")) + F.col("below")
+    found = rows.join(ranks, "k").withColumn("upto", upto).groupBy("name", "quantile").agg(F.min(F.when(F.col("upto") > F.col("lower"), F.col("value"))).alias("lo"), F.min(F.when(F.col("upto") > F.col("upper"), F.col("value"))).alias("hi"), F.first("part").alias("part"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("part")) * F.col("lo") + F.col("part") * F.col("hi"))
+    return found.groupBy("name").pivot("quantile", [n for n, _ in wanted]).agg(F.first(value))
 
 
 def approx_histogram(samples: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -144,13 +190,71 @@ def pressure_actions(events: DataFrame, threshold: int = 5, reset: float = 60.0)
     return ordered.mapInPandas(run, "source string, ts timestamp, circuit string, failures int")
 
 
-def interval_overlaps(a: DataFrame, b: DataFrame, bucket: float = 60.0) -> DataFrame:
-    """``(id, start, end, ok)``, seconds: pairs that overlap. Each interval stands in every time bucket that it
-    touches; a pair counts in the bucket where its overlap begins."""
-    spread = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "start", "end", "ok")), F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("k"))
-    begins = F.greatest("a_start", "b_start")
-    both = spread(a, "a").join(spread(b, "b"), "k").where((begins < F.least("a_end", "b_end")) & (F.floor(begins / bucket) == F.col("k")))
-    return both.select("a_id", "b_id", F.round(F.least("a_end", "b_end") - begins, 6).alias("overlap"), "a_ok", "b_ok")
+def overlap_summary(intervals: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``(op, start, end, ok)``, seconds, to one row for each pair of operations: how many of either, how many of these were
+    ok, and how many pairs overlap, ``max(start) < min(end)``.
+
+    No pair is made. The b-intervals that overlap an a-interval are those that start before its end, less those that end before or at
+    its start: two ranks. Starts and ends are sorted over ranges, each range is counted, and ranks run within a range from
+    the counts of those before, so the rows are linear in the intervals. Intervals without a positive length overlap nothing."""
+    spark = intervals.sparkSession
+    names = sorted({x for p in pairs for x in p})
+    rows = intervals.where(F.col("op").isin(names))
+    sizes = rows.groupBy("op").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
+    ends = F.explode(F.array(F.struct(F.col("end").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("start").alias("t"), F.lit(1).alias("kind")))).alias("e")
+    points = rows.where(F.col("start") < F.col("end")).select("op", ends).groupBy("e.t", "e.kind", "op").agg(F.count("*").alias("n"))
+    # At one time ends come before starts.
+    points = stored(points.repartitionByRange("t", "kind").withColumn("range", F.spark_partition_id()), "points")
+    second = sorted({b for _, b in pairs})
+    of = lambda kind, b: F.sum(F.when((F.col("kind") == kind) & (F.col("op") == b), F.col("n")).otherwise(0))
+    columns = {f"{p}{i}": of(kind, b) for i, b in enumerate(second) for p, kind in (("s", 1), ("e", 0))}
+    whole = points.groupBy("range").agg(*(c.alias(k) for k, c in columns.items()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = whole.select("range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_") for k in columns))
+    upto = Window.partitionBy("range").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = points.select("*", *(F.coalesce(c.over(upto), F.lit(0)).alias(k) for k, c in columns.items())).join(F.broadcast(base), "range")
+    rank = lambda k: F.col("n") * (F.col(k) + F.col(f"{k}_"))
+    sums = ranked.groupBy("op").agg(*(F.sum(F.when(F.col("kind") == 0, rank(f"s{i}")).otherwise(-rank(f"e{i}"))).alias(f"o{i}") for i in range(len(second))))
+    sums = sums.unpivot("op", [f"o{i}" for i in range(len(second))], "b", "overlap_pairs")
+    wanted = spark.createDataFrame([(a, b, f"o{second.index(b)}") for a, b in pairs], "a string, b string, o string")
+    out = wanted.join(sums.select(F.col("op").alias("a"), F.col("b").alias("o"), "overlap_pairs"), ["a", "o"], "left")
+    for p in "ab":
+        out = out.join(sizes.select(F.col("op").alias(p), F.col("n").alias(f"{p}_count"), F.col("ok").alias(f"{p}_ok")), p, "left")
+    return out.select("a", "b", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("a_count", "b_count", "overlap_pairs", "a_ok", "b_ok")))
+
+
+def interval_overlaps(a: DataFrame, b: DataFrame, tick: float = 1.0) -> DataFrame:
+    """A16 where the pairs are wanted: ``(id, start, end, ok)``, seconds. One interval of a pair begins within the other, so each
+    interval is covered by at most two dyadic spans of ticks for each power of two up to the range of all times, and each beginning
+    asks the one span of every size that holds it. Of a cover one span at most holds a tick: a pair is made once."""
+    low = lambda df: df.where(F.col("start") < F.col("end")).agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    r = low(a.select("start", "end").unionByName(b.select("start", "end"))).first()
+    zero = math.floor((r["low"] or 0) / tick)
+    levels = max(1, (math.floor((r["high"] or 0) / tick) - zero + 1).bit_length())
+    place = lambda c: (F.floor(F.col(c) / tick) - zero).cast("long")
+    shift = lambda x, n: F.call_function("shiftright", x, n)
+
+    def covered(df: DataFrame, p: str) -> DataFrame:
+        def spans(n: Column) -> Column:
+            size = F.call_function("shiftleft", F.lit(1).cast("long"), n)
+            first, last = shift(F.col("lo") + size - 1, n), shift(F.col("hi") + 1, n) - 1
+            node = lambda ok, x: F.when((first <= last) & ok, F.struct(n.alias("level"), x.alias("at")))
+            return F.array(node(first % 2 == 1, first), node(last % 2 == 0, last))
+
+        every = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), spans)))
+        return named(df, p).withColumns({"lo": place(f"{p}_start"), "hi": place(f"{p}_end")}).withColumn("node", F.explode(every)).drop("lo", "hi")
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        return df.where(F.col("start") < F.col("end")).select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "start", "end", "ok")))
+
+    def begun(df: DataFrame, p: str) -> DataFrame:
+        at = place(f"{p}_start")
+        return named(df, p).withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda n: F.struct(n.alias("level"), shift(at, n).alias("at")))))
+
+    inside = covered(b, "b").join(begun(a, "a"), "node").where("b_start <= a_start AND a_start < b_end")
+    around = covered(a, "a").join(begun(b, "b"), "node").where("a_start < b_start AND b_start < a_end")
+    overlap = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    return inside.unionByName(around).select("a_id", "b_id", F.round(overlap, 6).alias("overlap"), "a_ok", "b_ok")
 
 
 def ingestion_summary(samples: DataFrame, names: list[str]) -> DataFrame:

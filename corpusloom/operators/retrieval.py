@@ -81,16 +81,20 @@ def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 #: Documents of a query's rarest terms that set its first threshold, in multiples of ``k``; what rounding may move a score by.
 SEEDS, ROUNDING = 20, 2e-6
+#: Terms of queries that are broadcast, so that other words of the texts are not shuffled.
+WANTED = 500_000
 
 
 def postings(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """The postings ``(term, id, g)`` of the terms of ``queries(query_id, text)`` in ``chunks(id, text)``, ``g`` being a term's
     weight without its idf, and ``(query_id, term, df, idf, bound)``: no document has more of a term than ``bound``. Texts are split
     once; each chunk also has a row for itself, from which the number and mean length of chunks come."""
-    asked = terms(queries.withColumnRenamed("query_id", "id"), "id").distinct().withColumnRenamed("id", "query_id")
+    asked = stored(terms(queries.withColumnRenamed("query_id", "id"), "id").distinct().withColumnRenamed("id", "query_id"), "terms")
     words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")
     rows = chunks.select("id", words.alias("w")).select("id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("w", F.array().cast("array<string>")))).alias("term"))
     wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    if wanted.count() <= WANTED:
+        wanted = F.broadcast(wanted)
     tf = stored(rows.join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf")), "terms")
     total = tf.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).alias("mean")).first()
     g = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(total["mean"] or 1.0)))

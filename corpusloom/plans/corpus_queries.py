@@ -110,8 +110,10 @@ def s13(spark, d):
 
 @query("s14_upsert_chunks", "WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS b FROM events), r AS (SELECT user_id, event_type, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY b DESC, event_id DESC) AS n FROM e) SELECT user_id, event_type, seq FROM r WHERE n = 1")
 def s14(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq"))
-    return S.upsert_chunks(e.where("seq % 2 = 0"), e.where("seq % 2 = 1"), "user_id")
+    e, path = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq")), S.shared_path(spark, "target")
+    for i in (0, 1):
+        S.upsert_into(path, e.where(F.col("seq") % 2 == i), "user_id", buckets=8)
+    return spark.read.parquet(path).drop("bucket")
 
 
 @query("s15_dead_letter", "SELECT o_orderkey, 'negative or null' AS reason, TIMESTAMP '2024-01-31 00:00:00' AS failed_at FROM orders WHERE NOT coalesce(o_totalprice > 150000, false)")
@@ -134,9 +136,9 @@ def s17(spark, d):
     return S.export_prometheus(m)
 
 
-@query("s18_files_by_hash", "SELECT sha256(text) AS hash, string_agg('d' || doc_id, ',' ORDER BY 'd' || doc_id) AS paths FROM documents GROUP BY 1")
+@query("s18_files_by_hash", "SELECT sha256(text) AS hash, 'd' || doc_id AS path, count(*) OVER (PARTITION BY sha256(text)) AS paths FROM documents WHERE text IS NOT NULL")
 def s18(spark, d):
-    return S.files_by_hash(docs(spark, d).select(F.sha2("text", 256).alias("hash"), F.concat(F.lit("d"), "doc_id").alias("path"))).select("hash", F.array_join("paths", ",").alias("paths"))
+    return S.files_by_hash(docs(spark, d).select(F.sha2("text", 256).alias("hash"), F.concat(F.lit("d"), "doc_id").alias("path")))
 
 
 def digest(df):

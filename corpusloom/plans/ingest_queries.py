@@ -182,10 +182,10 @@ def i20(spark, d):
     return I.valid_scores(f, [old, one, two], "c")
 
 
-@query("i21_directory_scores", "SELECT source AS dir, count(*) AS n, string_agg('d' || doc_id, ',' ORDER BY 'd' || doc_id) AS paths FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality <> 0 GROUP BY source")
+@query("i21_directory_scores", "SELECT source AS dir, 'd' || doc_id AS path, count(*) OVER (PARTITION BY source) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE (quality IS NULL OR quality <> 0) AND source IS NOT NULL")
 def i21(spark, d):
     f = docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("source").alias("dir"), F.col("quality").alias("score"))
-    return I.directory_scores(f).select("dir", "n", F.array_join("paths", ",").alias("paths"))
+    return I.directory_scores(f)
 
 
 @query("i22_order_small_first", "SELECT doc_id, n_chars AS size, source AS path FROM documents ORDER BY size, lower(path)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import metric_name
+from corpusloom.operators.joins import join_counted
 
 # Encodings in the order in which they are tried.
 ENCODINGS = "utf-8 utf-8-sig utf-16 utf-16-le utf-16-be cp1252 latin-1 iso-8859-15 cp1250 iso-8859-2 cp1251 koi8-r iso-8859-5 cp1253 cp1254 shift_jis euc-jp gb18030 big5 euc-kr".split()
@@ -146,10 +147,19 @@ def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_docs(spark: SparkSession, path: str, most: int = 50_000, **options) -> DataFrame:
-    """One document for each row, the first ``most`` of a file."""
-    df = spark.read.options(header="true", **options).csv(path)
-    rows = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.to_json(F.struct(*df.columns)).alias("text")).withColumn("at", F.monotonically_increasing_id())
-    return rows.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("block", "at"))).where(F.col("row") <= most).select("path", "row", "text")
+    """One document for each row, the first ``most`` of a file. Rows are numbered by split: a row's place in its split (its place in
+    the task, less that of the split's first row) follows the rows of the file's splits before, which are counted first. So no
+    file is sorted or numbered as a whole."""
+    df = spark.read.options(header="true", columnPruning="false", **options).csv(path)
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    rows = df.select(*split, F.to_json(F.struct(*df.columns)).alias("text")).withColumn("at", F.monotonically_increasing_id())
+    splits = stored(rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")), "splits")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")  # over a file's splits
+    splits = splits.withColumn("before", before).where(F.col("before") < most).drop("n")
+    if splits.count() <= 1_000_000:
+        splits = F.broadcast(splits)
+    numbered = rows.join(splits, ["path", "block"]).withColumn("row", (F.col("before") + F.col("at") - F.col("first") + 1).cast("long"))
+    return numbered.where(F.col("row") <= most).select("path", "row", "text")
 
 
 def guard_docs_per_file(docs: DataFrame, most: int, file_col: str = "file") -> DataFrame:
@@ -227,10 +237,41 @@ def normalize_web_results(results: DataFrame) -> DataFrame:
 
 def upsert_chunks(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The target after a batch: a key's newest row (``seq``) replaces what was there; rows without a key are skipped.
-    To be written to a new path, which then takes the old one's place."""
+    ``upsert_into`` does this to a stored table."""
     both = target.withColumn("__batch", F.lit(0)).unionByName(batch.where(F.col(key).isNotNull()).withColumn("__batch", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc("__batch"), F.desc("seq"))
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__batch")
+    return both.groupBy(key).agg(F.max_by(F.struct(*target.columns), F.struct("__batch", "seq")).alias("x")).select("x.*")
+
+
+def replace_keys(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The target after a batch in which a key may have many rows of one version (``seq``): the newest version's rows stay, so a
+    document's chunks go with it. Of equal versions the batch's stays."""
+    both = target.withColumn("__batch", F.lit(0)).unionByName(batch.where(F.col(key).isNotNull()).withColumn("__batch", F.lit(1)))
+    newest = both.groupBy(key).agg(F.max(F.struct("seq", "__batch")).alias("__newest"))
+    return both.join(newest, key).where(F.struct("seq", "__batch") == F.col("__newest")).drop("__batch", "__newest")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+Merge = Callable[[DataFrame, DataFrame, str], DataFrame]
+
+
+def upsert_into(path: str, batch: DataFrame, key: str, merge: Merge = upsert_chunks, buckets: int = 64) -> list[int]:
+    """S14 on a table at ``path``, whose rows lie in folders by the hash of their key: only the buckets that the batch's keys fall in
+    are read, merged and overwritten; the files of the others stay. The merged rows are written to the shared folder first, so
+    a write that fails can be repeated from the batch, and merging a batch twice changes nothing. ``buckets`` is part of the table
+    and stays as it was made; choose it so that a bucket is a few hundred MB. Returns the buckets written."""
+    spark = batch.sparkSession
+    rows = stored(batch.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+    touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most ``buckets``
+    if not touched:
+        return touched
+    old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)).select(rows.columns) if exists(spark, path) else rows.limit(0)
+    merged = stored(merge(old, rows, key), "merged")
+    merged.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
 
 
 def dead_letter(df: DataFrame, good: Column, reason: Column, now: str) -> tuple[DataFrame, DataFrame]:
@@ -254,5 +295,12 @@ def export_prometheus(metrics: DataFrame) -> DataFrame:
 
 
 def files_by_hash(index: DataFrame) -> DataFrame:
-    """Content hash to its sorted paths."""
-    return index.groupBy("hash").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    """``(hash, path, paths)``: the paths of each content hash, a row for each, with their number."""
+    return with_count(index.select("hash", "path").distinct(), "hash", "paths")
+
+
+def with_count(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the number of rows of their key, null keys left out. Nothing is gathered by key, and frequent keys stay put."""
+    rows = stored(rows.where(F.col(key).isNotNull()), "rows")
+    counts = rows.groupBy(key).agg(F.count("*").alias("__count")).withColumn(name, F.col("__count"))
+    return join_counted(rows, stored(counts, "counts"), key, "__count")
