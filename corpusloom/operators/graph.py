@@ -2,23 +2,118 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rules
+from corpusloom.functions.columns import let
 from corpusloom.functions.text import contribution, provenance, regex_entities
 from corpusloom.operators.joins import salted_join
 from corpusloom.operators.retrieval import top
 
 
-def extract_entities(chunks: DataFrame, most: int = 8, gazetteer: DataFrame | None = None) -> DataFrame:
-    """G1: ``(chunk_id, topic, pos, name, type)``: the first entities of each chunk by pattern, and names of a gazetteer
-    ``(name, type)`` that occur as words."""
-    found = chunks.select("chunk_id", "topic", F.posexplode(F.slice(regex_entities(F.col("text")), 1, most)).alias("pos", "name")).withColumn("type", F.lit("CONCEPT"))
-    if gazetteer is not None:
-        words = chunks.select("chunk_id", "topic", F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("name"))
-        known = words.join(gazetteer, "name").select("chunk_id", "topic", F.lit(most).alias("pos"), "name", "type")
-        found = top(found.unionByName(known), most, F.col("pos"), F.col("name"), keys=("chunk_id",), name="n").drop("n")
-    return found
+#: Names of a gazetteer that go to all tasks as one trie; larger ones are joined.
+NAMES = 200_000
+WORD = re.compile(r"[A-Za-z0-9_]+")
+SPANS = "array<struct<start:int,stop:int,name:string,type:string>>"
+
+
+def name_trie(rows: Iterable[tuple[str, str]]) -> dict:
+    """Words to the tries of what may follow them; under None the name and type that end there (the smallest of several)."""
+    trie: dict = {}
+    for name, kind in rows:
+        at = trie
+        for word in WORD.findall(name or ""):
+            at = at.setdefault(word, {})
+        if at is not trie:
+            at[None] = min(at.get(None, (name, kind)), (name, kind), key=lambda x: (x[0], x[1] or ""))
+    return trie
+
+
+def known_spans(text: str | None, trie: dict) -> list[dict]:
+    """The names of a text from the left, of several that begin at one word the longest; names do not overlap."""
+    words, out, i = list(WORD.finditer(text or "")), [], 0
+    while i < len(words):
+        at, j, hit = trie.get(words[i][0]), i, None
+        while at is not None:
+            j += 1
+            if None in at:
+                hit = (j, at[None])
+            at = at.get(words[j][0]) if j < len(words) else None
+        if hit is None:
+            i += 1
+            continue
+        j, (name, kind) = hit
+        out.append({"start": words[i].start(), "stop": words[j - 1].end(), "name": name, "type": kind})
+        i = j
+    return out
+
+
+def _pattern_spans(text: Column) -> Column:
+    """P23's entities with where they stand, which follows from what the pattern leaves of the text."""
+
+    def spans(pattern: str) -> Column:
+        def placed(x: Column) -> Column:
+            def at(m: Column, i: Column) -> Column:
+                size = lambda part, n: F.aggregate(F.slice(part, F.lit(1), n), F.lit(0), lambda s, y: s + F.length(y))
+                start = size(x["left"], i + 1) + size(x["found"], i)
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("name"), F.lit("CONCEPT").alias("type"))
+
+            return F.transform(x["found"], at)
+
+        return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("left")), placed)
+
+    return F.concat(*(spans(p) for p in rules.ENTITIES))
+
+
+def _chosen(known: Column, text: Column, most: int) -> Column:
+    """The first ``most`` names: those of the gazetteer, and pattern entities that do not overlap them, by where they first stand."""
+
+    def both(k: Column) -> Column:
+        free = lambda p: ~F.exists(k, lambda x: (x["start"] < p["stop"]) & (p["start"] < x["stop"]))
+        ordered = F.array_sort(F.transform(F.concat(k, F.filter(_pattern_spans(text), free)), lambda x: F.struct(x["start"], x["stop"], x["name"], x["type"])))
+        names = lambda o: F.array_distinct(F.transform(o, lambda x: x["name"]))
+        return let(ordered, lambda o: F.transform(F.slice(names(o), 1, most), lambda n: F.filter(o, lambda x: x["name"] == n)[0]))
+
+    return let(F.coalesce(known, F.array().cast(SPANS)), both)
+
+
+def extract_entities(chunks: DataFrame, most: int = 8, gazetteer: DataFrame | None = None, names: int = NAMES) -> DataFrame:
+    """G1: ``(chunk_id, topic, pos, name, type)``: the first entities of each chunk, by pattern as CONCEPT, and by a gazetteer
+    ``(name, type)`` of names of one or several words with their types.
+
+    Names match whole words (letters, digits and ``_``), whatever stands between them, from the left, the longest first; they
+    take the place of pattern entities that they overlap. Entities count by where they first stand. Up to ``names`` names go to the
+    tasks as a trie; of more, those that occur in a chunk are found by joining its runs of as many words as names have."""
+    if gazetteer is None:
+        found = F.slice(regex_entities(F.col("text")), 1, most)
+        return chunks.select("chunk_id", "topic", F.posexplode(found).alias("pos", "name")).withColumn("type", F.lit("CONCEPT"))
+    if gazetteer.count() <= names:
+        trie = name_trie(map(tuple, gazetteer.select("name", "type").collect()))
+        match = F.pandas_udf(lambda texts: texts.map(lambda t: known_spans(t, trie)), SPANS)
+        placed = chunks.select("chunk_id", "topic", "text", match("text").alias("known"))
+    else:
+        placed = _joined_spans(chunks, gazetteer)
+    rows = placed.select("chunk_id", "topic", F.posexplode(_chosen(F.col("known"), F.col("text"), most)).alias("pos", "e"))
+    return rows.select("chunk_id", "topic", "pos", "e.name", "e.type")
+
+
+def _joined_spans(chunks: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``chunks`` with the spans of a gazetteer of any size: a chunk's distinct word runs meet the names, then a chunk with the names
+    that occur in it (no more than it has word runs) is matched as usual."""
+    words = lambda c: F.array_remove(F.split(c, "[^A-Za-z0-9_]+"), "")
+    listed = gazetteer.select("name", "type", words(F.col("name")).alias("w")).where(F.size("w") > 0)
+    lengths = [r[0] for r in listed.select(F.size("w")).distinct().collect()]  # a few lengths
+    listed = listed.groupBy(F.array_join("w", " ").alias("run")).agg(F.min(F.struct("name", "type")).alias("entry"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*(runs(n) for n in lengths)))))
+    met = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.explode(every).alias("run")).join(listed, "run").groupBy("chunk_id").agg(F.collect_set("entry").alias("entries"))
+    match = F.pandas_udf(lambda texts, rows: texts.combine(rows, lambda t, r: [] if r is None else known_spans(t, name_trie((x["name"], x["type"]) for x in r))), SPANS)
+    both = chunks.join(met, "chunk_id", "left")
+    return both.select("chunk_id", "topic", "text", match("text", "entries").alias("known"))
 
 
 def entity_key(name: Column, kind: Column) -> Column:

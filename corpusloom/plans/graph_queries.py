@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rules
 from corpusloom.operators import graph as G
 from corpusloom.plans.registry import query, table
-from corpusloom.plans.text_queries import ENTITIES_SQL
+from corpusloom.plans.text_queries import q
 
 # Entities by a gazetteer of nation names would be empty here, so a document's distinct capitalised words of five letters
 # or more that end a line are its entities.
@@ -31,12 +32,29 @@ def edges(spark, d):
     return G.cooccurrence(G.mentions(e)).select("src", "rel", "dst").unionByName(G.entity_topic(e))
 
 
-@query("g01_extract_entities", f"""WITH x AS (SELECT doc_id AS chunk_id, source AS topic, text, {ENTITIES_SQL} AS x FROM documents), u AS (SELECT chunk_id, topic, unnest(x) AS name, generate_subscripts(x, 1) AS i FROM x), g AS (SELECT chunk_id, topic, name, min(i) AS i FROM u GROUP BY ALL), f AS (SELECT chunk_id, topic, name, row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS pos FROM g),
-a AS (SELECT chunk_id, topic, pos, name, 'CONCEPT' AS type FROM f WHERE pos < 8 UNION ALL SELECT chunk_id, topic, 8, 'token', 'SECRET' FROM x WHERE list_contains(string_split_regex(text, '\\W+'), 'token'))
-SELECT chunk_id, topic, CAST(pos AS INT) AS pos, name, type FROM a QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY pos, name) <= 8""")
+GAZETTEER = (("GNU General Public License", "LICENSE"), ("General Public License", "LICENSE"), ("Public License", "TERM"), ("Apache License", "LICENSE"), ("token", "SECRET"))
+
+
+def _spans_sql() -> str:
+    """Entities with their places, by rule: what a pattern leaves of a text says where its matches stand. The gazetteer is one
+    pattern with the longest names first."""
+    word = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])"
+    names = "|".join(n.replace(" ", r"[^A-Za-z0-9_]+") for n, _ in sorted(GAZETTEER, key=lambda x: -len(x[0].split())))
+    patterns = [*rules.ENTITIES[:3], word, rf"\b(?:{names})\b"]
+    parts = [f"SELECT chunk_id, {k} AS rule, generate_subscripts(m, 1) AS i, unnest(m) AS m, unnest(g) AS g, unnest(s[1:len(m)]) AS s FROM (SELECT chunk_id, regexp_extract_all(text, {q(p)}) AS m, regexp_extract_all(text, {q(p)}, {1 if k == 3 else 0}) AS g, string_split_regex(text, {q(p)}) AS s FROM c)" for k, p in enumerate(patterns)]
+    kinds = " ".join(f"WHEN {q(n)} THEN {q(t)}" for n, t in GAZETTEER)
+    return f"""WITH c AS (SELECT doc_id AS chunk_id, source AS topic, text FROM documents), u AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT chunk_id, rule, i, g, CAST(sum(length(s)) OVER w + sum(length(m)) OVER w - length(m) + position(g IN m) - 1 AS BIGINT) AS start FROM u WINDOW w AS (PARTITION BY chunk_id, rule ORDER BY i)),
+e AS (SELECT chunk_id, start, start + length(g) AS stop, CASE WHEN rule = 4 THEN regexp_replace(g, '[^A-Za-z0-9_]+', ' ', 'g') ELSE g END AS name, rule = 4 AS known FROM p),
+k AS (SELECT chunk_id, start, stop, name, CASE name {kinds} END AS type FROM e WHERE known),
+a AS (SELECT * FROM k UNION ALL SELECT chunk_id, start, stop, name, 'CONCEPT' FROM e WHERE NOT known AND NOT EXISTS (SELECT 1 FROM k WHERE k.chunk_id = e.chunk_id AND k.start < e.stop AND e.start < k.stop)),
+f AS (SELECT chunk_id, name, min(start) AS start, arg_min(stop, start) AS stop, arg_min(type, start) AS type FROM a GROUP BY ALL)
+SELECT chunk_id, topic, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY start, stop, name) - 1 AS INT) AS pos, name, type FROM f JOIN c USING (chunk_id) QUALIFY pos < 8"""
+
+
+@query("g01_extract_entities", _spans_sql().replace("GROUP BY ALL", "GROUP BY chunk_id, name"))
 def g01(spark, d):
-    names = table(spark, d, "documents").select("lang").distinct().select(F.lit("token").alias("name"), F.lit("SECRET").alias("type")).distinct()
-    return G.extract_entities(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic"), "text"), gazetteer=names)
+    return G.extract_entities(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic"), "text"), gazetteer=spark.createDataFrame(list(GAZETTEER), "name string, type string"))
 
 
 @query("g02_upsert_entities", sql("SELECT key, arg_max(name, chunk_id * 10 + pos) AS name, 'CONCEPT' AS type FROM k GROUP BY key"))

@@ -33,9 +33,15 @@ def events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("x01_stream_ingest", "WITH n AS (SELECT doc_id, text, unnest(range(CAST(greatest(0, ceil((length(text) - 900) / 720)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0) SELECT DISTINCT sha256(substr(text, i * 720 + 1, 900)) AS hash FROM n")
+@query("x01_stream_ingest", "WITH n AS (SELECT doc_id, text, unnest(range(CAST(greatest(0, ceil((length(text) - 900) / 720)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(min(i) AS INT) AS chunk_index, sha256(substr(text, i * 720 + 1, 900)) AS hash FROM n GROUP BY ALL")
 def x01(spark, d):
-    return X.run_once(X.stream_ingest(as_stream(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))).select("hash")
+    # Every third document comes as a longer draft first; its chunks are replaced.
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    draft = docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("draft "), "text", F.lit(" "), "text").alias("text"), F.lit(0).alias("seq"), F.lit(0).alias("trigger"))
+    last = docs.select("*", F.lit(1).alias("seq"), (F.col("doc_id") % 2 + 1).cast("int").alias("trigger"))
+    target = shared_path(spark, "chunks")
+    X.run_once(as_stream(draft.unionByName(last), "doc_id", F.col("trigger")), each=X.stream_ingest(target, shared_path(spark, "batches"), buckets=8))
+    return X.ingested(spark, target).select("doc_id", "chunk_index", "hash")
 
 
 @query("x02_stream_dedupe", "SELECT DISTINCT sha256(text) AS hash FROM documents")
@@ -60,12 +66,11 @@ def x04(spark, d):
     return ntz(X.run_once(X.stream_snapshots(s, late="1 day")), "start", "end")
 
 
-@query("x05_stream_usage", "SELECT user_id AS thread_id, event_type AS file_id, event_id % 20 AS chunk_id, count(*) AS uses FROM events GROUP BY ALL HAVING count(*) >= 3")
+@query("x05_stream_usage", "WITH e AS (SELECT user_id AS thread_id, event_type AS file_id, event_id % 20 AS chunk_id, ts, row_number() OVER w AS n, sum(value) OVER w AS score FROM events WINDOW w AS (PARTITION BY user_id, event_type, event_id % 20 ORDER BY ts, value ROWS UNBOUNDED PRECEDING)) SELECT thread_id, file_id, chunk_id, n AS uses, round(score, 6) AS score, ts AS promoted_at FROM e WHERE n = 3")
 def x05(spark, d):
-    target = shared_path(spark, "promotions")
-    s = as_stream(events(spark, d).select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("file_id"), (F.col("event_id") % 20).alias("chunk_id"), F.col("value").alias("score"), "event_id"), "event_id")
-    X.run_once(X.stream_usage(s), "update", X.promotions(target, 3))
-    return spark.read.parquet(target).groupBy("thread_id", "file_id", "chunk_id").agg(F.max("uses").alias("uses"))
+    uses = events(spark, d).select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("file_id"), (F.col("event_id") % 20).alias("chunk_id"), F.col("value").alias("score"), "ts")
+    out = X.run_once(X.stream_usage(as_stream(uses, "ts"), 3, ttl_hours=24 * 3650, late="40 days"))
+    return ntz(out.withColumn("score", F.round("score", 6)), "promoted_at")
 
 
 #: The circuit's steps one by one.

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.metrics import circuit_steps
 from corpusloom.operators.splitting import split_fixed
-from corpusloom.sources.files import shared_path
+from corpusloom.sources.files import exists, replace_keys, shared_path, stored, upsert_into
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 4) -> DataFrame:
@@ -30,11 +30,37 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return None if each else spark.read.schema(stream.schema).parquet(out)
 
 
-def stream_ingest(docs: DataFrame, size: int = 900, overlap: int = 180) -> DataFrame:
-    """Incremental ingestion of ``(doc_id, text)``: chunks whose hash has not been seen. The hashes are state, dealt to
-    the tasks by hash, so a batch does not read what is stored; the file sink's log makes a batch count once."""
-    chunks = split_fixed(docs, size, overlap).withColumn("hash", F.sha2("chunk_text", 256))
-    return chunks.dropDuplicates(["hash"])
+def seen_batch(spark: SparkSession, log: str, number: int) -> bool:
+    """Whether a batch is in the log of those that are done (a Parquet folder of numbers)."""
+    return exists(spark, log) and bool(spark.read.parquet(log).where(F.col("batch") == number).limit(1).count())
+
+
+def stream_ingest(target: str, log: str, size: int = 900, overlap: int = 180, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """The batch writer of an incremental ingestion of ``(doc_id, text, seq)``: documents are cut into chunks, a chunk that repeats
+    within its document is kept once, and a document's chunks replace those of its older versions (a newer one in the table stays).
+
+    The table at ``target`` is bucketed by document, and a batch reads and writes only its documents' buckets (``upsert_into``). A
+    batch that is in the log is not applied again; one that failed before it was logged is, which gives the same rows. The stream
+    holds no state. Documents with an empty text keep no chunks of theirs; those without an id or a text are skipped."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if seen_batch(spark, log, number):
+            return
+        docs = stored(batch.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.max_by("text", "seq").alias("text"), F.max("seq").alias("seq")), "docs")
+        chunks = split_fixed(docs, size, overlap).withColumn("hash", F.sha2("chunk_text", 256))
+        first = chunks.groupBy("doc_id", "hash").agg(F.min("chunk_index").alias("chunk_index"), F.first("chunk_text").alias("chunk_text"))
+        # A row without a chunk says which version of a document is the newest, also where nothing is left of it.
+        rows = docs.select("doc_id", "seq").join(first, "doc_id", "left").select("doc_id", "seq", "chunk_index", "chunk_text", "hash")
+        upsert_into(target, rows, "doc_id", replace_keys, buckets)
+        spark.createDataFrame([(number,)], "batch long").write.mode("append").parquet(log)
+
+    return write
+
+
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """``(doc_id, chunk_index, chunk_text, hash, seq)`` of the table that ``stream_ingest`` keeps."""
+    return spark.read.parquet(target).where("hash IS NOT NULL").select("doc_id", "chunk_index", "chunk_text", "hash", "seq")
 
 
 def stream_dedupe(docs: DataFrame, ttl: str = "1 day") -> DataFrame:
@@ -53,18 +79,32 @@ def stream_snapshots(messages: DataFrame, idle: str = "30 minutes", late: str =
     return messages.withWatermark("ts", late).groupBy(F.session_window("ts", idle).alias("w"), "conv_id").agg(F.count("*").alias("n")).select("conv_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_usage(uses: DataFrame) -> DataFrame:
-    """Running usage of every chunk, for update mode; ``promotions`` takes its batches."""
-    return uses.groupBy("thread_id", "file_id", "chunk_id").agg(F.sum("score").alias("score"), F.count("*").alias("uses"))
-
+def stream_usage(uses: DataFrame, threshold: int, ttl_hours: int = 24 * 30, late: str = "10 minutes") -> DataFrame:
+    """``(thread_id, file_id, chunk_id, score, ts)`` to one event for each chunk, when it is used for the ``threshold``-th time.
 
-def promotions(target: str, threshold: int) -> Callable[[DataFrame, int], None]:
-    """The batch writer that notes chunks at or over the threshold."""
+    State is a chunk's number of uses and sum of scores up to then, and afterwards that it has been promoted. It is dropped when the
+    watermark is ``ttl_hours`` past the last use; a chunk that is used again later starts anew. Events of a trigger are taken in
+    the order of their times; the file sink's log makes a batch count once."""
+    keys = ["thread_id", "file_id", "chunk_id"]
+    kinds = dict(uses.dtypes)
+    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", uses long, score double, promoted_at timestamp"
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.where(F.col("uses") >= threshold).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "score"])
+        need = threshold - n
+        if 0 < need <= len(rows):
+            upto = rows.iloc[:need]
+            yield pd.DataFrame([(*key, threshold, total + float(upto["score"].sum()), upto["ts"].iloc[-1])], columns=[*keys, "uses", "score", "promoted_at"])
+        n, total = min(threshold, n + len(rows)), 0.0 if need <= len(rows) else total + float(rows["score"].sum())
+        last = max(last, int(rows["ts"].iloc[-1].timestamp() * 1000))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(max(last + ttl_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
 
-    return write
+    return uses.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_circuit(events: DataFrame, threshold: int = 5, reset: float = 60.0, late: str = "10 minutes") -> DataFrame:
