@@ -83,6 +83,8 @@ def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 SEEDS, ROUNDING = 20, 2e-6
 #: Terms of queries that are broadcast, so that other words of the texts are not shuffled.
 WANTED = 500_000
+#: Rows of queries' terms and their documents up to which all are scored; beyond that bounds decide which.
+PLAIN = 10_000_000
 
 
 def postings(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -114,32 +116,44 @@ def _kth(scores: DataFrame, k: int) -> DataFrame:
     return top(scores, k, F.desc("part"), F.col("id")).where(F.col("rank") == k).select("query_id", F.col("part").alias("bar"))
 
 
+def _looked_up(listed: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """What each term of ``asked`` adds to the given pairs ``(query_id, id)``; only the postings of their documents are joined."""
+    ids = stored(pairs.select("id").distinct(), "ids")
+    near = listed.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "id", "left_semi")
+    return pairs.select("query_id", "id").join(asked.select("query_id", "term", "idf"), "query_id").join(near, ["term", "id"]).select("query_id", "id", (F.col("idf") * F.col("g")).alias("part"))
+
+
 def essential_terms(listed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """``asked`` with ``essential``: whether a document may be among a query's first ``k`` without a term that comes before this
     one (by bounds, the greatest first). Documents with other terms only have too small a sum of bounds (MaxScore). The
-    threshold is the k-th best score by the rarest terms alone."""
+    threshold is the k-th best score of the documents that are best by the rarest terms."""
     w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
     up = Window.partitionBy("query_id").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     asked = asked.withColumns({"place": F.row_number().over(w), "met": F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, 0)), "rest": F.sum("bound").over(up)})
     seeds = asked.where((F.col("place") == 1) | (F.col("met") <= SEEDS * k))
-    out = asked.join(_kth(_partial(listed, seeds), k), "query_id", "left")
+    good = stored(top(_partial(listed, seeds), 4 * k, F.desc("part"), F.col("id")).select("query_id", "id"), "seeds")
+    full = _looked_up(listed, good, asked).groupBy("query_id", "id").agg(F.sum("part").alias("part"))
+    out = asked.join(_kth(full, k), "query_id", "left")
     essential = F.col("rest") >= F.coalesce("bar", F.lit(0.0)) - ROUNDING
     return stored(out.select("query_id", "term", "df", "idf", "bound", essential.alias("essential")), "essential")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``queries(query_id, text)``, ``chunks(id, text)``; exact. Essential terms give the candidates of a query. Those that the
-    bounds of its other terms could still lift to the k-th best score are completed by looking up (term, candidate), so a word
-    that most chunks hold costs its rows of the index, not one for each query and chunk. Words are split at white space."""
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, plain: int = PLAIN) -> DataFrame:
+    """``queries(query_id, text)``, ``chunks(id, text)``; exact. Words are split at white space. If all terms of all queries have
+    over ``plain`` postings together, essential terms give the candidates of a query. Those that the bounds of its other terms
+    could still lift to the k-th best score are completed by looking up (term, candidate), so a word that most chunks hold
+    costs its rows of the index, not one for each query and chunk."""
     listed, asked = postings(queries, chunks, k1, b)
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= plain:
+        scored = _partial(listed, asked).select("query_id", "id", F.round("part", 6).alias("score"))
+        return top(scored, k, F.desc("score"), F.col("id"))
     asked = essential_terms(listed, asked, k)
     first = stored(_partial(listed, asked.where("essential")), "candidates")
     more = asked.where("NOT essential")
     slack = more.groupBy("query_id").agg(F.sum("bound").alias("slack"))
     likely = first.join(slack, "query_id", "left").join(_kth(first, k), "query_id", "left")
-    likely = likely.where(F.col("part") + F.coalesce("slack", F.lit(0.0)) >= F.coalesce("bar", F.lit(0.0)) - ROUNDING).select("query_id", "id", "part")
-    rest = likely.select("query_id", "id").join(more.select("query_id", "term", "idf"), "query_id").join(listed, ["term", "id"]).select("query_id", "id", (F.col("idf") * F.col("g")).alias("part"))
-    scored = likely.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    likely = stored(likely.where(F.col("part") + F.coalesce("slack", F.lit(0.0)) >= F.coalesce("bar", F.lit(0.0)) - ROUNDING).select("query_id", "id", "part"), "likely")
+    scored = likely.unionByName(_looked_up(listed, likely, more)).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scored, k, F.desc("score"), F.col("id"))
 
 

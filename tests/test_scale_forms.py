@@ -179,7 +179,8 @@ def test_bm25_bounds(spark):
                 if f := tf[i][w]:
                     scores[i] = scores.get(i, 0) + math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words[i]) / mean))
         want += [(q, r, i) for r, (i, _) in enumerate(sorted(((i, round(s, 6)) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:5], 1)]
-    assert sorted((r.query_id, r["rank"], r.id) for r in R.bm25(asked, chunks, 5).collect()) == sorted(want)
+    for plain in (0, R.PLAIN):
+        assert sorted((r.query_id, r["rank"], r.id) for r in R.bm25(asked, chunks, 5, plain=plain).collect()) == sorted(want)
     # What is joined for all queries does not hold the words that every chunk has, unless a query has no others.
     listed, terms = R.postings(asked, chunks)
     rows = R.essential_terms(listed, terms, 5).collect()
