@@ -7,9 +7,10 @@ expression over its tags) is merged in levels - within a task's batch, by salted
 are shuffled.
 
 The wrapper decides what a host's article is. Varying text outside links counts for an element, links and text that is
-constant over the host's pages count against it; the element with the highest sum is the article, an ``article`` or ``main``
-element before all others. Of an article that is not marked so, the constant and linked elements before its first and after its
-last varying child are template and are cut. Nothing here recurses: pages of any depth are read.
+constant over the host's pages count against it; the element with the highest sum is the article. An ``article`` or ``main`` element
+comes before others only if its own sum is nearly as high, or if the host has too few pages to tell. Of an article that is
+not marked so, the constant and linked elements before its first and after its last varying child are template and are cut.
+Nothing here recurses: pages of any depth are read.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ TEXT_TAGS = frozenset("article main p h1 h2 h3".split())
 VETO = 10
 #: Text is template if it is the same on at least so many pages.
 EVIDENCE = 3
+#: The part of the highest sum that a marked element of a host with so many pages must have for its mark to count.
+MARK = 0.95
 #: Elements with more kinds of children have them merged by tag ("div.*"), and beyond as many tags into one kind ("*"): less
 #: exact, but nothing is left out.
 KINDS = 64
@@ -391,14 +394,16 @@ def plan(w: Wrapper) -> dict:
     nothing there) and ``cut`` (the article's parts in order, with whether they are repeated and whether they are template)."""
     keep = vetoed(w)
     score = _scores(w, keep)
+    may = [k for k, _ in _walk(w, lambda k: not k.named or k.label in keep) if k.label != "#" and not (k.named and k.label not in keep) and score[id(k)] > 0]
+    may = [k for k in may if _tag(k.label) in MAIN or _tag(k.label) in CONTAINERS and not k.repeated or "-" in _tag(k.label)]
+    # Where there is evidence, a mark only counts with nearly as high a sum as the best has.
+    least = MARK * max((score[id(k)] for k in may), default=0) if w.pages >= EVIDENCE else 0
+    able = {id(k) for k in may}
     best, path, trail = None, [], []
     for k, depth in _walk(w, lambda k: not k.named or k.label in keep):
         trail[depth:] = [k]
-        if k.label == "#" or k.named and k.label not in keep or score[id(k)] <= 0:
-            continue
-        marked = _tag(k.label) in MAIN
-        if marked or _tag(k.label) in CONTAINERS and not k.repeated or "-" in _tag(k.label):
-            rank = (marked, score[id(k)], depth)
+        if id(k) in able:
+            rank = (_tag(k.label) in MAIN and score[id(k)] >= least, score[id(k)], depth)
             if best is None or rank > best[0]:
                 best, path = (rank, k), [x.label for x in trail[1:]]
     if best is None:

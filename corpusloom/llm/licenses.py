@@ -109,16 +109,17 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
     """One row for each row of ``docs``: ``(id_col, license_id, n_notices, notices)``.
 
     ``license_id``: the known license whose canonical form is the whole text's, null if none. ``notices``: distinct known
-    licenses of single lines in ascending order, and ``n_notices`` the number of such lines. Lines are looked up if they
-    hold "licen" in any case, as every notice does. Null and empty texts, and texts of punctuation only, match nothing.
+    licenses of single lines in ascending order, and ``n_notices`` the number of such lines. Of the built-in table only lines that
+    hold "licen" in any case are looked up, as every notice does; of a table of one's own all lines are. Null and empty texts, and texts of punctuation only, match nothing.
     Rows are judged alone, so nulls and repeats among ids do not matter; an empty ``docs`` or ``licenses`` gives no matches.
     """
     table = digests(licenses) if licenses is not None else built_in(docs.sparkSession)
-    lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike("(?i)licen"))
+    may = "(?i)licen" if licenses is None else r"[^\p{P}\p{S}\s\p{Z}]"
+    lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(may))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     # Rows of one key are equal, so they have the same notices.
     rows = rows.withColumns({"key": row_key(F.col("id"), F.col("t")), "whole": F.sha2(canonical(F.col("t")), 256)})
-    each = rows.where(F.col("t").rlike("(?i)licen")).dropDuplicates(["key"]).select("key", F.explode(lines).alias("line"))
+    each = rows.where(F.col("t").rlike(may)).dropDuplicates(["key"]).select("key", F.explode(lines).alias("line"))
     each = each.select("key", F.sha2(canonical(F.col("line")), 256).alias("d")).join(table.toDF("d", "notice"), "d")
     each = each.groupBy("key").agg(F.count("*").alias("n_notices"), F.array_sort(F.collect_set("notice")).alias("notices"))
     rows = rows.select("id", "key", "whole").join(table.toDF("whole", "license_id"), "whole", "left").join(each, "key", "left")
