@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.retrieval import cosine
+from corpusloom.sources.files import stored
 
 
 def _sources(by: str = "rank"):
@@ -147,10 +148,18 @@ def fallback_hypothesis(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.left(F.min_by("text", "rank"), F.lit(300)).alias("hypothesis"))
 
 
-def evidence_report(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """The whole pipeline: conflicts, their resolution, confidence, escalation and answer of every query."""
+def find_conflicts(hits: DataFrame) -> DataFrame:
+    """E1 and E2 as rows ``(query_id, type, note)``. They are stored, as all that follows reads them several times."""
     years, status = year_conflicts(hits), status_conflicts(hits)
-    conflicts = years.select("query_id", F.lit("year_discrepancy").alias("type"), F.format_string("Year %d against %d", "stale_year", "current_year").alias("note")).unionByName(status.select("query_id", F.lit("vigente_conflict").alias("type"), F.lit("Current and obsolete sources").alias("note")))
+    rows = years.select("query_id", F.lit("year_discrepancy").alias("type"), F.format_string("Year %d against %d", "stale_year", "current_year").alias("note"))
+    return stored(rows.unionByName(status.select("query_id", F.lit("vigente_conflict").alias("type"), F.lit("Current and obsolete sources").alias("note"))), "conflicts")
+
+
+def evidence_report(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """The whole pipeline: conflicts, their resolution, confidence, escalation and answer of every query. A query's hits are
+    bounded (R17) before, and stored here, since every step reads them."""
+    hits = stored(hits, "hits")
+    conflicts = find_conflicts(hits)
     resolved = resolve_conflicts(conflicts, hits)
     verdict = escalate(confidence_heuristic(queries, hits, conflicts), resolved)
     return verdict.join(structured_answer(hits, conflicts), "query_id", "left")

@@ -157,8 +157,7 @@ def marked(spark, d):
 
 
 def conflicts(spark, d):
-    h = marked(spark, d)
-    return E.year_conflicts(h).select("query_id", F.lit("year_discrepancy").alias("type")).unionByName(E.status_conflicts(h).select("query_id", F.lit("vigente_conflict").alias("type")))
+    return E.find_conflicts(marked(spark, d)).select("query_id", "type")
 
 
 @query("e01_year_conflicts", f"WITH {EH}, {YC} SELECT * FROM yc")
