@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from pathlib import Path
@@ -28,11 +29,11 @@ from corpusloom.llm.sentencepiece_bpe import Vocabulary, _vocabulary
 from corpusloom.operators.joins import join_counted
 
 #: A chunk is closed at so many documents, or so many (pair, document) entries.
-SLOTS, ENTRIES = 1 << 16, 1 << 19
+SLOTS, ENTRIES = 1 << 16, 1 << 18
 #: Pairs that are broadcast with their counts (under 30 bytes each); beyond that they are joined.
 MOST = 1 << 19
 #: Words whose ids a Python worker remembers.
-CACHE = 1 << 20
+CACHE = 1 << 18
 #: Bytes that begin a character other than white space, so that a space before them begins a token of A.
 SOLID = np.zeros(256, bool)
 SOLID[[*range(33, 127), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
@@ -43,6 +44,7 @@ class ByteLevel:
     """A byte-level BPE model (tokenizers), run over the distinct parts of a batch that it never joins."""
 
     def __init__(self, model: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         m = json.loads(model)
@@ -63,7 +65,7 @@ class ByteLevel:
         self.out = np.frombuffer(b"".join(raw), np.uint8)
         self.size = np.array([len(r) for r in raw], np.int64)
         self.at = np.cumsum(self.size) - self.size
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.seen: dict[bytes, bytes] = {}
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin. A row is cut before each space that a solid character follows."""
@@ -76,15 +78,15 @@ class ByteLevel:
         ends = np.append(starts[1:], len(data))
         codes, first = _text.unique_spans(data, starts, ends)
         parts = [data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.seen) + len(parts) > CACHE:
+        if len(self.seen) > CACHE:
             self.seen.clear()
         new = [p for p in parts if p not in self.seen]
         for i in range(0, len(new), 4096):
             for p, e in zip(new[i : i + 4096], self.tokenizer.encode_batch([p.decode() for p in new[i : i + 4096]], add_special_tokens=False)):
-                self.seen[p] = np.array(e.ids, np.int64)
+                self.seen[p] = np.array(e.ids, np.uint32).tobytes()
         rows = [self.seen[p] for p in parts]
-        size = np.array([len(r) for r in rows], np.int64)
-        ids = np.concatenate(rows)
+        size = np.array([len(r) for r in rows], np.int64) // 4
+        ids = np.frombuffer(b"".join(rows), np.uint32).astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size[codes])])
         return _text.gather(ids, (np.cumsum(size) - size)[codes], size[codes]), total[np.searchsorted(starts, offs)]
 
