@@ -250,7 +250,6 @@ def e11(spark, d):
     memory = table(spark, d, "conversations").select((F.col("conv_id") * 50).alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("source"), F.lit(0.5).alias("score"), "text")
     sums = a.where("query_id % 100 = 0").select("query_id", percent_of(F.concat(F.lit("2 % of "), F.col("query_id").cast("string")))["value"].alias("result"))
     code = a.where("query_id % 100 = 50").select("query_id", F.inline(F.array(code_question_profile(F.lit("bug and error in python"))))).select("query_id", "language", F.lit(None).cast("string").alias("result"), "issues")
-    years, status = E.year_conflicts(hits), E.status_conflicts(hits)
-    notes = years.select("query_id", F.format_string("Year %d against %d", "stale_year", "current_year").alias("note")).unionByName(status.select("query_id", F.lit("Current and obsolete sources").alias("note")))
+    notes = E.find_conflicts(hits).select("query_id", "note")
     guesses = a.select("query_id", F.posexplode(F.array(F.lit("one"), F.lit("two"))).alias("place", "hypothesis")).withColumn("place", F.col("place") + 1)
     return E.merge_evidence(a, hits, memory, sums, code, notes, guesses).select("query_id", F.sha2("summary", 256).alias("summary_sha256"))
