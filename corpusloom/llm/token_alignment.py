@@ -33,7 +33,7 @@ SLOTS, ENTRIES = 1 << 16, 1 << 18
 #: Pairs that are broadcast with their counts (under 30 bytes each); beyond that they are joined.
 MOST = 1 << 19
 #: Words whose ids a Python worker remembers.
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: Bytes that begin a character other than white space, so that a space before them begins a token of A.
 SOLID = np.zeros(256, bool)
 SOLID[[*range(33, 127), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
