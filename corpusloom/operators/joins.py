@@ -31,8 +31,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, share: int = 1000, l
     return mine.drop("__parts").join(theirs.drop("__parts"), [on, "__salt"]).drop("__salt")
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str, share: int = 1000, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row for each key and says in ``count`` how many rows hold it.
+def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, share: int = 1000, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key (of one or more columns) and says in ``count`` how many
+    rows hold it.
 
     Keys with over 1/``share`` of all rows, fewer than ``share`` of them, are broadcast, so that their rows stay where they
     are; the others are joined by a shuffle, in which no key has more than that part of the rows. With ``how="left"`` rows
@@ -42,3 +43,10 @@ def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str, share:
     hot, cold = table.where(often).drop(count), table.where(~often).drop(count)
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
+
+
+def left_join_present(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Left join of ``rows`` with a ``table`` of one row for each key, in which rows with a null key stay where they are
+    instead of meeting in one task. ``rows`` is read twice."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name != on]
+    return rows.where(F.col(on).isNotNull()).join(table, on, "left").unionByName(rows.where(F.col(on).isNull()).select("*", *empty))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import cells
 from corpusloom.operators.joins import salted_join
+from corpusloom.operators.splitting import split_fixed
 from corpusloom.sources.files import stored
 
 def cosine(a: Column, b: Column) -> Column:
@@ -355,6 +356,22 @@ def unique_sources(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "source").agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("rank"))
 
 
+def best_chunks(hits: DataFrame, docs: DataFrame, queries: DataFrame, size: int = 900, overlap: int = 180) -> DataFrame:
+    """``hits(query_id, id, rank, score)`` with ``source`` and, as ``text``, the chunk of the document ``docs(id, source, text)``
+    that holds the most distinct words of the query's text; ties, and queries without a text, take the earlier chunk. Documents
+    without a text have no chunk and go. Only documents that are hit are split; of a document's chunks one goes through the shuffle
+    for each of its queries."""
+    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(c), r"\s+"), ""))
+    found = docs.join(hits.select("id").distinct(), "id", "left_semi")
+    chunks = split_fixed(found.select(F.struct("id", "source").alias("doc_id"), "text"), size, overlap)
+    chunks = chunks.select("doc_id.*", "chunk_index", "chunk_text", words("chunk_text").alias("held"))
+    asked = queries.select("query_id", words("text").alias("words"))
+    scored = hits.select("query_id", "id", "rank", "score").join(asked, "query_id", "left").join(chunks, "id")
+    n = F.coalesce(F.size(F.array_intersect("words", "held")), F.lit(0))
+    best = scored.groupBy("query_id", "id", "rank", "score").agg(F.max_by(F.struct("source", "chunk_text"), F.struct(n, -F.col("chunk_index"))).alias("best"))
+    return best.select("query_id", "id", "rank", "score", "best.source", F.col("best.chunk_text").alias("text"))
+
+
 def build_context(hits: DataFrame) -> DataFrame:
     """``(query_id, context)``: numbered blocks of text joined by a line of dashes."""
     block = F.format_string("[Document %d] (Source: %s, Score: %.3f)\n%s", "rank", "source", "score", "text")

@@ -82,11 +82,11 @@ def a10(spark, d):
     return A.filter_log_lines(lines(spark, d), NOW).select("tool", "event_id", "level", "date")
 
 
-EXEC = "ex AS (SELECT DISTINCT event_type AS file, event_id // 8 AS line FROM events WHERE event_id % 8 < 5)"
+EXEC = "ex AS (SELECT DISTINCT event_type AS file, event_id // 8 AS line FROM events)"
 
 
 def executed(spark, d):
-    return table(spark, d, "events").where("event_id % 8 < 5").select(F.col("event_type").alias("file"), F.floor(F.col("event_id") / 8).alias("line"))
+    return table(spark, d, "events").select(F.col("event_type").alias("file"), F.floor(F.col("event_id") / 8).alias("line"))
 
 
 @query("a11_consecutive_blocks", f"WITH {EXEC}, i AS (SELECT *, line - row_number() OVER (PARTITION BY file ORDER BY line) AS i FROM ex) SELECT file, min(line) AS start_line, max(line) AS end_line FROM i GROUP BY file, i")
@@ -94,18 +94,18 @@ def a11(spark, d):
     return A.consecutive_blocks(executed(spark, d))
 
 
-SYMBOLS = "sy AS (SELECT event_type AS file, 's' || event_id AS symbol, event_id // 8 AS start_line, event_id // 8 + user_id % 6 AS end_line FROM events WHERE event_id % 11 = 0)"
+SYMBOLS = "sy AS (SELECT event_type AS file, 's' || event_id AS symbol, event_id // 8 AS start_line, event_id // 8 + user_id % 6 AS end_line FROM events)"
 
 
 @query("a12_symbol_coverage", f"WITH {EXEC}, {SYMBOLS}, n AS (SELECT sy.*, count(line) AS executed FROM sy LEFT JOIN ex ON sy.file = ex.file AND line BETWEEN start_line AND end_line GROUP BY ALL) SELECT file, symbol, executed, round(executed / (end_line - start_line + 1), 6) AS ratio, CASE WHEN executed > 0 THEN 'touched' ELSE 'unused' END AS status FROM n")
 def a12(spark, d):
-    s = table(spark, d, "events").where("event_id % 11 = 0").select(F.col("event_type").alias("file"), F.concat(F.lit("s"), "event_id").alias("symbol"), F.floor(F.col("event_id") / 8).alias("start_line"), (F.floor(F.col("event_id") / 8) + F.col("user_id") % 6).alias("end_line"))
+    s = table(spark, d, "events").select(F.col("event_type").alias("file"), F.concat(F.lit("s"), "event_id").alias("symbol"), F.floor(F.col("event_id") / 8).alias("start_line"), (F.floor(F.col("event_id") / 8) + F.col("user_id") % 6).alias("end_line"))
     return A.symbol_coverage(s, executed(spark, d))
 
 
-@query("a13_correlate_findings", f"WITH {EXEC}, f AS (SELECT event_type AS file, event_id // 8 AS line, max(user_id % 100) AS confidence FROM events GROUP BY ALL), o AS (SELECT f.* FROM f SEMI JOIN ex USING (file, line)), l AS (SELECT o.file, o.line, count(*) / 11 * 100 AS local FROM o JOIN ex e ON o.file = e.file AND abs(o.line - e.line) <= 5 GROUP BY ALL), t AS (SELECT file, line, confidence, round((confidence + local) / 2, 6) AS total FROM o JOIN l USING (file, line)) SELECT *, CASE WHEN total >= 80 THEN 'high' WHEN total >= 60 THEN 'medium' ELSE 'low' END AS level FROM t")
+@query("a13_correlate_findings", f"WITH {EXEC}, f AS (SELECT event_type AS file, (event_id + 4) // 8 AS line, max(user_id % 100) AS confidence FROM events GROUP BY ALL), o AS (SELECT f.* FROM f SEMI JOIN ex USING (file, line)), l AS (SELECT o.file, o.line, count(*) / 11 * 100 AS local FROM o JOIN ex e ON o.file = e.file AND abs(o.line - e.line) <= 5 GROUP BY ALL), t AS (SELECT file, line, confidence, round((confidence + local) / 2, 6) AS total FROM o JOIN l USING (file, line)) SELECT *, CASE WHEN total >= 80 THEN 'high' WHEN total >= 60 THEN 'medium' ELSE 'low' END AS level FROM t")
 def a13(spark, d):
-    f = table(spark, d, "events").groupBy(F.col("event_type").alias("file"), F.floor(F.col("event_id") / 8).alias("line")).agg(F.max(F.col("user_id") % 100).alias("confidence"))
+    f = table(spark, d, "events").groupBy(F.col("event_type").alias("file"), F.floor((F.col("event_id") + 4) / 8).alias("line")).agg(F.max(F.col("user_id") % 100).alias("confidence"))
     return A.correlate_findings(f, executed(spark, d))
 
 

@@ -200,9 +200,9 @@ def u04(spark, d):
     return U.pareto_chunks(uses(spark, d))
 
 
-@query("u05_promote", f"WITH {PARETO_U} SELECT DISTINCT chunk_id, 'temp_' || thread_id AS promoted_from, 'default' AS tenant FROM pc WHERE thread_id % 2 = 0")
+@query("u05_promote", f"WITH {PARETO_U} SELECT DISTINCT chunk_id, 'temp_' || thread_id AS promoted_from, 'default' AS tenant FROM pc")
 def u05(spark, d):
-    c = table(spark, d, "events").where("user_id % 2 = 0").select(F.concat(F.lit("temp_"), "user_id").alias("tenant"), (F.col("event_id") % 20).alias("chunk_id")).distinct()
+    c = table(spark, d, "events").select(F.concat(F.lit("temp_"), "user_id").alias("tenant"), (F.col("event_id") % 20).alias("chunk_id")).distinct()
     return U.promote(c, U.pareto_chunks(uses(spark, d)))
 
 

@@ -282,11 +282,11 @@ def r27(spark, d):
     return R.rank_evidence(f).select("query_id", "id", "rank")
 
 
-@query("r28_multi_query_union", f"""WITH {BM25}, plan AS (SELECT i AS query_id, i + j AS item_id, j AS pos FROM (SELECT item_id AS i FROM benchmark WHERE item_id % 4 = 0), range(3) r(j)),
+@query("r28_multi_query_union", f"""WITH {BM25}, plan AS (SELECT i AS query_id, i + j AS item_id, j AS pos FROM (SELECT item_id AS i FROM benchmark), range(3) r(j)),
 u AS (SELECT p.query_id, id, min(pos * 1000 + rank) AS at_, arg_min(score, pos * 1000 + rank) AS score FROM plan p JOIN kw ON kw.query_id = item_id GROUP BY ALL) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at_, id) AS INT) AS rank FROM u""")
 def r28(spark, d):
     b = table(spark, d, "benchmark")
-    plan = b.where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.array(*((F.col("item_id") + j).cast("string") for j in range(4))).alias("queries"))
+    plan = b.select(F.col("item_id").alias("query_id"), F.array(*((F.col("item_id") + j).cast("string") for j in range(4))).alias("queries"))
     h = keyword_hits(spark, d).withColumn("text", F.col("query_id").cast("string")).drop("query_id")
     return R.multi_query_union(plan, h)
 
@@ -342,9 +342,11 @@ def r34(spark, d):
     return R.apply_grants(c, ch).select("id", "changed", "visibility", F.array_join("allowed_user_ids", ",").alias("acl"))
 
 
-@query("flagship_answer_context", RRF + f", r AS (SELECT query_id, id, rrf AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, at_) AS INT) AS rank FROM f QUALIFY rank <= 5), x AS (SELECT r.*, source, substr(text, 1, 900) AS text FROM r JOIN documents ON doc_id = id) SELECT query_id, {CONTEXT} AS context FROM x GROUP BY query_id")
+@query("flagship_answer_context", RRF + f""", r AS (SELECT query_id, id, rrf AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, at_) AS INT) AS rank FROM f QUALIFY rank <= 5), c AS (SELECT r.*, source, i, substr(text, i * 720 + 1, 900) AS text FROM r JOIN (SELECT doc_id AS id, source, text, unnest(range(CAST(greatest(0, ceil((length(text) - 900) / 720)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0) USING (id)),
+a AS (SELECT query_id * 50 AS query_id, list(term) AS words FROM asked GROUP BY query_id), x AS (SELECT c.query_id, rank, score, source, text, coalesce(len(list_intersect(words, list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''))), 0) AS n, i FROM c LEFT JOIN a USING (query_id) QUALIFY row_number() OVER (PARTITION BY c.query_id, c.id ORDER BY n DESC, i) = 1) SELECT query_id, {CONTEXT} AS context FROM x GROUP BY query_id""")
 def flagship(spark, d):
-    """Vector and keyword retrieval for all queries, fused, with the first chunk of each of the five best as context."""
+    """Vector and keyword retrieval for all queries, fused, with the best chunk of each of the five best as context."""
     best = fused(spark, d).where("rank <= 5").withColumnRenamed("rrf", "score")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.left("text", F.lit(900)).alias("text"))
-    return R.build_context(best.join(docs, "id"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    asked = table(spark, d, "benchmark").select((F.col("item_id") * 50).alias("query_id"), "text")
+    return R.build_context(R.best_chunks(best, docs, asked))

@@ -158,6 +158,27 @@ def test_frequent_keys_are_dealt_to_several_tasks(spark):
     assert J.join_counted(left, table.withColumn("n", F.col("count")), "k", "n", share=4).count() == 3000
 
 
+def test_joins_on_two_keys_and_on_null_keys(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 1, "c"), (2, 1, "d")], "x long, y long, v string")
+    table = spark.createDataFrame([(1, 1, 2, "p"), (1, 2, 1, "q")], "x long, y long, n long, w string")
+    for share in (2, 1000):
+        got = J.join_counted(rows, table, ["x", "y"], "n", share=share, how="left").select("v", "w")
+        assert sorted(map(tuple, got.collect())) == [("a", "p"), ("b", "q"), ("c", "p"), ("d", None)]
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (3, "d")], "x long, v string")
+    table = spark.createDataFrame([(1, "p", [1]), (None, "never", [2])], "x long, w string, z array<int>")
+    got = J.left_join_present(rows, table, "x").select("x", "v", "w", "z")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "x", "left").select("x", "v", "w", "z").collect()))
+
+
+def test_best_chunks(spark):
+    docs = spark.createDataFrame([(1, "s", "x" * 1000 + " the red fox " + "y" * 800 + " red fox"), (2, "t", "short text"), (3, "u", None), (4, "v", "fox red " * 300)], "id long, source string, text string")
+    hits = spark.createDataFrame([(q, i, i, 0.5) for q in (7, 8) for i in (1, 2, 3, 4)], "query_id long, id long, rank int, score double")
+    asked = spark.createDataFrame([(7, "The RED red fox  fox")], "query_id long, text string")
+    got = {(r.query_id, r.id): r.text for r in R.best_chunks(hits, docs, asked).collect()}
+    text = docs.where("id = 1").first().text
+    assert got == {(7, 1): text[720:1620], (7, 2): "short text", (7, 4): ("fox red " * 300)[:900], (8, 1): text[:900], (8, 2): "short text", (8, 4): ("fox red " * 300)[:900]}
+
+
 def test_edges_of_names_that_hold_keywords(spark):
     names = ["Alpha Beta", "beta", "ALPHABET", "x", "", "Ünï cöde", "be"]
     entities = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(names)], "key string, name string")
