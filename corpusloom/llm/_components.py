@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._storage import materialise
+from corpusloom.operators.joins import join_counted
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -19,15 +20,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Only nodes with an edge to another node appear. Self loops, repeated edges, either direction and nulls are
     allowed; an empty table gives an empty table. Each step is two joins on a node id, with minimums combined before
-    the shuffle; the number of steps grows with the logarithm of the size of a component.
+    the shuffle; a node with a great part of all edges is broadcast with its minimum instead. The number of steps grows with
+    the logarithm of the size of a component.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialise(edges, "edges")
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "low")
+        large = join_counted(both, low, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = join_counted(large, low, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm import _text
 from corpusloom.llm._components import connected_components
 from corpusloom.llm._storage import materialise, width
+from corpusloom.operators.joins import join_counted, salted_join
 
 PERMUTATIONS, ROWS = 160, 8
+#: Members that a pivot may have before its pairs are dealt to several tasks.
+MEMBERS = 10_000
 #: How far a pair's share of equal signature values may lie below the threshold before its texts are not read (4.5
-#: standard deviations of 320 values), and about how many members of a bucket a tile has on either side.
-SLACK, TILE = 0.1, 1000
+#: standard deviations of 320 values), and about how many members of a bucket, and shingles in them, a tile has on either side.
+SLACK, TILE, TILE_SHINGLES = 0.1, 1000, 1 << 22
 U = np.uint64
 
 
@@ -166,10 +169,10 @@ def _rest(open_: DataFrame, info: DataFrame, texts: DataFrame, k: int, percent:
     size = F.floor(F.log("n") / math.log(100.01 / percent)).cast("int")
     near = F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("z")
     rows = rows.join(materialise(info.join(own, "rep"), "sets"), "rep").withColumn("size", size)
-    members = rows.groupBy("h", F.col("size").alias("z")).agg(F.count("*").alias("m"))
-    asking = rows.where("comp <> major").groupBy("h", "size").agg(F.count("*").alias("a")).select("h", near, "a").groupBy("h", "z").agg(F.sum("a").alias("a"))
-    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    grid = materialise(members.join(asking, ["h", "z"]).select("h", "z", tiles("a").alias("nk"), tiles("m").alias("ns")), "grid")
+    members = rows.groupBy("h", F.col("size").alias("z")).agg(F.count("*").alias("m"), F.sum("n").alias("mn"))
+    asking = rows.where("comp <> major").groupBy("h", "size").agg(F.count("*").alias("a"), F.sum("n").alias("an")).select("h", near, "a", "an").groupBy("h", "z").agg(F.sum("a").alias("a"), F.sum("an").alias("an"))
+    tiles = lambda c, n: F.greatest(F.ceil(F.col(c) / TILE), F.ceil(F.col(n) / TILE_SHINGLES)).cast("int")
+    grid = materialise(members.join(asking, ["h", "z"]).select("h", "z", tiles("a", "an").alias("nk"), tiles("m", "mn").alias("ns")), "grid")
     cols = ["rep", "comp", "n", "sketch", "grams"]
     asks = rows.where("comp <> major").select("h", near, *cols).join(grid, ["h", "z"])
     asks = asks.select("h", "z", F.expr("pmod(hash(rep), nk)").alias("k"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), *cols, F.lit(True).alias("asks"))
@@ -192,9 +195,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sig = materialise(signatures(docs, id_col, text_col, k), "signatures")
     sets = ["n", "s1", "s2"]
-    reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
-    reps = materialise(reps.select("rep", *sets, "x.bands", "x.sketch"), "reps")
-    classes = materialise(sig.select("id", *sets).join(reps.select("rep", *sets), sets, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
+    linked = F.expr("n > 0 AND id IS NOT NULL")
+    reps = sig.where(linked).groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"), F.count("*").alias("copies"))
+    reps = materialise(reps.select("rep", *sets, "x.bands", "x.sketch", "copies"), "reps")
+    # Copies of one text, rows without words and rows without an id do not meet in one task.
+    classes = join_counted(sig.where(linked).select("id", *sets), reps.select("rep", "copies", *sets), sets, "copies").select("id", "n", "rep")
+    classes = materialise(classes.unionByName(sig.where(~linked).select("id", "n", F.lit(None).cast("long").alias("rep"))), "classes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     info = reps.select("rep", "n", "sketch")
     open_ = reps.select(F.explode("bands").alias("h"), "rep")
@@ -204,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(info.toDF("a", "na", "ka"), "a").join(info.toDF("b", "nb", "kb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ka", "kb")
     pairs = materialise(pairs.mapInArrow(partial(_agreement, least=percent / 100 - SLACK), "a long, b long"), "pairs")
 
-    full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    # A pivot with many members is dealt to several tasks, each with a copy of its text.
+    full = salted_join(pairs.join(texts.toDF("a", "ta"), "a"), texts.toDF("b", "tb"), "b", least=MEMBERS, counts=pairs.groupBy("b").agg(F.count("*").alias("__n"))).select("a", "b", "ta", "tb")
     links = materialise(full.mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long"), "links")
     labels = materialise(connected_components(links), "labels")
     open_ = open_.select("h", "rep").join(labels.toDF("rep", "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -213,8 +220,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Of the first links only the components matter now.
         stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = materialise(connected_components(stars.unionByName(more)), "labels")
-    out = classes.select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    out = out.join(labels.toDF("rep", "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("rep"))
+    labels = materialise(labels.toDF("rep", "component").join(reps.select("rep", "copies"), "rep"), "labels")
+    out = join_counted(classes.where("rep IS NOT NULL"), labels, "rep", "copies", how="left").select("id", "n", F.coalesce("component", "rep").alias("rep"))
+    out = out.unionByName(classes.where("rep IS NULL").select("id", "n", F.col("id").alias("rep")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.lit(True)).alias("kept"))
 
 
