@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
 from corpusloom.llm._storage import materialise
-from corpusloom.operators.joins import join_counted, salted_join
+from corpusloom.operators.joins import join_counted, left_join_present, salted_join
 
 #: Masks for items of at least LONG words, and for shorter ones of at least 5; of items under 5 words, 80 percent are all words
 #: and the mask has no gaps. With 13 words and 80 percent, at least one
@@ -33,6 +33,8 @@ MAX_FILTER_BITS = 1 << 30
 SHIFTS = (0, 32, 17, 40)
 #: The greatest lengths of the classes of items; longer items are in the last one.
 CLASSES = (32, 128, 1024)
+#: How many words a region's seeds lie within at most (twice the longest item's, if that is more).
+SPAN = 1 << 16
 U = np.uint64
 STRETCHES = "doc long, item long, start_word long, n_words long, n_same long"
 
@@ -114,7 +116,9 @@ def _regions(batches: Iterator[pa.RecordBatch], filters: list[tuple[bytes, int]]
             pos, seed, row = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(pos, kind="stable")
             pos, seed, row = pos[order], seed[order], row[order]
-            cut = np.append(True, (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + reach))
+            # A long stretch of seeds is cut, too; every part keeps the words that its seeds' items can reach.
+            part = (pos - at[row]) // max(SPAN, 2 * reach)
+            cut = np.append(True, (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + reach) | (part[1:] != part[:-1]))
             first = np.flatnonzero(cut) if len(pos) else []
             for i, j in zip(first, [*first[1:], len(pos)]):
                 a, b = max(at[row[i]], pos[i] - reach), min(at[row[i] + 1], pos[j - 1] + reach)
@@ -202,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each row of ``docs``: ``(id_col, contaminated, n_items, items)``, the ids of the items that it copies
     in ascending order. A row without an id is not judged and counts as clean."""
     items = overlaps(docs, benchmark, id_col=id_col, **options).groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    rows = docs.select(F.col(id_col).alias("__id")).join(items, F.col("__id").cast("long") == F.col("doc"), "left")
+    rows = left_join_present(docs.select(F.col(id_col).alias("__id"), F.col(id_col).cast("long").alias("doc")), items, "doc")
     return rows.select(F.col("__id").alias(id_col), F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("CAST(array() AS array<bigint>)")).alias("items"))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
 from corpusloom.llm._storage import materialise, width
+from corpusloom.operators.joins import left_join_present
 
 U = np.uint64
 MINIMISER = 3
@@ -266,8 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows are compared by two independent 64-bit hashes (128 bits decide), in buckets of any size.
     """
     found = repeated_windows(docs, id_col, text_col, k)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.join(found, F.col("id").cast("long") == F.col("doc"), "left").select("id", "t", "runs")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
+    rows = left_join_present(rows, found, "doc").select("id", "t", "runs")
     kind = dict(docs.dtypes)[id_col]
     out = rows.mapInArrow(partial(_cover, k=k, texts=not digest), f"id {kind}, n_words long, n_removed long, kept string")
     return out.toDF(id_col, "n_words", "n_removed", "kept_sha256" if digest else "kept_text")
