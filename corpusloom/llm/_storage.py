@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.sources.files import delete_path, shared_path
 
-#: Paths made in an open ``scratch``, innermost last.
-_OPEN: list[list[str]] = []
+#: Paths made in the innermost open ``scratch``; each driver thread has its own.
+_OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     path = shared_path(spark, name)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if (made := _OPEN.get()) is not None:
+        made.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the intermediate tables that are made within, when all that needs them has been written elsewhere."""
-    _OPEN.append([])
+    token = _OPEN.set(made := [])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in made:
             delete_path(spark, path)
 
 

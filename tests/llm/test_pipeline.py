@@ -62,7 +62,16 @@ def test_stages_take_odd_rows(spark, tmp_path):
     assert ids["near_dedup"] == [x for x in every if x[0] != 6] and ids["decontamination"] == every and ids["secret_scan"] == [x for x in every]
     hidden = {r.doc_id: r.text for r in out["secret_scan"].where("text LIKE '%SECRET%'").collect()}
     assert hidden == {6: docs.where("doc_id = 6").first().text.replace("password: hunter2hunter2", "[SECRET]"), None: docs.where("doc_id IS NULL AND text IS NOT NULL").first().text.replace("token=abcdefgh", "[SECRET]")}
-    assert stages["sentencepiece"](spark, docs, "").count() == docs.count()
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+    def encoded(doc_id, text):
+        ids = model.encode(text or "", num_threads=1)
+        return doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in stages["sentencepiece"](spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted((encoded(r.doc_id, r.text) for r in docs.collect()), key=str)
 
 
 def test_empty_table(spark, tmp_path):
