@@ -67,12 +67,13 @@ def format_summary(kept: DataFrame, max_tokens: int | None = None) -> DataFrame:
 
 
 def key_quotes(messages: DataFrame, most: int = 5) -> DataFrame:
-    """M6: ``(conv_id, place, quote)``: user questions, definitive statements, and sentences with a path or a number."""
+    """M6: ``(conv_id, place, quote)``: user questions, definitive statements, and sentences with a path or a number. A message
+    in which no single sentence is one (a path across a full stop, only short sentences) gives no such quote."""
     t = F.col("text")
     sentences = F.split(t, "[.!?]")
     question = F.when((F.col("role") == "user") & F.contains(t, F.lit("?")), F.trim(F.regexp_extract(t, r"[^.!?]*\?", 0)))
-    definite = F.when((F.col("role") == "assistant") & any_of(F.lower(t), rules.DEFINITIVE), F.trim(F.filter(sentences, lambda x: F.length(F.trim(x)) > 30)[0]))
-    detail = F.when(t.rlike(r"/[^\s]+|[0-9]{2,}"), F.trim(F.filter(sentences, lambda x: x.rlike(r"/[^\s]+|[0-9]{2,}"))[0]))
+    definite = F.when((F.col("role") == "assistant") & any_of(F.lower(t), rules.DEFINITIVE), F.trim(F.get(F.filter(sentences, lambda x: F.length(F.trim(x)) > 30), F.lit(0))))
+    detail = F.when(t.rlike(r"/[^\s]+|[0-9]{2,}"), F.trim(F.get(F.filter(sentences, lambda x: x.rlike(r"/[^\s]+|[0-9]{2,}")), F.lit(0))))
     found = F.array_compact(F.array(question, definite, detail))
     each = messages.where(F.length(t) >= 20).select("conv_id", "turn", "role", F.posexplode(found).alias("pos", "q"))
     return top(each, most, F.col("turn"), F.col("pos"), keys=("conv_id",), name="place").select("conv_id", "place", F.concat("role", F.lit(": "), "q").alias("quote"))
