@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.columns import fixed
 from corpusloom.operators.retrieval import cosine
 from corpusloom.sources.files import stored
 
@@ -113,7 +114,7 @@ def merge_evidence(queries: DataFrame, hits: DataFrame, memory: DataFrame, math:
     def found(df: DataFrame, name: str) -> DataFrame:
         source = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit(" "), "source")).otherwise("")
         number = lambda x, i: F.concat(F.format_string("[%d]", i + 1), x["head"], F.lit("\n"), x["text"])
-        head = F.concat(source, F.format_string(" (score=%.2f)", F.coalesce("score", F.lit(0.0))))
+        head = F.concat(source, F.format_string(" (score=%s)", fixed(F.coalesce("score", F.lit(0.0)).cast("double"), 2)))
         rows = F.array_sort(F.collect_list(F.struct("rank", head.alias("head"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))))
         return df.groupBy("query_id").agg(section(name, F.array_join(F.transform(rows, number), "\n")))
 
