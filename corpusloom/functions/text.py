@@ -16,10 +16,11 @@ UNPRINTABLE = r"[^\P{C}\n\t]|[^\P{Z} ]"
 
 
 def first_match(text: Column, table: Iterable[tuple], default: str, value: int = 0) -> Column:
-    """The first rule of ``(value, pattern, ...)`` whose pattern occurs in the text."""
+    """The first rule of ``(value, pattern, ...)`` whose pattern occurs in the text; a pattern that takes either case does so for
+    all letters."""
     out = F.lit(default)
     for rule in reversed(list(table)):
-        out = F.when(text.rlike(rule[1]), rule[value]).otherwise(out)
+        out = F.when(text.rlike(re.sub(r"^\(\?i\)", "(?iu)", rule[1])), rule[value]).otherwise(out)
     return out
 
 

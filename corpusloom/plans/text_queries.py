@@ -109,7 +109,10 @@ INTENT5 = "CASE " + " ".join(f"WHEN {any_sql('trim(lower(text))', w)}" + (f" AND
 _project("p16_classify_intent5", "conversations", MSG, lambda: {"intent": X.classify_intent5(F.col("text"))}, f"SELECT conv_id, turn, {INTENT5} AS intent FROM conversations")
 _project("p17_use_rag", "conversations", MSG, lambda: {"use_rag": X.use_rag(X.classify_intent5(F.col("text")))}, f"SELECT conv_id, turn, {INTENT5} IN ('PERSONAL_KB', 'GENERAL_KNOWLEDGE') AS use_rag FROM conversations")
 INTENT7 = case(rules.INTENTS7, "text", "general")
-_project("p18_classify_intent7", "documents", DOC, lambda: {"intent": X.first_match(F.col("text"), rules.INTENTS7, "general")}, f"SELECT doc_id, {INTENT7} AS intent FROM documents")
+# RE2 takes ASCII word ends only ("nodo" would end before an accented letter), so its patterns name what may stand around a word.
+_letter = r"[^\p{L}\p{Nd}\p{Mn}_]"
+_intents7 = [(name, pattern.replace(r"(?i)\b", rf"(?i)(?:^|{_letter})", 1).removesuffix(r"\b") + rf"(?:$|{_letter})") for name, pattern in rules.INTENTS7]
+_project("p18_classify_intent7", "documents", DOC, lambda: {"intent": X.first_match(F.col("text"), rules.INTENTS7, "general")}, f"SELECT doc_id, {case(_intents7, 'text', 'general')} AS intent FROM documents")
 _project("p19_classify_domain", "documents", DOC, lambda: {"domain": X.first_match(F.col("text"), rules.DOMAINS, "general")}, f"SELECT doc_id, {case(rules.DOMAINS, 'text', 'general')} AS domain FROM documents")
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))"
 COMPLEXITY = rf"CASE WHEN {WORDS} > 30 OR ({has('text', rules.COMPLEX)} AND {WORDS} > 15) OR length(text) - length(replace(text, '?', '')) > 1 THEN 'high' WHEN {WORDS} > 12 OR {has('text', rules.COMPLEX)} THEN 'medium' ELSE 'low' END"
