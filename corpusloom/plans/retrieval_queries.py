@@ -291,7 +291,7 @@ def r28(spark, d):
     return R.multi_query_union(plan, h)
 
 
-@query("r29_fallback_plan", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'r' || item_id || '|s1|s2|s3' ELSE text END AS vector_queries, 'a|b|c|d|e' AS graph_focus, false AS memory_query FROM benchmark")
+@query("r29_fallback_plan", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'r' || item_id || '|s1|s2|s3' ELSE text END AS vector_queries, 'a|b|c|d|e' AS graph_focus, regexp_matches(lower(text), 'recuerdas|anteriormente|antes|previo') AS memory_query FROM benchmark")
 def r29(spark, d):
     even = F.col("item_id") % 2 == 0
     letters = lambda *x: F.array(*map(F.lit, x))
