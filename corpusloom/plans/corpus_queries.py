@@ -61,7 +61,7 @@ def s06(spark, d):
 def s07(spark, d):
     path = S.shared_path(spark, "csv")
     docs(spark, d).select("doc_id", "lang", F.regexp_replace("text", r'[\n\r"\\]', " ").alias("text")).write.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
-    rows = S.read_csv_docs(spark, path).select(F.from_json("text", "doc_id string, lang string, text string").alias("r"))
+    rows = S.read_csv_docs(spark, path, most=None).select(F.from_json("text", "doc_id string, lang string, text string").alias("r"))
     return rows.select("r.doc_id", "r.lang", F.sha2("r.text", 256).alias("text_sha256"))
 
 
