@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact(column: str) -> Column:
+    """Numbers of six places as decimals, whose sum is the same in any order."""
+    return F.col(column).cast("decimal(18,6)")
+
+
 def upload_stats(uploads: DataFrame) -> DataFrame:
     """``(hash, name, thread_id, ts)``."""
     return uploads.groupBy("hash").agg(F.count("*").alias("uploads"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max_by("name", "ts").alias("name"), F.count_distinct("thread_id").alias("threads"))
@@ -25,7 +30,7 @@ def chunk_usage(uses: DataFrame) -> DataFrame:
 def pareto_chunks(usage: DataFrame, top: float = 0.2, min_queries: int = 5) -> DataFrame:
     """U4: the top share of the chunks of each eligible file, with their share of the file's score."""
     file = Window.partitionBy("thread_id", "file_id")
-    df = usage.where(F.col("query_count") >= min_queries).withColumns({"n": F.count("*").over(file), "total": F.sum("score").over(file), "place": F.row_number().over(file.orderBy(F.desc("score"), "chunk_id"))})
+    df = usage.where(F.col("query_count") >= min_queries).withColumns({"n": F.count("*").over(file), "total": F.sum(exact("score")).over(file).cast("double"), "place": F.row_number().over(file.orderBy(F.desc("score"), "chunk_id"))})
     df = df.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * top + 1e-9)))
     return df.withColumn("share", F.round(F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(0.0), 6)).drop("total")
 
@@ -41,7 +46,7 @@ def promote(chunks: DataFrame, chosen: DataFrame | None, tenant: str = "default"
 
 def promotable_files(pareto: DataFrame) -> DataFrame:
     """U6."""
-    by = pareto.groupBy("thread_id", "file_id").agg(F.count("*").alias("top"), F.max("n").alias("n"), F.max("query_count").alias("q"), F.round(F.sum("share") * 100, 1).alias("pct"))
+    by = pareto.groupBy("thread_id", "file_id").agg(F.count("*").alias("top"), F.max("n").alias("n"), F.max("query_count").alias("q"), F.round(F.sum(exact("share")) * 100, 1).cast("double").alias("pct"))
     return by.select("thread_id", "file_id", F.format_string("%d of %d chunks carry %.1f%% of the score in %d uses", "top", "n", "pct", "q").alias("reason"))
 
 

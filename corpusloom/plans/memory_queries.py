@@ -206,7 +206,11 @@ def u05(spark, d):
     return U.promote(c, U.pareto_chunks(uses(spark, d)))
 
 
-@query("u06_promotable_files", f"WITH {PARETO_U}, b AS (SELECT thread_id, file_id, count(*) AS t, max(n) AS n, max(query_count) AS qc, round(sum(share) * 100, 1) AS pct FROM pc GROUP BY ALL) SELECT thread_id, file_id, printf('%d of %d chunks carry %.1f%% of the score in %d uses', t, n, pct, qc) AS reason FROM b")
+# Sums of six places are exact, so that no rounding hangs on the order of the rows.
+PARETO_EXACT = PARETO_U.replace("sum(score) OVER f", "sum(score::DECIMAL(18,6)) OVER f")
+
+
+@query("u06_promotable_files", f"WITH {PARETO_EXACT}, b AS (SELECT thread_id, file_id, count(*) AS t, max(n) AS n, max(query_count) AS qc, round(sum(share::DECIMAL(18,6)) * 100, 1)::DOUBLE AS pct FROM pc GROUP BY ALL) SELECT thread_id, file_id, printf('%d of %d chunks carry %.1f%% of the score in %d uses', t, n, pct, qc) AS reason FROM b")
 def u06(spark, d):
     return U.promotable_files(U.pareto_chunks(uses(spark, d)))
 
