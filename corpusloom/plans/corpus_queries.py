@@ -136,7 +136,7 @@ def s17(spark, d):
     return S.export_prometheus(m)
 
 
-@query("s18_files_by_hash", "SELECT sha256(text) AS hash, 'd' || doc_id AS path, count(*) OVER (PARTITION BY sha256(text)) AS paths FROM documents WHERE text IS NOT NULL")
+@query("s18_files_by_hash", "SELECT sha256(text) AS hash, 'd' || doc_id AS path, count(*) OVER (PARTITION BY sha256(text)) AS paths FROM documents")
 def s18(spark, d):
     return S.files_by_hash(docs(spark, d).select(F.sha2("text", 256).alias("hash"), F.concat(F.lit("d"), "doc_id").alias("path")))
 
