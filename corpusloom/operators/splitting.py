@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,18 +61,39 @@ def cjk_pieces(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
-def _with(split: Callable[[str], list[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = [(i, n, c) for i, t in zip(df["doc_id"], df["text"]) if t for n, c in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_text"])
+#: Characters of chunks that a task gives out at once, a text's last ones aside.
+PART = 1 << 20
+
+
+def _with(split: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts are taken from a batch one by one, and chunks given out as soon as there are ``PART`` characters of them: what is held
+    hangs on the longest text, not on a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            rows: list[tuple] = []
+            size = 0
+            for at in range(batch.num_rows):
+                for n, c in enumerate(split(t) if (t := texts[at].as_py()) else ()):
+                    rows.append((ids[at].as_py(), n, c))
+                    size += len(c)
+                    if size >= PART:
+                        yield _chunks(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _chunks(rows)
 
     return run
 
 
+def _chunks(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "chunk_index", "chunk_text"])
+
+
 def split_recursive(docs: DataFrame, size: int = 900, overlap: int = 180) -> DataFrame:
     """By paragraph, line, space, character."""
-    return docs.select("doc_id", "text").mapInPandas(_with(lambda t: recursive_pieces(t, size, overlap)), CHUNKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with(lambda t: recursive_pieces(t, size, overlap)), CHUNKS)
 
 
 def split_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -109,7 +130,7 @@ def split_markdown(docs: DataFrame, levels: int = 3) -> DataFrame:
 
 def split_cjk(docs: DataFrame, size: int = 700, overlap: int = 120) -> DataFrame:
     """T3."""
-    return docs.select("doc_id", "text").mapInPandas(_with(lambda t: cjk_pieces(t, size, overlap)), CHUNKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with(lambda t: cjk_pieces(t, size, overlap)), CHUNKS)
 
 
 def segment_by_tokens(docs: DataFrame, limit: int | Column) -> DataFrame:
