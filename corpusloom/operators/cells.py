@@ -21,6 +21,10 @@ from corpusloom.sources.files import stored
 
 #: Members that a cell should have and the most cells there may be (their pivots go to all tasks); members of a tile.
 CELL, CELLS, TILE = 2048, 4096, 2048
+#: Rows that meet a tile at once.
+ASKS = 256
+#: Distances from pivots that a task computes at once, and rows of vectors that it gives out at once.
+BLOCK, ROWS = 1 << 20, 4096
 #: What rounding to six places may hide of a cosine.
 ROUNDING = 1e-6
 #: The cell of vectors of length zero, whose cosine with anything is 0.
@@ -43,6 +47,21 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a part's distances from all centres are ``BLOCK`` at most."""
+    step = max(1, BLOCK // max(1, len(centres)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def copies(part: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, x: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of ``part`` by number, each with the cell that it asks and ``x``; however many a part gives, ``ROWS`` at once."""
+    for at in range(0, len(row), ROWS):
+        take = pa.array(row[at : at + ROWS])
+        yield pa.record_batch([part.column("id").take(take), part.column("v").take(take), pa.array(cell[at : at + ROWS], pa.int32()), x.slice(at, ROWS)], names=["id", "v", "cell", "x"])
+
+
 def pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """About one vector for each ``CELL`` of the ``n``, ``CELLS`` at most: those of least hash."""
     m = min(CELLS, -(-n // CELL))
@@ -51,16 +70,15 @@ def pivots(vectors: DataFrame, n: int) -> np.ndarray:
 
 
 def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            m = unit(matrix(batch.column("v")))
-            live = m.any(axis=1)
-            cell, far = np.full(len(m), ZERO), np.zeros(len(m))
-            if live.any():
-                d = distances(m[live], centres)
-                cell[live] = d.argmin(axis=1)
-                far[live] = d.min(axis=1)
-            yield pa.record_batch([batch.column("id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(far)], names=["id", "v", "cell", "r"])
+    for batch in pieces(batches, centres):
+        m = unit(matrix(batch.column("v")))
+        live = m.any(axis=1)
+        cell, far = np.full(len(m), ZERO), np.zeros(len(m))
+        if live.any():
+            d = distances(m[live], centres)
+            cell[live] = d.argmin(axis=1)
+            far[live] = d.min(axis=1)
+        yield pa.record_batch([batch.column("id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(far)], names=["id", "v", "cell", "r"])
 
 
 def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -98,8 +116,8 @@ def _met(batches: Iterator[pa.RecordBatch], score: Score) -> Iterator[pa.RecordB
                     ids = np.concatenate([p.column("id").to_numpy() for p in held])
                     order = np.argsort(ids, kind="stable")
                     ids, m = ids[order], np.concatenate([matrix(p.column("v")) for p in held])[order]
-                for at in range(0, part.num_rows, TILE):
-                    yield score(ids, m, part.slice(at, TILE))
+                for at in range(0, part.num_rows, ASKS):
+                    yield score(ids, m, part.slice(at, ASKS))
 
 
 def meet(members: DataFrame, asks: DataFrame, count: dict[int, tuple[int, float]], score: Score, schema: str) -> DataFrame:
@@ -126,18 +144,21 @@ def _nearest(ids: np.ndarray, m: np.ndarray, asks: pa.RecordBatch, k: int, same:
         s[names[:, None] == ids] = -np.inf
     least = asks.column("x").to_numpy(zero_copy_only=False).astype(np.float64)
     s[s < np.where(np.isnan(least), -np.inf, least)[:, None]] = -np.inf
-    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    out = np.take_along_axis(s, order, 1)
-    row, col = np.nonzero(np.isfinite(out))
-    return pa.record_batch([pa.array(names[row]), pa.array(ids[order[row, col]]), pa.array(out[row, col])], names=["query_id", "id", "score"])
+    # Members are in the order of their ids. Only those not below the k-th best score are sorted.
+    best = s if k >= s.shape[1] else np.where(s >= np.partition(s, -k, axis=1)[:, -k, None], s, -np.inf)
+    row, col = np.nonzero(np.isfinite(best))
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    row, col = row[keep], col[keep]
+    return pa.record_batch([pa.array(names[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["query_id", "id", "score"])
 
 
 def _visits(batches: Iterator[pa.RecordBatch], centres: np.ndarray, radius: np.ndarray, zeros: bool) -> Iterator[pa.RecordBatch]:
     """For each query (with its own cell and the score ``x`` that it has to reach) the other cells that may hold such a vector."""
     between = distances(centres, centres)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in pieces(batches, centres):
         m = unit(matrix(batch.column("v")))
         own, x = batch.column("cell").to_numpy(), batch.column("x").to_numpy(zero_copy_only=False).astype(np.float64)
         x = np.where(np.isnan(x), -1.0, x)
@@ -154,7 +175,7 @@ def _visits(batches: Iterator[pa.RecordBatch], centres: np.ndarray, radius: np.n
             # Vectors of length zero have the score 0 with all others.
             more = np.flatnonzero((own != ZERO) & (x <= ROUNDING))
             row, cell = np.concatenate([row, more]), np.concatenate([cell, np.full(len(more), ZERO)])
-        yield pa.record_batch([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell, pa.int32()), batch.column("x").take(pa.array(row))], names=["id", "v", "cell", "x"])
+        yield from copies(batch, row, cell, batch.column("x").take(pa.array(row)))
 
 
 def radii(count: dict[int, tuple[int, float]], cells: int) -> np.ndarray:
@@ -185,16 +206,14 @@ def _pair(ids: np.ndarray, m: np.ndarray, asks: pa.RecordBatch, threshold: float
 def _borders(batches: Iterator[pa.RecordBatch], centres: np.ndarray, radius: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
     """Each vector in its own cell, and copied to later cells to whose vectors it may be within reach."""
     between = distances(centres, centres)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in pieces(batches, centres):
         own, d = batch.column("cell").to_numpy(), distances(unit(matrix(batch.column("v"))), centres)
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (d**2 - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * between[own])
         may = (np.nan_to_num(plane, nan=0.0) <= reach) & (d - radius <= reach) & (radius >= 0) & (np.arange(len(centres)) > own[:, None])
         may[np.arange(len(own)), own] = True
         row, cell = np.nonzero(may)
-        yield pa.record_batch([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell, pa.int32()), pa.array((cell == own[row]).astype(np.float64))], names=["id", "v", "cell", "x"])
+        yield from copies(batch, row, cell, pa.array((cell == own[row]).astype(np.float64)))
 
 
 def borders(members: DataFrame, centres: np.ndarray, count: dict[int, tuple[int, float]], threshold: float) -> DataFrame:
@@ -231,14 +250,13 @@ def trained(sample: np.ndarray, cells: int, k: int, target: float, seed: int = 7
 
 
 def _probes(batches: Iterator[pa.RecordBatch], centres: np.ndarray, probes: int, zeros: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            m = unit(matrix(batch.column("v")))
-            cell = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes]
-            if zeros:
-                cell = np.hstack([cell, np.full((len(cell), 1), ZERO)])
-            row = np.repeat(np.arange(len(cell)), cell.shape[1])
-            yield pa.record_batch([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell.ravel(), pa.int32()), pa.nulls(len(row), pa.float64())], names=["id", "v", "cell", "x"])
+    for batch in pieces(batches, centres):
+        m = unit(matrix(batch.column("v")))
+        cell = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes]
+        if zeros:
+            cell = np.hstack([cell, np.full((len(cell), 1), ZERO)])
+        row = np.repeat(np.arange(len(cell)), cell.shape[1])
+        yield from copies(batch, row, cell.ravel(), pa.nulls(len(row), pa.float64()))
 
 
 def probed(asked: DataFrame, centres: np.ndarray, probes: int, zeros: bool) -> DataFrame:
