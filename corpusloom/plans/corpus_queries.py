@@ -53,8 +53,8 @@ def s05(spark, d):
 @query("s06_read_text_docs", "SELECT sha256(text || chr(10)) AS text_sha256 FROM documents")
 def s06(spark, d):
     path = S.shared_path(spark, "texts")
-    docs(spark, d).select("text").write.option("maxRecordsPerFile", 1).text(path)
-    return S.read_text_docs(spark, path).select(F.sha2("text", 256).alias("text_sha256"))
+    S.write_text_docs(docs(spark, d), path)
+    return S.read_text_docs(spark, path, recursiveFileLookup="true").select(F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("s07_read_csv_docs", r"""SELECT doc_id::VARCHAR AS doc_id, lang, sha256(regexp_replace(text, '[\n\r"\\]', ' ', 'g')) AS text_sha256 FROM documents""")
