@@ -96,18 +96,23 @@ def split_recursive(docs: DataFrame, size: int = 900, overlap: int = 180) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with(lambda t: recursive_pieces(t, size, overlap)), CHUNKS)
 
 
-def split_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Windows of ``size`` characters every ``size - overlap``, in SQL functions."""
+def fixed_windows(text: Column, size: int, overlap: int) -> Column:
+    """The windows of T1b of a text that is not empty."""
     step = size - overlap
     # Cut once into steps; a window is put together from the steps that it touches.
-    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     more = -(-size // step) - 1
 
     def windows(p: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int"))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int"))
         return F.transform(starts, lambda i: F.left(F.array_join(F.transform(F.sequence(i, F.least(i + more, F.size(p) - 1)), lambda k: p[k]), ""), F.lit(size)))
 
-    return docs.where("length(text) > 0").select("doc_id", F.posexplode(let(parts, windows)).alias("chunk_index", "chunk_text"))
+    return let(parts, windows)
+
+
+def split_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Windows of ``size`` characters every ``size - overlap``, in SQL functions."""
+    return docs.where("length(text) > 0").select("doc_id", F.posexplode(fixed_windows(F.col("text"), size, overlap)).alias("chunk_index", "chunk_text"))
 
 
 def split_markdown(docs: DataFrame, levels: int = 3) -> DataFrame:
