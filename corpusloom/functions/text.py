@@ -99,18 +99,25 @@ def coerce_datetime(text: Column) -> Column:
 
 
 def prune_metadata(raw: Column) -> Column:
-    """The allowed keys of a JSON object with the right types, as a struct; a lone user becomes a list."""
-    def text(k: str) -> Column:
-        return F.when(F.regexp_extract(raw, rf'"{k}"\s*:\s*(")', 1) == '"', F.get_json_object(raw, f"$.{k}")).alias(k)
-
-    def number(k: str) -> Column:
-        n = F.regexp_extract(raw, rf'"{k}"\s*:\s*(\d+)\s*[,}}]', 1).try_cast("long")
-        return n.alias(k)
-
-    users = F.get_json_object(raw, "$.allowed_user_ids")
-    acl = F.when(users.startswith("["), F.from_json(users, "array<string>")).otherwise(F.when(users.isNotNull(), F.array(users))).alias("allowed_user_ids")
-    flag = F.regexp_extract(raw, r'"archived"\s*:\s*(true|false)', 1).try_cast("boolean").alias("archived")
-    return F.struct(*map(text, rules.METADATA_STRINGS), *map(number, rules.METADATA_INTS), acl, flag)
+    """The allowed keys of a JSON object with the right types, as a struct; a lone user becomes a list. The object is parsed once
+    (and once more for users that are not all strings, which are taken as they are written); of a key that repeats the last counts."""
+    users, flag = "allowed_user_ids", "archived"
+
+    def pruned(m: Column) -> Column:
+        def of(k: str, kind: str, type_: str) -> Column:
+            return F.when(F.schema_of_variant(m[k]) == kind, F.try_variant_get(m[k], "$", type_))
+
+        def listed(kind: Column) -> Column:
+            lone = F.when(kind == "STRING", F.array(F.try_variant_get(m[users], "$", "string")))
+            plain = lone.when(kind == "ARRAY<STRING>", F.try_variant_get(m[users], "$", "array<string>"))
+            return plain.when(kind.startswith("ARRAY<"), F.from_json(F.get_json_object(raw, f"$.{users}"), "array<string>"))
+
+        numbers = (let(of(k, "BIGINT", "long"), lambda n: F.when(n >= 0, n)).alias(k) for k in rules.METADATA_INTS)
+        acl = let(F.schema_of_variant(m[users]), listed).alias(users)
+        return F.struct(*(of(k, "STRING", "string").alias(k) for k in rules.METADATA_STRINGS), *numbers, acl, of(flag, "BOOLEAN", "boolean").alias(flag))
+
+    keys = [*rules.METADATA_STRINGS, *rules.METADATA_INTS, users, flag]
+    return let(F.from_json(raw, ", ".join(f"{k} variant" for k in keys)), pruned)
 
 
 def detect_script(text: Column) -> Column:

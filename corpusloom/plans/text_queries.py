@@ -62,8 +62,8 @@ _project("p08_coerce_datetime", "events", ("event_id",), lambda: {"iso": X.coerc
 def p09(spark, d):
     acl = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"u'), F.col("user_id"), F.lit('"'))).otherwise('["a","b"]')
     raw = F.concat(F.lit('{"source":"'), "event_type", F.lit('","chunk_index":'), F.col("user_id").cast("string"), F.lit(',"file_size_bytes":-4,"owner_id":7,"secret":"x","allowed_user_ids":'), acl, F.lit(',"archived":'), (F.col("event_id") % 3 == 0).cast("string"), F.lit("}"))
-    p = table(spark, d, "events").select("event_id", X.prune_metadata(raw).alias("m"))
-    return p.where("m.owner_id IS NULL AND m.file_size_bytes IS NULL").select("event_id", "m.source", "m.chunk_index", F.array_join("m.allowed_user_ids", ",").alias("users"), "m.archived")
+    p = table(spark, d, "events").select("event_id", F.inline(F.array(X.prune_metadata(raw))))
+    return p.where("owner_id IS NULL AND file_size_bytes IS NULL").select("event_id", "source", "chunk_index", F.array_join("allowed_user_ids", ",").alias("users"), "archived")
 
 
 SCRIPT = case(rules.SCRIPTS, "text", "other")
