@@ -24,9 +24,11 @@ CELL, CELLS, TILE = 2048, 4096, 2048
 #: Rows that meet a tile at once.
 ASKS = 256
 #: Distances from pivots that a task computes at once, and rows of vectors that it gives out at once.
-BLOCK, ROWS = 1 << 20, 4096
+BLOCK, ROWS = 1 << 18, 4096
 #: What rounding to six places may hide of a cosine.
 ROUNDING = 1e-6
+#: Distance of pivots from which rounding hides less of the planes between them than 1e-9.
+NEAR = 1e-3
 #: The cell of vectors of length zero, whose cosine with anything is 0.
 ZERO = -1
 
@@ -47,6 +49,15 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
+def planes(d: np.ndarray, own: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For rows at ``d`` from the pivots, how far at least the other cells lie behind the planes between them and the own cell. Only the
+    rows' own pivots are measured, as all pairs of pivots would be too many; for pivots so near that rounding matters it is 0."""
+    at, row = np.unique(own, return_inverse=True)
+    between = distances(centres[at], centres)[row]
+    behind = d**2 - np.take_along_axis(d, own[:, None], 1) ** 2
+    return np.divide(behind, 2 * between, out=np.zeros_like(d), where=between > NEAR)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that a part's distances from all centres are ``BLOCK`` at most."""
     step = max(1, BLOCK // max(1, len(centres)))
@@ -129,44 +140,52 @@ def meet(members: DataFrame, asks: DataFrame, count: dict[int, tuple[int, float]
     return mine.unionByName(theirs).repartition("cell", "tile").sortWithinPartitions("cell", "tile", "asks").mapInArrow(partial(_met, score=score), schema)
 
 
+def rounded(products: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Cosines to six places, 0 with a vector of length zero."""
+    return np.round(np.divide(products, norms, out=np.zeros_like(products), where=norms > 0), 6) + 0.0
+
+
 def cosines(ids: np.ndarray, m: np.ndarray, asks: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The ids that ask and their rounded cosines with the members."""
     q = matrix(asks.column("v"))
     norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)
-    s = q @ m.T
-    return asks.column("id").to_numpy(), np.round(np.divide(s, norm, out=np.zeros_like(s), where=norm > 0), 6) + 0.0
+    return asks.column("id").to_numpy(), rounded(q @ m.T, norm)
 
 
 def _nearest(ids: np.ndarray, m: np.ndarray, asks: pa.RecordBatch, k: int, same: bool) -> pa.RecordBatch:
-    """Each query's best ``k`` members, of those not below what it has found (``x``)."""
-    names, s = cosines(ids, m, asks)
-    if not same:
-        s[names[:, None] == ids] = -np.inf
+    """Each query's best ``k`` members, of those not below what it has found (``x``). Members are in the order of their ids."""
     least = asks.column("x").to_numpy(zero_copy_only=False).astype(np.float64)
-    s[s < np.where(np.isnan(least), -np.inf, least)[:, None]] = -np.inf
-    # Members are in the order of their ids. Only those not below the k-th best score are sorted.
-    best = s if k >= s.shape[1] else np.where(s >= np.partition(s, -k, axis=1)[:, -k, None], s, -np.inf)
-    row, col = np.nonzero(np.isfinite(best))
-    order = np.lexsort((col, -s[row, col], row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, row)
-    keep = np.arange(len(row)) - first < k
-    row, col = row[keep], col[keep]
-    return pa.record_batch([pa.array(names[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["query_id", "id", "score"])
+    if np.isnan(least).any():
+        names, s = cosines(ids, m, asks)
+        if not same:
+            s[names[:, None] == ids] = -np.inf
+        s[s < np.where(np.isnan(least), -np.inf, least)[:, None]] = -np.inf
+        # Only those not below the k-th best score are sorted.
+        row, col = np.nonzero(np.isfinite(s) if k >= s.shape[1] else np.isfinite(s) & (s >= np.partition(s, -k, axis=1)[:, -k, None]))
+        score = s[row, col]
+    else:
+        # Most members are below what all queries have found: only the others are divided and rounded.
+        names, q = asks.column("id").to_numpy(), matrix(asks.column("v"))
+        left, right, s = np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1), q @ m.T
+        row, col = np.nonzero(s >= ((least - ROUNDING) * left)[:, None] * right)
+        score = rounded(s[row, col], left[row] * right[col])
+        keep = np.isfinite(score) & (score >= least[row]) & (same | (names[row] != ids[col]))
+        row, col, score = row[keep], col[keep], score[keep]
+    order = np.lexsort((col, -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pa.record_batch([pa.array(names[row[keep]]), pa.array(ids[col[keep]]), pa.array(score[keep])], names=["query_id", "id", "score"])
 
 
 def _visits(batches: Iterator[pa.RecordBatch], centres: np.ndarray, radius: np.ndarray, zeros: bool) -> Iterator[pa.RecordBatch]:
     """For each query (with its own cell and the score ``x`` that it has to reach) the other cells that may hold such a vector."""
-    between = distances(centres, centres)
     for batch in pieces(batches, centres):
         m = unit(matrix(batch.column("v")))
         own, x = batch.column("cell").to_numpy(), batch.column("x").to_numpy(zero_copy_only=False).astype(np.float64)
         x = np.where(np.isnan(x), -1.0, x)
         reach = np.sqrt(np.maximum(0.0, 2 - 2 * (x - ROUNDING)))[:, None] + 1e-9
-        d, at = distances(m, centres), np.maximum(own, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d**2 - np.take_along_axis(d, at[:, None], 1) ** 2) / (2 * between[at])
-        may = (np.nan_to_num(plane, nan=0.0) <= reach) & (d - radius <= reach) & (radius >= 0)
+        d = distances(m, centres)
+        may = (planes(d, np.maximum(own, 0), centres) <= reach) & (d - radius <= reach) & (radius >= 0)
         live = m.any(axis=1)
         may[~live] = radius >= 0
         may[live, own[live]] = False
@@ -205,12 +224,9 @@ def _pair(ids: np.ndarray, m: np.ndarray, asks: pa.RecordBatch, threshold: float
 
 def _borders(batches: Iterator[pa.RecordBatch], centres: np.ndarray, radius: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
     """Each vector in its own cell, and copied to later cells to whose vectors it may be within reach."""
-    between = distances(centres, centres)
     for batch in pieces(batches, centres):
         own, d = batch.column("cell").to_numpy(), distances(unit(matrix(batch.column("v"))), centres)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d**2 - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * between[own])
-        may = (np.nan_to_num(plane, nan=0.0) <= reach) & (d - radius <= reach) & (radius >= 0) & (np.arange(len(centres)) > own[:, None])
+        may = (planes(d, own, centres) <= reach) & (d - radius <= reach) & (radius >= 0) & (np.arange(len(centres)) > own[:, None])
         may[np.arange(len(own)), own] = True
         row, cell = np.nonzero(may)
         yield from copies(batch, row, cell, pa.array((cell == own[row]).astype(np.float64)))
