@@ -60,9 +60,12 @@ def s06(spark, d):
 @query("s07_read_csv_docs", r"""SELECT doc_id::VARCHAR AS doc_id, lang, sha256(regexp_replace(text, '[\n\r"\\]', ' ', 'g')) AS text_sha256 FROM documents""")
 def s07(spark, d):
     path = S.shared_path(spark, "csv")
-    docs(spark, d).select("doc_id", "lang", F.regexp_replace("text", r'[\n\r"\\]', " ").alias("text")).write.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
-    rows = S.read_csv_docs(spark, path, most=None).select(F.from_json("text", "doc_id string, lang string, text string").alias("r"))
-    return rows.select("r.doc_id", "r.lang", F.sha2("r.text", 256).alias("text_sha256"))
+    # Codes may hold what would end a row of a file, too.
+    rows = docs(spark, d).select("doc_id", F.url_encode("lang").alias("lang"), F.regexp_replace("text", r'[\n\r"\\]', " ").alias("text"))
+    rows.write.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    longest = str(2**31 - 1)  # else a text of over 20 million characters would make its document null
+    read = S.read_csv_docs(spark, path, most=None).select(F.from_json("text", "doc_id string, lang string, text string", {"maxStringLen": longest}).alias("r"))
+    return read.select("r.doc_id", F.url_decode("r.lang").alias("lang"), F.sha2("r.text", 256).alias("text_sha256"))
 
 
 @query("s08_guard_docs_per_file", "SELECT doc_id FROM documents WHERE lang || source IN (SELECT lang || source FROM documents GROUP BY ALL HAVING count(*) <= 10)")
