@@ -134,8 +134,9 @@ def language_hint(text: Column) -> Column:
     return out
 
 
-def script_profile(text: Column, sample: int = 50_000) -> Column:
-    """A struct of the dominant script family, the share of each, and whether CJK text is present."""
+def script_profile(text: Column, sample: int | None = 50_000) -> Column:
+    """A struct of the dominant script family, the share of each, and whether CJK text is present, over the first ``sample``
+    characters (None: all)."""
     names = [*rules.FAMILIES, "other"]
 
     def counts(s: Column) -> Column:
@@ -148,7 +149,8 @@ def script_profile(text: Column, sample: int = 50_000) -> Column:
         share = dict(zip(names, shares))
         return F.struct(F.when(n > 0, top).otherwise("unknown").alias("dominant"), *(v.alias(k) for k, v in share.items()), (share["cjk"] + share["hangul"] >= 0.05).alias("has_cjk"))
 
-    return let(F.regexp_replace(F.left(text, F.lit(sample)), r"\s", ""), lambda s: let(counts(s), profile))
+    head = text if sample is None else F.left(text, F.lit(sample))
+    return let(F.regexp_replace(head, r"\s", ""), lambda s: let(counts(s), profile))
 
 
 def split_policy(profile: Column) -> Column:

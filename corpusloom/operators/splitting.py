@@ -162,8 +162,8 @@ def split_semantic(sentences: DataFrame, percentile: float = 0.95) -> DataFrame:
 
 
 def split_by_policy(docs: DataFrame) -> DataFrame:
-    """CJK texts by sentences, others recursively, with the sizes of their script."""
-    df = docs.withColumn("cjk", split_policy(script_profile(F.col("text")))["cjk"])
+    """CJK texts by sentences, others recursively, with the sizes of their script, which the whole text decides."""
+    df = docs.withColumn("cjk", split_policy(script_profile(F.col("text"), sample=None))["cjk"])
     return split_cjk(df.where("cjk")).unionByName(split_recursive(df.where("NOT cjk"), 1200, 150))
 
 
